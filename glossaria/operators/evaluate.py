@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaria.functions.text import bleu_tokens, explode_terms, ngrams, strip_whitespace
+from glossaria.functions.text import bleu_tokens, ngrams, strip_whitespace
 from glossaria.operators.pairs import join_metrics_before_after
 
 
@@ -153,21 +153,26 @@ def expand_confusion(wide: DataFrame, label: str = "label") -> DataFrame:
 def bleu_statistics(df: DataFrame, key: str, groups: Sequence[str] = (), max_n: int = 4) -> DataFrame:
     """Clipped n-gram matches and n-gram totals per order, summed over the corpus.
 
-    Hypothesis and reference n-grams are counted together under one key, so the
-    clipping needs one shuffle and no join.
+    Hypothesis and reference n-grams come out of one explode and are counted
+    under one key, so the clipping needs one scan, one shuffle and no join.
     """
-    def grams(text: str, side: str) -> DataFrame:
-        tokens = df.select(*groups, key, bleu_tokens(text).alias("tokens"))
-        orders = [F.transform(ngrams("tokens", n), lambda g, n=n: F.concat(F.lit(f"{n} "), g)) for n in range(1, max_n + 1)]
-        rows = tokens.select(*groups, key, explode_terms(F.concat(*orders)).alias("gram"))
-        return rows.withColumn("side", F.lit(side))
-
-    both = grams("prediction", "h").unionByName(grams("reference", "r"))
-    clipped = both.groupBy(*groups, key, "gram").agg(
-        F.count_if(F.col("side") == "h").alias("hyp"), F.count_if(F.col("side") == "r").alias("ref")
+    tokens = df.select(
+        *groups, key, bleu_tokens("prediction").alias("hyp_tokens"), bleu_tokens("reference").alias("ref_tokens")
     )
-    order = F.split_part(F.col("gram"), F.lit(" "), F.lit(1)).cast("int").alias("order")
-    return clipped.groupBy(*groups, order).agg(
+
+    def tagged(column: str, n: int, is_hyp: int):
+        return F.transform(
+            ngrams(column, n),
+            lambda g: F.struct(F.lit(n).alias("order"), g.alias("gram"), F.lit(is_hyp).alias("is_hyp")),
+        )
+
+    orders = range(1, max_n + 1)
+    entries = [tagged("hyp_tokens", n, 1) for n in orders] + [tagged("ref_tokens", n, 0) for n in orders]
+    rows = tokens.select(*groups, key, F.inline(F.concat(*entries)))
+    clipped = rows.groupBy(*groups, key, "order", "gram").agg(
+        F.sum("is_hyp").alias("hyp"), F.sum(F.lit(1) - F.col("is_hyp")).alias("ref")
+    )
+    return clipped.groupBy(*groups, "order").agg(
         F.sum(F.least("hyp", "ref")).alias("correct"), F.sum("hyp").alias("total"), F.sum("ref").alias("ref_total")
     )
 

@@ -265,10 +265,10 @@ best AS (SELECT word, s, max(k) AS k
   FROM (SELECT word, s, k, CASE WHEN s = 1 THEN '' ELSE '##' END || substr(word, s, k) AS piece
         FROM dw, unnest(range(1, length(word) + 1)) AS t(s), unnest(range(1, {MAX_PIECE + 1})) AS u(k)
         WHERE s + k - 1 <= length(word)) JOIN vocab USING (piece) GROUP BY word, s),
-chain AS (SELECT word, s, k, 0 AS at FROM best WHERE s = 1
-  UNION ALL SELECT b.word, b.s, b.k, c.at + 1 FROM chain c JOIN best b ON b.word = c.word AND b.s = c.s + c.k),
+chain AS (SELECT word, s, k, 0 AS step FROM best WHERE s = 1
+  UNION ALL SELECT b.word, b.s, b.k, c.step + 1 FROM chain c JOIN best b ON b.word = c.word AND b.s = c.s + c.k),
 full_chain AS (SELECT word, sum(k) AS covered,
-    list(CASE WHEN s = 1 THEN '' ELSE '##' END || substr(word, s, k) ORDER BY at) AS pieces FROM chain GROUP BY word),
+    list(CASE WHEN s = 1 THEN '' ELSE '##' END || substr(word, s, k) ORDER BY step) AS pieces FROM chain GROUP BY word),
 lex AS (SELECT dw.word, CASE WHEN f.covered = length(dw.word) THEN f.pieces ELSE ['[UNK]'] END AS pieces
   FROM dw LEFT JOIN full_chain f USING (word))"""
 

@@ -171,8 +171,8 @@ def tokens_cte(expr: str, source: str = "docs") -> str:
 
 _WT = f"{fx.DOCS_SQL}, {tokens_cte(W)}"
 _ST = f"{fx.DOCS_SQL}, {tokens_cte(S)}"
-_BIGRAMS = f"""{_WT}, flat AS (SELECT corpus, language, doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS at FROM tk),
-paired AS (SELECT corpus, token || ' ' || lead(token) OVER (PARTITION BY corpus ORDER BY language, doc_id, at) AS bigram FROM flat),
+_BIGRAMS = f"""{_WT}, flat AS (SELECT corpus, language, doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS step FROM tk),
+paired AS (SELECT corpus, token || ' ' || lead(token) OVER (PARTITION BY corpus ORDER BY language, doc_id, step) AS bigram FROM flat),
 bigrams AS (SELECT corpus, bigram, count(*) AS n FROM paired WHERE bigram IS NOT NULL GROUP BY ALL),
 overlap AS (SELECT bigram, x.n AS n_train, y.n AS n_test FROM (SELECT * FROM bigrams WHERE corpus = 'train') x
   JOIN (SELECT * FROM bigrams WHERE corpus = 'test') y USING (bigram))"""
