@@ -154,9 +154,10 @@ def bleu_statistics(df: DataFrame, key: str, groups: Sequence[str] = (), max_n:
     """Clipped n-gram matches and n-gram totals per order, summed over the corpus.
 
     Hypothesis and reference n-grams come out of one explode and are counted
-    under one key, so the clipping needs one scan, one shuffle and no join.
+    under one key, so the clipping needs no join. The pairs are hashed by their
+    key before that: the shuffle carries texts, not n-grams.
     """
-    tokens = df.select(
+    tokens = df.select(*groups, key, "prediction", "reference").repartition(key).select(
         *groups, key, bleu_tokens("prediction").alias("hyp_tokens"), bleu_tokens("reference").alias("ref_tokens")
     )
 

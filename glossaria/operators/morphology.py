@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossaria.functions.text import explode_terms, posexplode_terms
+
 
 def feature_rows(analyses: DataFrame) -> DataFrame:
     """One row per feature of each analysis."""
@@ -28,7 +30,7 @@ def word_subword_features(segments: DataFrame, analyses: DataFrame) -> DataFrame
     features x its subwords) rows.
     """
     features = feature_rows(analyses).distinct()
-    pieces = segments.select(F.col("word").alias("form"), F.explode("pieces").alias("subword")).distinct()
+    pieces = segments.select(F.col("word").alias("form"), explode_terms("pieces").alias("subword")).distinct()
     return pieces.join(features, "form").select(F.col("form").alias("word"), "subword", "feature")
 
 
@@ -96,7 +98,7 @@ def feature_report(
     per_subword = ranked.groupBy("subword").agg(listed.alias("l")).select(
         "subword", F.transform("l", lambda x: x["feature"]).alias("features")
     )
-    pieces = segments.select("word", F.posexplode("pieces").alias("at", "subword"))
+    pieces = segments.select("word", posexplode_terms("pieces").alias("at", "subword"))
     nodes = (
         best.select("feature", "position", "word")
         .join(pieces, "word")

@@ -39,7 +39,13 @@ def unique_tokens(df: DataFrame, tokens: Column, groups: Sequence[str] = ()) ->
 def ngram_counts(
     df: DataFrame, low: int, high: int, keys: Sequence[str] = ("language", "sentence_id"), tokens: str = "tokens"
 ) -> DataFrame:
-    """Term-document counts in long form: ``(keys, ngram, n)``."""
+    """Term-document counts in long form: ``(keys, ngram, n)``.
+
+    When the keys identify a sentence, hash the sentences by it beforehand
+    (``df.repartition("sentence_id")``): the shuffle then carries the texts
+    instead of their many n-grams, and this and every later grouping by that
+    key and other columns finds its rows in place.
+    """
     return count_terms(df, ngram_range(tokens, low, high), keys, "ngram")
 
 
@@ -68,9 +74,9 @@ def bigram_counts(
     first and last token of each non-empty sentence are moved: sentences get
     dense positions and position p is joined with p + 1.
     """
-    inside = count_terms(df, ngrams(tokens, 2), groups, "bigram")
+    inside = term_rows(df, ngrams(tokens, 2), groups, "bigram")
     if not cross_border:
-        return inside
+        return inside.groupBy(*groups, "bigram").agg(F.count(F.lit(1)).alias("n"))
     edges = df.where(F.size(tokens) > 0).select(
         *groups,
         order_in,
@@ -85,10 +91,8 @@ def bigram_counts(
         placed.select(*groups, "__pos", "last_token")
         .join(right, [*groups, "__pos"])
         .select(*groups, F.concat_ws(" ", "last_token", "first_token").alias("bigram"))
-        .groupBy(*groups, "bigram")
-        .agg(F.count(F.lit(1)).alias("n"))
     )
-    return inside.unionByName(border).groupBy(*groups, "bigram").agg(F.sum("n").alias("n"))
+    return inside.unionByName(border).groupBy(*groups, "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _global_within(placed: DataFrame, groups: Sequence[str], order_in: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.functions.text import explode_terms, strip_whitespace
+from glossaria.functions.text import strip_whitespace
 
 BLOCK, SCRIPT = "block", "script"
 _CLASSES = {BLOCK: "java.lang.Character$UnicodeBlock", SCRIPT: "java.lang.Character$UnicodeScript"}
@@ -42,27 +42,47 @@ _ASCII_CLASSES = {
     BLOCK: ((r"\x00-\x7f", "a"),),
     SCRIPT: (("A-Za-z", "a"), (r"\x00-@\[-`{-\x7f", " ")),
 }
+# Widespread blocks and scripts; a run of characters of one of them
+# is counted at once, any other character on its own.
+_BLOCK_RUNS = (
+    "LATIN_1_SUPPLEMENT LATIN_EXTENDED_A LATIN_EXTENDED_ADDITIONAL GREEK CYRILLIC ARMENIAN HEBREW ARABIC DEVANAGARI "
+    "BENGALI TAMIL THAI GEORGIAN ETHIOPIC HIRAGANA KATAKANA CJK_UNIFIED_IDEOGRAPHS HANGUL_SYLLABLES GENERAL_PUNCTUATION"
+).split()
+_SCRIPT_RUNS = (
+    "LATIN GREEK CYRILLIC ARMENIAN HEBREW ARABIC DEVANAGARI BENGALI TAMIL THAI GEORGIAN ETHIOPIC HIRAGANA KATAKANA "
+    "HAN HANGUL COMMON"
+).split()
+_RUNS = {
+    BLOCK: "|".join(rf"\p{{In{name}}}+" for name in _BLOCK_RUNS) + r"|[^\x00-\x7f]",
+    SCRIPT: "|".join(rf"[\p{{Is{name}}}&&[^\x00-\x7f]]+" for name in _SCRIPT_RUNS) + r"|[^\x00-\x7f]",
+}
 
 
 def char_profile(
-    df: DataFrame, keys: Sequence[str], kind: str = BLOCK, text: str = "text", **options: bool
+    df: DataFrame, keys: Sequence[str], kind: str = BLOCK, text: str = "text", keep_empty: bool = False, **options: bool
 ) -> DataFrame:
     """Rows ``(keys, name, n, first_pos)``: characters per block or script.
 
     ASCII characters fall into one block and two scripts, so they are counted by
-    length instead of being exploded. ``first_pos`` orders the names of a text by
-    first appearance: (rank among non-ASCII characters, ASCII first, offset).
+    length; other text is cut into runs of one block or script. Only runs are
+    exploded, and partially aggregated before the shuffle. ``first_pos`` orders
+    the names of a text by first appearance: (number of earlier runs, ASCII
+    first, offset). With ``keep_empty`` a text without characters keeps a row
+    without name.
     """
     prepared = df.select(*keys, prepare_text(F.col(text), **options).alias("__text"))
-    body = F.col("__text")
-    entries = [_ascii_entry(body, chars, member) for chars, member in _ASCII_CLASSES[kind]]
+    body, runs = F.col("__text"), F.lit(_RUNS[kind])
+    entries = [_ascii_entry(body, chars, member, runs) for chars, member in _ASCII_CLASSES[kind]]
     others = F.transform(
-        F.regexp_extract_all(body, F.lit(r"(?s)[^\x00-\x7f]"), F.lit(0)),
-        lambda ch, i: _entry(ch, F.lit(1), i, 1, F.lit(0)),
+        F.regexp_extract_all(body, runs, F.lit(0)),
+        lambda run, i: _entry(F.substring(run, 1, 1), F.length(run), i, 1, F.lit(0)),
     )
-    chars = prepared.select(*keys, F.inline(F.concat(F.array(*entries), others))).where(F.col("n") > 0)
+    found = F.filter(F.concat(F.array(*entries), others), lambda e: e["n"] > 0)
+    generator = F.inline_outer if keep_empty else F.inline
+    chars = prepared.select(*keys, generator(found))
     counted = chars.groupBy(*keys, "ch").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
-    named = counted.select(*keys, code_point_name(F.ascii("ch"), kind).alias("name"), "n", "first_pos")
+    name = F.when(F.col("ch").isNotNull(), code_point_name(F.ascii("ch"), kind)).alias("name")
+    named = counted.select(*keys, name, "n", "first_pos")
     return named.groupBy(*keys, "name").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
 
 
@@ -73,11 +93,10 @@ def _entry(ch: Column, n: Column, rank: Column, side: int, offset: Column) -> Co
     return F.struct(ch.alias("ch"), n.cast("bigint").alias("n"), position.alias("first_pos"))
 
 
-def _ascii_entry(body: Column, chars: str, member: str) -> Column:
+def _ascii_entry(body: Column, chars: str, member: str, runs: Column) -> Column:
     n = F.length(body) - F.length(F.regexp_replace(body, f"[{chars}]+", ""))
     lead = F.regexp_extract(body, f"^[^{chars}]*", 0)
-    rank = F.length(F.regexp_replace(lead, r"[\x00-\x7f]+", ""))
-    return _entry(F.lit(member), n, rank, 0, F.length(lead))
+    return _entry(F.lit(member), n, F.regexp_count(lead, runs), 0, F.length(lead))
 
 
 def histogram(profile: DataFrame, keys: Sequence[str], normalize: bool = True, digits: int = 9) -> DataFrame:
@@ -107,15 +126,15 @@ def dominant(df: DataFrame, keys: Sequence[str], kind: str = BLOCK, **options) -
     Of equally frequent names the first one in the text wins; a text without
     counted characters gets an empty name.
     """
-    profile = char_profile(df, keys, kind, **options)
+    profile = char_profile(df, keys, kind, keep_empty=True, **options)
     order = F.struct(
         F.col("n").alias("n"),
         (-F.col("first_pos.rank")).alias("rank"),
         (-F.col("first_pos.side")).alias("side"),
         (-F.col("first_pos.offset")).alias("offset"),
     )
-    best = profile.groupBy(*keys).agg(F.max_by("name", order).alias("name"))
-    return df.select(*keys).join(best, list(keys), "left").withColumn("name", F.coalesce("name", F.lit("")))
+    best = profile.groupBy(*keys).agg(F.max_by("name", F.when(F.col("name").isNotNull(), order)).alias("name"))
+    return best.withColumn("name", F.coalesce("name", F.lit("")))
 
 
 def script_shares(dominant_scripts: DataFrame, language: str = "language") -> DataFrame:

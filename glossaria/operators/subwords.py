@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from glossaria.functions.text import clean_word, explode_terms, segment_words
+from glossaria.functions.text import clean_word, explode_terms, posexplode_terms, segment_words
 
 # Marks of the usual word-piece convention.
 UNK, CLS, SEP, CONTINUATION = "[UNK]", "[CLS]", "[SEP]", "##"
@@ -185,9 +185,17 @@ def word_segmentations(
 
 
 def token_word_joint(lex: DataFrame) -> DataFrame:
-    """Counts of (language, token, word) from a lexicon ``(language, word, n, pieces)``."""
-    rows = lex.select("language", "word", "n", F.explode("pieces").alias("token"))
-    return rows.groupBy("language", "token", "word").agg(F.sum("n").alias("n"))
+    """Counts of (language, token, word) from a lexicon ``(language, word, n, pieces)``.
+
+    All tokens of a word sit in its row, so nothing is shuffled. ``n_word`` is
+    the marginal of the word: its occurrences times its tokens.
+    """
+    counted = F.transform(
+        F.array_distinct("pieces"),
+        lambda t: F.struct(t.alias("token"), F.size(F.filter("pieces", lambda p: p == t)).alias("k")),
+    )
+    rows = lex.select("language", "word", "n", (F.col("n") * F.size("pieces")).alias("n_word"), F.inline(counted))
+    return rows.select("language", "token", "word", (F.col("n") * F.col("k")).alias("n"), "n_word")
 
 
 def token_word_marginals(joint: DataFrame) -> DataFrame:
@@ -205,28 +213,25 @@ def token_word_marginals(joint: DataFrame) -> DataFrame:
 def conditional_probabilities(joint: DataFrame, digits: int = 9) -> DataFrame:
     """p(token | word) and p(word | token) per language.
 
-    The marginals are joined back instead of computed in a window, so a frequent
-    token does not gather all its words in one task.
+    The word marginal is known from the word's own row. The token marginal has
+    at most (languages x vocabulary) rows and is joined back instead of computed
+    in a window, so a frequent token does not gather all its words in one task.
     """
-    by_word = joint.groupBy("language", "word").agg(F.sum("n").alias("n_word"))
     by_token = joint.groupBy("language", "token").agg(F.sum("n").alias("n_token"))
-    return (
-        joint.join(by_word, ["language", "word"])
-        .join(by_token, ["language", "token"])
-        .select(
-            "language", "token", "word", "n",
-            F.round(F.col("n") / F.col("n_word"), digits).alias("token_given_word"),
-            F.round(F.col("n") / F.col("n_token"), digits).alias("word_given_token"),
-        )
+    return joint.join(by_token, ["language", "token"]).select(
+        "language", "token", "word", "n",
+        F.round(F.col("n") / F.col("n_word"), digits).alias("token_given_word"),
+        F.round(F.col("n") / F.col("n_token"), digits).alias("word_given_token"),
     )
 
 
 def vocabulary_reduction(lex: DataFrame, top: int | None = None) -> DataFrame:
     """Distinct words, distinct subwords and their ratio per language, worst last."""
-    n_words = lex.groupBy("language").agg(F.count(F.lit(1)).alias("n_words"))
-    tokens = lex.select("language", F.explode("pieces").alias("token")).distinct()
-    n_subwords = tokens.groupBy("language").agg(F.count(F.lit(1)).alias("n_subwords"))
-    out = n_words.join(n_subwords, "language").withColumn(
+    tokens = lex.select("language", posexplode_terms("pieces").alias("at", "token"))
+    per_token = tokens.groupBy("language", "token").agg(F.count_if(F.col("at") == 0).alias("n_first"))
+    out = per_token.groupBy("language").agg(
+        F.sum("n_first").alias("n_words"), F.count(F.lit(1)).alias("n_subwords")
+    ).withColumn(
         "vocab_reduction_ratio", F.round(F.col("n_subwords") / F.col("n_words"), 2)
     )
     return out.orderBy(F.desc("vocab_reduction_ratio"), "language").limit(top) if top else out
@@ -245,7 +250,7 @@ def word_length_in_tokens(lex: DataFrame, by_language: bool = True, digits: int
 
 def token_length_in_chars(lex: DataFrame) -> DataFrame:
     """Histogram of token length over distinct tokens, with their occurrences."""
-    tokens = lex.select("n", F.explode("pieces").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = lex.select("n", explode_terms("pieces").alias("token")).groupBy("token").agg(F.sum("n").alias("n"))
     return tokens.groupBy(F.length("token").cast("bigint").alias("token_length")).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum("n").alias("occurrences")
     )

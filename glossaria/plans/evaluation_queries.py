@@ -11,6 +11,7 @@ from glossaria.operators.romanize import augment_romanized
 from glossaria.plans import fixtures as fx
 
 LABELS = ["de", "en", "es", "fr", "unknown"]
+LID_ITERATIONS = 100
 
 
 def language_balance(spark, sf_dir):
@@ -111,18 +112,18 @@ def _identified(model, test):
 def lid_word_bigram_model(spark, sf_dir):
     data = lid.with_word_tokens(fx.text_docs(spark, sf_dir)).select("corpus", "doc_id", "language", "tokens")
     train, test = _split(data)
-    return _identified(lid.lid_word_bigram_model(train), test)
+    return _identified(lid.lid_word_bigram_model(train, max_iter=LID_ITERATIONS), test)
 
 
 def lid_char_bigram_model(spark, sf_dir):
     data = fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
     train, test = _split(data)
-    return _identified(lid.lid_char_bigram_model(train), test.drop("source"))
+    return _identified(lid.lid_char_bigram_model(train, max_iter=LID_ITERATIONS), test.drop("source"))
 
 
 def lid_romanized_char_model(spark, sf_dir):
     train, test = _split(augment_romanized(fx.cyrillic(spark, sf_dir)))
-    return _identified(lid.lid_char_bigram_model(train), test)
+    return _identified(lid.lid_char_bigram_model(train, max_iter=LID_ITERATIONS), test)
 
 
 def lid_subword_bigram_model(spark, sf_dir):
@@ -130,7 +131,7 @@ def lid_subword_bigram_model(spark, sf_dir):
         fx.text_docs(spark, sf_dir), fx.segmenter(spark, sf_dir), ["corpus", "doc_id", "language"]
     ).select("corpus", "doc_id", "language", F.flatten("pieces").alias("tokens"))
     train, test = _split(data)
-    return _identified(lid.lid_subword_bigram_model(train), test)
+    return _identified(lid.lid_subword_bigram_model(train, max_iter=LID_ITERATIONS), test)
 
 
 def lid_embedding_model(spark, sf_dir):
@@ -139,13 +140,13 @@ def lid_embedding_model(spark, sf_dir):
         F.col("sentence_id").alias("doc_id"), "language", "embedding",
     )
     train = data.where(F.col("corpus") == "train").drop("corpus")
-    return _identified(lid.lid_embedding_model(train), train)
+    return _identified(lid.lid_embedding_model(train, max_iter=LID_ITERATIONS), train)
 
 
 def predict_proba(spark, sf_dir):
     data = fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
     train, test = _split(data)
-    scored = lid.lid_char_bigram_model(train).predict(test)
+    scored = lid.lid_char_bigram_model(train, max_iter=LID_ITERATIONS).predict(test)
     return scored.select("doc_id", F.explode("probabilities").alias("candidate", "p")).withColumn("p", F.round("p", 3))
 
 

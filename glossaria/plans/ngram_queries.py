@@ -51,7 +51,8 @@ def token_list_ngrams(spark, sf_dir):
 
 
 def ngram_counts(spark, sf_dir):
-    return ng.ngram_counts(_space_docs(spark, sf_dir), 1, 3, ["language", "doc_id"])
+    tokens = ng.with_tokens(fx.docs(spark, sf_dir).repartition("doc_id"), tx.space_tokens("text"), ["language", "doc_id"])
+    return ng.ngram_counts(tokens, 1, 3, ["language", "doc_id"])
 
 
 def apply_vocabulary(spark, sf_dir):
@@ -114,8 +115,8 @@ def overlap_probability_difference(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    placed = fx.train(spark, sf_dir).select("language", "sentence_id", tx.space_tokens("text").alias("tokens"))
-    return ng.ngram_counts(placed, 1, 3)
+    placed = fx.train(spark, sf_dir).select("language", "sentence_id", "text").repartition("sentence_id")
+    return ng.ngram_counts(ng.with_tokens(placed, tx.space_tokens("text"), ["language", "sentence_id"]), 1, 3)
 
 
 def _divergence(spark, sf_dir):

@@ -52,7 +52,7 @@ def word_segmentations_merged(spark, sf_dir):
 
 
 def token_word_joint(spark, sf_dir):
-    return sw.token_word_joint(_lexicon(spark, sf_dir))
+    return sw.token_word_joint(_lexicon(spark, sf_dir)).drop("n_word")
 
 
 def token_word_marginals(spark, sf_dir):
@@ -60,7 +60,7 @@ def token_word_marginals(spark, sf_dir):
 
 
 def conditional_probabilities(spark, sf_dir):
-    return sw.conditional_probabilities(token_word_joint(spark, sf_dir))
+    return sw.conditional_probabilities(sw.token_word_joint(_lexicon(spark, sf_dir)))
 
 
 def vocabulary_reduction(spark, sf_dir):
