@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaria.operators.ids import scalar
-
 
 def classification_paths(df: DataFrame, position: str = "position") -> DataFrame:
     """One path per language: rows with a missing value dropped, last path wins.
@@ -51,43 +49,57 @@ def classification_distance(paths: DataFrame, exact: bool = False) -> DataFrame:
     )
 
 
-def mirrored(edges: DataFrame) -> DataFrame:
-    """Both directions of an unordered edge list."""
-    back = edges.select(F.col("lang2").alias("lang1"), F.col("lang1").alias("lang2"), "distance")
-    return edges.select("lang1", "lang2", "distance").unionByName(back)
+def _entry(lang1: str, lang2: str, distance: Column) -> Column:
+    return F.struct(F.col(lang1).alias("lang1"), F.col(lang2).alias("lang2"), distance.alias("distance"))
+
+
+def mirrored(edges: DataFrame, diagonal: bool = False) -> DataFrame:
+    """Both directions of an unordered edge list, from one pass over it.
+
+    ``diagonal`` adds the zero distance of both ends (repeated per edge).
+    """
+    distance = F.col("distance")
+    entries = [_entry("lang1", "lang2", distance), _entry("lang2", "lang1", distance)]
+    if diagonal:
+        zero = F.lit(0).cast(edges.schema["distance"].dataType)
+        entries += [_entry("lang1", "lang1", zero), _entry("lang2", "lang2", zero)]
+    return edges.select(F.inline(F.array(*entries)))
 
 
 def distance_matrix(edges: DataFrame, languages: list[str] | None = None) -> DataFrame:
     """Square display form of an edge list, 0 on the diagonal."""
-    nodes = edges.select("lang1").union(edges.select("lang2")).distinct()
-    diagonal = nodes.select("lang1", F.col("lang1").alias("lang2"), F.lit(0).cast("bigint").alias("distance"))
-    full = mirrored(edges).unionByName(diagonal)
-    pivoted = full.groupBy("lang1").pivot("lang2", languages) if languages else full.groupBy("lang1").pivot("lang2")
-    return pivoted.agg(F.first("distance"))
+    grouped = mirrored(edges, diagonal=True).groupBy("lang1")
+    pivoted = grouped.pivot("lang2", languages) if languages else grouped.pivot("lang2")
+    return pivoted.agg(F.max("distance"))
 
 
 def mean_distance(edges: DataFrame) -> DataFrame:
     """Mean over the full square matrix (diagonal included), 2 digits."""
-    nodes = edges.select("lang1").union(edges.select("lang2")).distinct()
-    n = scalar(nodes, F.count(F.lit(1)))
-    return edges.agg(F.sum("distance").alias("total"), F.count(F.lit(1)).alias("n_pairs")).select(
-        "n_pairs", F.round(F.lit(2) * F.col("total") / (n * n), 2).alias("mean_distance")
+    sums = mirrored(edges).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.sum("distance").alias("total"), F.count_distinct("lang1").alias("n")
+    )
+    return sums.select(
+        (F.col("n_cells") / 2).cast("bigint").alias("n_pairs"),
+        F.round(F.col("total") / (F.col("n") * F.col("n")), 2).alias("mean_distance"),
     )
 
 
 def nearest_farthest_languages(edges: DataFrame, n: int) -> DataFrame:
     """The n nearest and the n farthest languages of every language.
 
-    Both rankings filter on a row number, so each task keeps n rows per
-    language before the shuffle.
+    Both rankings share one partitioning by language; a partition holds one row
+    per other language.
     """
-    full = mirrored(edges)
-    def ranked(kind: str, order) -> DataFrame:
-        window = Window.partitionBy("lang1").orderBy(order, "lang2")
-        return (
-            full.withColumn("position", F.row_number().over(window).cast("bigint"))
-            .where(F.col("position") <= n)
-            .withColumn("kind", F.lit(kind))
-        )
-
-    return ranked("best", F.col("distance").asc()).unionByName(ranked("worst", F.col("distance").desc()))
+    per_language = Window.partitionBy("lang1")
+    ranked = mirrored(edges).select(
+        "lang1", "lang2", "distance",
+        F.row_number().over(per_language.orderBy(F.asc("distance"), "lang2")).alias("__best"),
+        F.row_number().over(per_language.orderBy(F.desc("distance"), "lang2")).alias("__worst"),
+    )
+    kinds = F.array(
+        *[
+            F.struct(F.lit(kind).alias("kind"), F.col(f"__{kind}").cast("bigint").alias("position"))
+            for kind in ("best", "worst")
+        ]
+    )
+    return ranked.select("lang1", "lang2", "distance", F.inline(kinds)).where(F.col("position") <= n)

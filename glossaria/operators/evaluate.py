@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import bleu_tokens, ngrams, strip_whitespace
-from glossaria.operators.pairs import join_metrics_before_after
+from glossaria.operators.ids import co_locate
 
 
 def language_balance(df: DataFrame, groups: Sequence[str] = (), digits: int = 6) -> DataFrame:
@@ -53,17 +53,16 @@ def confusion_display(matrix: DataFrame, labels: Sequence[str]) -> DataFrame:
 
 def per_class_f1(counts: DataFrame, groups: Sequence[str] = (), digits: int = 9) -> DataFrame:
     """F1 of every label that occurs as label or prediction; 0 when undefined."""
-    as_label = counts.select(
-        *groups, F.col("label").alias("class"),
-        F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0).alias("tp"),
-        F.when(F.col("label") == F.col("prediction"), 0).otherwise(F.col("n")).alias("fn"),
-        F.lit(0).cast("bigint").alias("fp"),
+    right, n, none = F.col("label") == F.col("prediction"), F.col("n"), F.lit(0).cast("bigint")
+    as_label = F.struct(
+        F.col("label").alias("class"), F.when(right, n).otherwise(none).alias("tp"), none.alias("fp"),
+        F.when(right, none).otherwise(n).alias("fn"),
     )
-    as_prediction = counts.where(F.col("label") != F.col("prediction")).select(
-        *groups, F.col("prediction").alias("class"),
-        F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fn"), F.col("n").alias("fp"),
+    as_prediction = F.struct(
+        F.col("prediction").alias("class"), none.alias("tp"), F.when(right, none).otherwise(n).alias("fp"),
+        none.alias("fn"),
     )
-    sums = as_label.unionByName(as_prediction).groupBy(*groups, "class").agg(
+    sums = counts.select(*groups, F.inline(F.array(as_label, as_prediction))).groupBy(*groups, "class").agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")
     )
     denominator = F.lit(2) * F.col("tp") + F.col("fp") + F.col("fn")
@@ -108,12 +107,20 @@ def binary_outcomes(
 
 
 def outcomes_before_after(df: DataFrame) -> DataFrame:
-    """Outcomes per language pair, before and after training side by side."""
-    outcomes = binary_outcomes(df, ["language_pair", "phase"])
-    def phase(name: str) -> DataFrame:
-        return outcomes.where(F.col("phase") == name).drop("phase")
+    """Outcomes per language pair, before and after training side by side.
 
-    return join_metrics_before_after(phase("before"), phase("after"))
+    Same result as ``pairs.join_metrics_before_after`` on the two phases, from one
+    pass over the predictions; pairs that lack a phase are dropped.
+    """
+    outcomes = binary_outcomes(df, ["language_pair", "phase"])
+    fields = [c for c in outcomes.columns if c not in ("language_pair", "phase")]
+    wide = outcomes.groupBy("language_pair").agg(
+        *[
+            F.max(F.when(F.col("phase") == phase, F.col(c))).alias(f"{c}_{phase}")
+            for phase in ("before", "after") for c in fields
+        ]
+    )
+    return wide.where(F.col("total_correct_before").isNotNull() & F.col("total_correct_after").isNotNull())
 
 
 def error_count(df: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -157,7 +164,7 @@ def bleu_statistics(df: DataFrame, key: str, groups: Sequence[str] = (), max_n:
     under one key, so the clipping needs no join. The pairs are hashed by their
     key before that: the shuffle carries texts, not n-grams.
     """
-    tokens = df.select(*groups, key, "prediction", "reference").repartition(key).select(
+    tokens = co_locate(df.select(*groups, key, "prediction", "reference"), key).select(
         *groups, key, bleu_tokens("prediction").alias("hyp_tokens"), bleu_tokens("reference").alias("ref_tokens")
     )
 

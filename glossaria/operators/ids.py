@@ -33,20 +33,22 @@ def dense_positions(
     ranges of at most ``bucket_rows`` keys and shifted by a running sum over the
     small table of range sizes. One group may therefore hold most of the rows.
     """
-    bucketed = df.withColumn("__bucket", F.floor(F.col(key) / F.lit(bucket_rows)).cast("bigint"))
-    slots = [*groups, "__bucket"]
-    before = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # one struct key: null groups match, and the window and the join share a partitioning
+    bucket = F.floor(F.col(key) / F.lit(bucket_rows)).cast("bigint").alias("bucket")
+    slots = df.withColumn("__slot", F.struct(*groups, bucket))
+    in_group = [F.col(f"__slot.{g}") for g in groups]
+    before = Window.partitionBy(*in_group).orderBy("__slot.bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(*slots)
+        slots.groupBy("__slot")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .drop("__n")
+        .select("__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     )
-    local = F.row_number().over(Window.partitionBy(*slots).orderBy(key))
+    local = F.row_number().over(Window.partitionBy("__slot").orderBy(key))
     return (
-        null_safe_join(bucketed.withColumn("__local", local), offsets, slots)
+        slots.withColumn("__local", local)
+        .join(offsets, "__slot")
         .withColumn(out, (F.col("__offset") + F.col("__local") - 1).cast("bigint"))
-        .drop("__bucket", "__offset", "__local")
+        .drop("__slot", "__offset", "__local")
     )
 
 
@@ -92,3 +94,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def co_locate(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows by ``keys`` ahead of an explode and groupings that contain them.
+
+    The number of partitions is stated, because adaptive execution would merge
+    partitions by their size before the explode.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import explode_terms, ngram_range, ngrams
@@ -42,7 +42,7 @@ def ngram_counts(
     """Term-document counts in long form: ``(keys, ngram, n)``.
 
     When the keys identify a sentence, hash the sentences by it beforehand
-    (``df.repartition("sentence_id")``): the shuffle then carries the texts
+    (``ids.co_locate(df, "sentence_id")``): the shuffle then carries the texts
     instead of their many n-grams, and this and every later grouping by that
     key and other columns finds its rows in place.
     """
@@ -151,39 +151,37 @@ def divergence_matrix(cells: DataFrame) -> DataFrame:
     """Number of (sentence, n-gram) cells whose counts differ, per language pair.
 
     ``cells`` holds ``(language, sentence_id, ngram, n)``. With nnz(l) the cells of
-    language l, the number is nnz(a) + nnz(b) - both(a, b) - equal(a, b). Cells
-    that only one language fills never meet a partner. The others are grouped by
-    their (language, count) signature first, so pairs are formed per distinct
-    signature, which is at most as long as the number of languages. Also returns
-    the total matrix size and the normalised value.
+    language l, the number is nnz(a) + nnz(b) - both(a, b) - equal(a, b).
+
+    Cells are grouped by their (language, count) signature first and languages
+    are paired per distinct signature, which is at most as long as the number of
+    languages. A language paired with itself gives nnz, so one pass over the
+    cells yields everything; the rest works on (languages)**2 rows.
     """
-    sizes = cells.groupBy("language").agg(F.count(F.lit(1)).alias("nnz"))
     signature = F.array_sort(F.collect_list(F.struct("language", "n"))).alias("signature")
     shared = (
-        cells.groupBy("sentence_id", "ngram")
-        .agg(signature)
-        .where(F.size("signature") > 1)
-        .groupBy("signature")
-        .agg(F.count(F.lit(1)).alias("weight"))
+        cells.groupBy("sentence_id", "ngram").agg(signature)
+        .groupBy("signature").agg(F.count(F.lit(1)).alias("weight"))
+    )
+    pairs = shared.select("signature", "weight", F.explode("signature").alias("a")).select(
+        "weight", "a", F.explode("signature").alias("b")
     )
-    left = shared.select("signature", "weight", F.posexplode("signature").alias("at", "a"))
-    rest = F.slice("signature", F.col("at") + 2, F.size("signature"))
-    pairs = left.select("weight", "a", F.explode(rest).alias("b"))
-    met = pairs.groupBy(F.col("a.language").alias("l1"), F.col("b.language").alias("l2")).agg(
+    met = pairs.groupBy(F.col("a.language").alias("lang1"), F.col("b.language").alias("lang2")).agg(
         F.sum("weight").alias("both"),
         F.sum(F.when(F.col("a.n") == F.col("b.n"), F.col("weight")).otherwise(0)).alias("equal"),
     )
-    met = met.unionByName(met.select(F.col("l2").alias("l1"), F.col("l1").alias("l2"), "both", "equal"))
-    everyone = sizes.agg(F.collect_list(F.struct("language", "nnz")).alias("value")).scalar()
-    grid = sizes.select(
-        F.col("language").alias("lang1"), F.col("nnz").alias("nnz1"), F.explode(everyone).alias("other")
-    ).where(F.col("lang1") != F.col("other.language"))
-    joined = grid.withColumn("lang2", F.col("other.language")).join(
-        met, (F.col("lang1") == F.col("l1")) & (F.col("lang2") == F.col("l2")), "left"
+    rows = met.groupBy("lang1").agg(
+        F.collect_list(F.struct("lang2", (F.col("both") + F.col("equal")).alias("overlap"))).alias("partners"),
+        F.sum(F.when(F.col("lang1") == F.col("lang2"), F.col("both"))).alias("nnz1"),
+    )
+    everyone = F.collect_list(F.struct(F.col("lang1").alias("lang2"), F.col("nnz1").alias("nnz2"))).over(
+        Window.partitionBy(F.lit(0))
     )
-    overlap = F.coalesce("both", F.lit(0)) + F.coalesce("equal", F.lit(0))
-    return joined.select(
-        "lang1", "lang2", (F.col("nnz1") + F.col("other.nnz") - overlap).alias("num_disagreements")
+    grid = rows.withColumn("everyone", everyone).select("lang1", "nnz1", "partners", F.inline("everyone"))
+    found = F.filter("partners", lambda p: p["lang2"] == F.col("lang2"))
+    overlap = F.coalesce(F.get(found, F.lit(0))["overlap"], F.lit(0))
+    return grid.where(F.col("lang1") != F.col("lang2")).select(
+        "lang1", "lang2", (F.col("nnz1") + F.col("nnz2") - overlap).alias("num_disagreements")
     )
 
 
@@ -202,8 +200,15 @@ def divergence_by_language(divergence: DataFrame) -> DataFrame:
 
 
 def closer_than(divergence: DataFrame) -> DataFrame:
-    """For every (lang1, lang2): the partners of lang1 at most as far as lang2."""
-    other = divergence.select(
-        "lang1", F.col("lang2").alias("closer"), F.col("num_disagreements").alias("closer_disagreements")
+    """For every (lang1, lang2): the partners of lang1 at most as far as lang2.
+
+    Each language has as many partners as there are languages, so they are
+    listed next to each row instead of joined.
+    """
+    partners = F.collect_list(
+        F.struct(F.col("lang2").alias("closer"), F.col("num_disagreements").alias("closer_disagreements"))
+    ).over(Window.partitionBy("lang1"))
+    listed = divergence.withColumn("__partners", partners)
+    return listed.select("lang1", "lang2", "num_disagreements", F.inline("__partners")).where(
+        F.col("closer_disagreements") <= F.col("num_disagreements")
     )
-    return divergence.join(other, "lang1").where(F.col("closer_disagreements") <= F.col("num_disagreements"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossaria.functions import text as tx
 from glossaria.operators import ngrams as ng
-from glossaria.operators.ids import scalar
+from glossaria.operators.ids import co_locate, scalar
 from glossaria.operators.morphology import top_per_key
 from glossaria.plans import fixtures as fx
 
@@ -51,7 +51,7 @@ def token_list_ngrams(spark, sf_dir):
 
 
 def ngram_counts(spark, sf_dir):
-    tokens = ng.with_tokens(fx.docs(spark, sf_dir).repartition("doc_id"), tx.space_tokens("text"), ["language", "doc_id"])
+    tokens = ng.with_tokens(co_locate(fx.docs(spark, sf_dir), "doc_id"), tx.space_tokens("text"), ["language", "doc_id"])
     return ng.ngram_counts(tokens, 1, 3, ["language", "doc_id"])
 
 
@@ -115,7 +115,7 @@ def overlap_probability_difference(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    placed = fx.train(spark, sf_dir).select("language", "sentence_id", "text").repartition("sentence_id")
+    placed = co_locate(fx.train(spark, sf_dir).select("language", "sentence_id", "text"), "sentence_id")
     return ng.ngram_counts(ng.with_tokens(placed, tx.space_tokens("text"), ["language", "sentence_id"]), 1, 3)
 
 

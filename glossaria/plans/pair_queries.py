@@ -11,7 +11,7 @@ from glossaria.plans.ngram_queries import _DIVERGENCE, _cells
 from glossaria.plans.recode_queries import _ALIGNED_SQL
 from glossaria.plans.source_queries import _SCRIPTS_SQL, LANGUAGE_NAMES_SQL
 from glossaria.sources import names
-from glossaria.sources.corpora import language_scripts
+from glossaria.sources.corpora import language_scripts, materialize
 
 ANCHOR = "fr"
 
@@ -37,7 +37,7 @@ def _hashed(df):
 
 
 def _narrow_train(spark, sf_dir):
-    return fx.train(spark, sf_dir).select("language", "sentence_id", "text")
+    return materialize(fx.train(spark, sf_dir).select("language", "sentence_id", "text"), "train")
 
 
 def positive_pairs(spark, sf_dir):
@@ -56,7 +56,7 @@ def negative_pairs(spark, sf_dir):
 
 
 def sentence_pairs_dataset(spark, sf_dir):
-    base = fx.corpus(spark, sf_dir)
+    base = materialize(fx.corpus(spark, sf_dir).select("corpus", "language", "sentence_id", "text"), "corpus")
     parts = []
     for corpus in ("train", "test"):
         data = base.where(F.col("corpus") == corpus).select("language", "sentence_id", "text")

@@ -115,3 +115,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     return os.path.join(shared, f"glossaria-{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and continue from there.
+
+    For tables that several branches of a job read: it is computed once and
+    survives the loss of executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
