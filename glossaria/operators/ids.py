@@ -76,7 +76,7 @@ def add_global_sentence_id(
     before = Window.partitionBy(F.lit(0)).orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     return (
-        null_safe_join(df, offsets, groups)
+        null_safe_join(df, bounded(offsets), groups)
         .withColumn(out, (F.col("__offset") + F.col(position)).cast("bigint"))
         .drop("__offset")
     )
@@ -87,6 +87,17 @@ def scalar(df: DataFrame, value: Column) -> Column:
     return df.agg(value.alias("value")).scalar()
 
 
+def bounded(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A dimension table (languages, labels, names, vocabularies) as a local one.
+
+    At most ``max_rows`` rows are read; joins with the result are broadcast,
+    which spares the large side a shuffle by a possibly hot key. A larger table
+    is returned as it is, and the join is shuffled.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    return df if len(rows) > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance an input that has fewer splits than the cluster has cores.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import explode_terms, ngram_range, ngrams
-from glossaria.operators.ids import add_global_sentence_id, dense_positions, scalar
+from glossaria.operators.ids import BUCKET_ROWS, scalar
 
 
 def with_tokens(df: DataFrame, tokens: Column, keep: Sequence[str]) -> DataFrame:
@@ -66,50 +66,38 @@ def bigram_counts(
     key: str,
     tokens: str = "tokens",
     cross_border: bool = True,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Adjacent token pairs per group over the concatenated token stream.
 
-    Sentences follow each other by ``order_in`` (language), then ``key``. Pairs
-    inside a sentence never leave its row. For pairs across a border only the
-    first and last token of each non-empty sentence are moved: sentences get
-    dense positions and position p is joined with p + 1.
+    Sentences follow each other by ``order_in`` (language), then by the integer
+    ``key``. Pairs inside a sentence never leave its row. For pairs across a
+    border only the first and last token of each non-empty sentence are moved:
+    they are sorted within key ranges, and the ends of consecutive ranges are
+    paired in the small table of ranges. Both steps read the same shuffle.
     """
     inside = term_rows(df, ngrams(tokens, 2), groups, "bigram")
     if not cross_border:
         return inside.groupBy(*groups, "bigram").agg(F.count(F.lit(1)).alias("n"))
-    edges = df.where(F.size(tokens) > 0).select(
-        *groups,
-        order_in,
-        key,
-        F.get(tokens, F.lit(0)).alias("first_token"),
-        F.get(tokens, F.size(tokens) - 1).alias("last_token"),
-    )
-    placed = dense_positions(edges, [*groups, order_in], key, "__at")
-    placed = _global_within(placed, groups, order_in)
-    right = placed.select(*groups, (F.col("__pos") - 1).alias("__pos"), "first_token")
-    border = (
-        placed.select(*groups, "__pos", "last_token")
-        .join(right, [*groups, "__pos"])
-        .select(*groups, F.concat_ws(" ", "last_token", "first_token").alias("bigram"))
-    )
+    key_range = F.floor(F.col(key) / F.lit(bucket_rows)).cast("bigint").alias("range")
+    # a generator, not a filter: a filter would be pushed down and tokenize once more
+    both_ends = F.struct(F.get(tokens, F.lit(0)).alias("first"), F.get(tokens, F.size(tokens) - 1).alias("last"))
+    edges = df.select(
+        F.struct(*groups, F.col(order_in).alias("__order"), key_range).alias("slot"),
+        F.col(key).alias("key"),
+        F.inline(F.when(F.size(tokens) > 0, F.array(both_ends))),
+    ).repartition("slot")
+    in_group = [F.col(f"slot.{g}").alias(g) for g in groups]
+    following = F.lead("first").over(Window.partitionBy("slot").orderBy("key"))
+    within = edges.select("slot", "last", following.alias("next"))
+    ends = edges.groupBy("slot").agg(F.min_by("first", "key").alias("first"), F.max_by("last", "key").alias("last"))
+    next_slot = Window.partitionBy(*[F.col(f"slot.{g}") for g in groups]).orderBy("slot.__order", "slot.range")
+    between = ends.select("slot", "last", F.lead("first").over(next_slot).alias("next"))
+    border = within.unionByName(between).where(F.col("next").isNotNull())
+    border = border.select(*in_group, F.concat_ws(" ", "last", "next").alias("bigram"))
     return inside.unionByName(border).groupBy(*groups, "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _global_within(placed: DataFrame, groups: Sequence[str], order_in: str) -> DataFrame:
-    if not groups:
-        return add_global_sentence_id(placed, [order_in], "__at", "__pos")
-    sizes = placed.groupBy(*groups, order_in).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = sizes.select(*groups, F.struct(F.col(order_in).alias("o"), F.col("__n").alias("n")).alias("s"))
-    lists = earlier.groupBy(*groups).agg(F.collect_list("s").alias("__sizes"))
-    before = F.filter("__sizes", lambda s: s["o"] < F.col(order_in))
-    offset = F.aggregate(before, F.lit(0).cast("bigint"), lambda acc, s: acc + s["n"])
-    return (
-        placed.join(lists, list(groups))
-        .withColumn("__pos", offset + F.col("__at"))
-        .drop("__sizes")
-    )
-
-
 def vocabulary_overlap(train: DataFrame, test: DataFrame, term: str = "token") -> DataFrame:
     """Terms of both corpora with both counts."""
     a = train.select(term, F.col("n").alias("n_train"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.functions.draws import draw
-from glossaria.operators.ids import scalar
+from glossaria.operators.ids import bounded, scalar
 
 
 def align_to_target(df: DataFrame, target: str, keep_target: bool = True) -> DataFrame:
@@ -43,13 +43,18 @@ PAIR_COLUMNS = ("draw_id", "language1", "language2", "index1", "index2", "senten
 def _attach(df: DataFrame, pairs: DataFrame, indices: DataFrame, label: str) -> DataFrame:
     """Look up both sentences of every (language pair, index pair).
 
-    The draws are attached on ``index1`` first: positions are unique per
-    language, so each key carries at most (languages x draws of that position).
+    The language pairs are one list for all draws. Both look-ups then join on
+    (language, position), which names a single sentence, so a language with most
+    of the sentences does not make a hot key.
     """
     one, two = _sides(df)
-    left = one.join(indices, "index1").join(pairs.select("language1", "language2"), "language1")
+    listed = pairs.agg(F.collect_list(F.struct("language1", "language2")).alias("value")).scalar()
+    wanted = indices.select("draw_id", "index1", "index2", F.explode(listed).alias("p")).select(
+        "draw_id", "index1", "index2", "p.*"
+    )
     return (
-        left.join(two, ["language2", "index2"])
+        wanted.join(one, ["language1", "index1"])
+        .join(two, ["language2", "index2"])
         .withColumn("label", F.lit(label))
         .select(*PAIR_COLUMNS)
     )
@@ -168,7 +173,7 @@ def pair_related_label(
     both_ways = edges.unionByName(
         edges.select(F.col("language2").alias("language1"), F.col("language1").alias("language2"), "__d")
     )
-    joined = df.join(both_ways, ["language1", "language2"], "left")
+    joined = df.join(bounded(both_ways), ["language1", "language2"], "left")
     close = (F.col("language1") == F.col("language2")) | F.coalesce(F.col("__d") <= max_distance, F.lit(False))
     return joined.withColumn(out, _yes_no(close)).drop("__d")
 
@@ -188,6 +193,7 @@ def join_metrics_before_after(before: DataFrame, after: DataFrame, on: str = "la
 def name_language_pairs(df: DataFrame, names: DataFrame, out: str = "language_pair_name") -> DataFrame:
     """``a-b`` -> ``Name A - Name B``."""
     parts = F.split("language_pair", "-", 2)
+    names = bounded(names)
     n1 = names.select(F.col("language_code").alias("__c1"), F.col("language").alias("__n1"))
     n2 = names.select(F.col("language_code").alias("__c2"), F.col("language").alias("__n2"))
     return (

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.vectors import cosine_distance, unit
+from glossaria.operators.ids import bounded
 
 DIGITS = 9
 BLOCK_ROWS = 2048
@@ -50,7 +51,7 @@ def _blocked(units: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _block_pairs(units: DataFrame, block_rows: int):
     """Query and candidate rows keyed by (model, lang1, block1, lang2, block2)."""
-    blocks = _block_counts(units, block_rows)
+    blocks = bounded(_block_counts(units, block_rows))
     rows = _blocked(units, blocks)
     partners = blocks.select("model", F.struct("language", "blocks").alias("p"))
     listed = partners.groupBy("model").agg(F.collect_list("p").alias("partners"))
@@ -155,13 +156,18 @@ def _summarise_block(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFra
     return pd.DataFrame(
         {
             "model": model, "lang1": lang1, "lang2": lang2, "sentence_id": q["sentence_id"].to_numpy(),
-            "n": d.shape[1], "nearest": d.min(axis=1), "farthest": d.max(axis=1), "total": d.sum(axis=1),
+            "n": d.shape[1], "nearest": d.min(axis=1), "farthest": d.max(axis=1),
+            "total": np.rint(d * 10**DIGITS).astype(np.int64).sum(axis=1),
         }
     )[columns]
 
 
 def cosine_distance_profile(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Per query and other language: nearest, farthest and mean distance to all candidates."""
+    """Per query and other language: nearest, farthest and mean distance to all candidates.
+
+    Rounded distances are added as integers, so the mean (cut to 9 digits) does
+    not depend on the order of the blocks.
+    """
     queries, candidates = _block_pairs(unit_vectors(vectors), block_rows)
     parts = (
         queries.groupBy(*BLOCK_KEY)
@@ -169,14 +175,17 @@ def cosine_distance_profile(vectors: DataFrame, block_rows: int = BLOCK_ROWS) ->
         .applyInPandas(
             _summarise_block,
             "model string, lang1 string, lang2 string, sentence_id long, n long, nearest double, "
-            "farthest double, total double",
+            "farthest double, total long",
         )
     )
     return parts.groupBy("model", "lang1", "lang2", "sentence_id").agg(
         F.sum("n").alias("n_candidates"),
         F.min("nearest").alias("nearest"),
         F.max("farthest").alias("farthest"),
-        F.round(F.sum("total") / F.sum("n"), 6).alias("mean_distance"),
+        F.sum("total").alias("total"),
+    ).select(
+        "model", "lang1", "lang2", "sentence_id", "n_candidates", "nearest", "farthest",
+        (F.expr("total DIV n_candidates") / F.lit(float(10**DIGITS))).alias("mean_distance"),
     )
 
 

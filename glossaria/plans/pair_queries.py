@@ -225,7 +225,7 @@ ORACLES = {
       UNION ALL SELECT lang1, lang2, distance, 'worst', row_number() OVER (PARTITION BY lang1 ORDER BY distance DESC, lang2) AS position
       FROM both_ways QUALIFY position <= 5""",
     "cosine_distances": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, sentence_id, count(*) AS n_candidates, min(d) AS nearest,
-      max(d) AS farthest, round(avg(d), 6) AS mean_distance FROM dists GROUP BY ALL""",
+      max(d) AS farthest, (CAST(sum(CAST(round(d * 1e9) AS BIGINT)) AS BIGINT) // count(*)) / 1e9 AS mean_distance FROM dists GROUP BY ALL""",
     "retrieval_ranks": f"WITH {fx.VECTORS_SQL} SELECT * FROM ranks",
     "similarity_search_summary": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, count(*) AS n_queries, round(avg(rank), 6) AS avg_rank,
       round(stddev_samp(rank), 6) AS std_rank, round(avg(1 / rank), 6) AS mrr FROM ranks WHERE model = 'full' GROUP BY ALL""",

@@ -8,6 +8,7 @@ from glossaria.operators import morphology as mo
 from glossaria.operators import subwords as sw
 from glossaria.operators.ngrams import count_terms
 from glossaria.plans import fixtures as fx
+from glossaria.sources.corpora import materialize
 
 KEYS = ["doc_id", "language"]
 
@@ -60,7 +61,7 @@ def token_word_marginals(spark, sf_dir):
 
 
 def conditional_probabilities(spark, sf_dir):
-    return sw.conditional_probabilities(sw.token_word_joint(_lexicon(spark, sf_dir)))
+    return sw.conditional_probabilities(sw.token_word_joint(materialize(_lexicon(spark, sf_dir), "lexicon")))
 
 
 def vocabulary_reduction(spark, sf_dir):

@@ -98,10 +98,12 @@ def test_drawn_positive_pairs(spark, corpus):
     assert counts == {"yes": 9 * 6, "no": 4 * 6}
 
 
-def test_bigrams_cross_borders(spark, rows):
+@pytest.mark.parametrize("bucket_rows", [1, 2, 1000])
+def test_bigrams_cross_borders(spark, rows, bucket_rows):
     data = [("a", 0, ["x", "y"]), ("a", 1, []), ("a", 2, ["z"]), ("b", 0, ["x", "y"])]
     df = spark.createDataFrame(data, "language string, k long, tokens array<string>")
-    assert rows(ngrams.bigram_counts(df, [], "language", "k")) == [("x y", 2), ("y z", 1), ("z x", 1)]
+    crossing = ngrams.bigram_counts(df, [], "language", "k", bucket_rows=bucket_rows)
+    assert rows(crossing) == [("x y", 2), ("y z", 1), ("z x", 1)]
     assert rows(ngrams.bigram_counts(df, [], "language", "k", cross_border=False)) == [("x y", 2)]
 
 
