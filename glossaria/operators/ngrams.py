@@ -82,10 +82,10 @@ def bigram_counts(
     key_range = F.floor(F.col(key) / F.lit(bucket_rows)).cast("bigint").alias("range")
     # a generator, not a filter: a filter would be pushed down and tokenize once more
     both_ends = F.struct(F.get(tokens, F.lit(0)).alias("first"), F.get(tokens, F.size(tokens) - 1).alias("last"))
-    edges = df.select(
-        F.struct(*groups, F.col(order_in).alias("__order"), key_range).alias("slot"),
-        F.col(key).alias("key"),
-        F.inline(F.when(F.size(tokens) > 0, F.array(both_ends))),
+    slot = F.struct(*groups, F.col(order_in).alias("__order"), key_range).alias("slot")
+    slotted = df.select(slot, F.col(key).alias("key"), F.col(tokens))
+    edges = slotted.select(
+        "slot", "key", F.inline(F.when(F.size(tokens) > 0, F.array(both_ends)))
     ).repartition("slot")
     in_group = [F.col(f"slot.{g}").alias(g) for g in groups]
     following = F.lead("first").over(Window.partitionBy("slot").orderBy("key"))
