@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import bleu_tokens, ngrams, strip_whitespace
-from glossaria.operators.ids import co_locate
+from glossaria.operators.ids import bounded, co_locate
 
 
 def language_balance(df: DataFrame, groups: Sequence[str] = (), digits: int = 6) -> DataFrame:
@@ -33,6 +33,7 @@ def confusion_matrix(counts: DataFrame, groups: Sequence[str] = (), drop_empty:
 
     ``drop_empty`` removes rows and columns that are zero throughout.
     """
+    counts = bounded(counts)
     seen = counts.select(*groups, F.explode(F.array("label", "prediction")).alias("label"))
     by_group = seen.groupBy(*groups).agg(F.collect_set("label").alias("labels"))
     rows = by_group.select(*groups, "labels", F.explode("labels").alias("label"))

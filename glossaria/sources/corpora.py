@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaria.functions.text import strip_whitespace
+from glossaria.operators.ids import bounded
 
 # File layouts as (glob, pattern of the language in the path).
 LAYOUTS = {
@@ -47,7 +48,7 @@ def read_parallel_corpus(
         .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select("file", "start", "first", "offset")
     )
-    numbered = lines.join(splits, ["file", "start"]).select(
+    numbered = lines.join(bounded(splits), ["file", "start"]).select(
         F.regexp_extract(F.url_decode("file"), pattern, 1).alias("language"),
         (F.col("offset") + F.col("row") - F.col("first")).alias("sentence_id"),
         strip_whitespace("value").alias("text"),
