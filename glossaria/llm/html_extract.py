@@ -110,6 +110,10 @@ LABELLED = (
     "without delay</p></form><main><p>+no one knows</p><p>+where the old road went is not on any map that the archive of "
     "the county keeps in its cellar</p><p><a href=/q>+maps</a></p></main><aside><p>-the weather of the week will be fine in "
     "the south and wet in the north with some wind on the coast and over the lakes</p><p>-fine</p></aside>",
+    "<h1>+a plain page</h1><p>+it has no furniture at all and ends with its last paragraph</p><p>+like this</p>",
+    "<div><h2>+minutes</h2><p>+the meeting began at eight</p><ul><li>+accounts</li><li>+repairs of the roof</li></ul><p>+it "
+    "ended at ten after a long talk about the price of coal</p></div>", "<p>+a page with a single block</p>", "<p>+hello</p>",
+    "<a href=/1>-back</a>", "<p>+the old shop is closed</p><p><a href=/map>-map</a></p>",
     "<div class=promo-banner>-subscribe now and save half of the price for one year</div><article><p>+one</p><p>+two words"
     "</p><div class=newsletter-signup><p>-do you like this then read our letter every morning</p></div><p>+the third part of "
     "the text follows after the box and goes on for a while</p><div class=share-links><a href=/s>-share this</a></div>"
