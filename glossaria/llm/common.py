@@ -86,3 +86,53 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
         if np.abs(step).max() < 1e-6:
             break
     return beta
+
+
+def poly(parts: list[np.ndarray], salt: int = 0) -> np.ndarray:
+    """64-bit hash of sequences, given as one array per place."""
+    h = np.full(len(parts[0]), salt + len(parts), np.uint64)
+    for p in parts:
+        h = h * np.uint64(0x9E3779B97F4A7C15) + p
+    return mix(h)
+
+
+class WordHashes(dict):
+    """Word -> 64-bit hash of its lower case, computed once per word while the table has room."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.lower())
+        return value
+
+
+def hash_words(texts: list[str], pattern, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and the number of words of each text."""
+    found = [list(map(known.__getitem__, pattern.findall(t))) for t in texts]
+    counts = np.array([len(f) for f in found], np.int64)
+    return np.fromiter((h for f in found for h in f), np.uint64, int(counts.sum())), counts
+
+
+def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and first word (in ``words``) of every shingle.
+
+    A text with fewer words than ``size`` has one shingle of all its words; a
+    text without words has none.
+    """
+    doc = np.repeat(np.arange(len(counts)), counts)
+    n = len(words) - size + 1
+    if n > 0:
+        start = np.flatnonzero(doc[:n] == doc[size - 1 :])
+        hashes = poly([words[i : i + n] for i in range(size)])[start]
+    else:
+        start, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    if len(short):
+        first = (np.cumsum(counts) - counts)[short]
+        own = [poly([words[f + i : f + i + 1] for i in range(c)]) for f, c in zip(first, counts[short])]
+        start, hashes = np.concatenate([start, first]), np.concatenate([hashes, *own])
+        order = np.argsort(start, kind="stable")
+        start, hashes = start[order], hashes[order]
+    return hashes, doc[start], start

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossaria.llm import chat, html_extract, line_dedup, packing, quality_classifier, quality_rules, toxicity
+from glossaria.llm import chat, decontaminate, html_extract, line_dedup, lm_scoring, minhash, packing, quality_classifier, quality_rules, toxicity
 from glossaria.llm.common import table
 
 
@@ -32,6 +32,12 @@ def op2_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *names, "base_failed", "kept", "rule_failed", "level")
 
 
+def op3_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.search(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op4_html_extraction(spark, sf_dir):
     found = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     text = F.col("main_text")
@@ -46,6 +52,17 @@ def op5_packing(spark, sf_dir):
     return pieces.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
 
 
+def op6_lm_scoring(spark, sf_dir):
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"))
+    return scored.select(
+        "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score")
+    )
+
+
+def op7_minhash_dedup(spark, sf_dir):
+    return minhash.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op8_chat_formatting(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
@@ -69,13 +86,17 @@ def op10_line_dedup(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_decontamination": op3_decontamination,
     "op4_html_extraction": op4_html_extraction,
     "op5_packing": op5_packing,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
+    "op6_lm_scoring": lm_scoring.ORACLE_SQL,
     "op8_chat_formatting": chat.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
