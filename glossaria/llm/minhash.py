@@ -13,12 +13,15 @@ Bands of ``ROWS`` coordinates give buckets. Texts of similarity 0.8 share at
 least one of 25 bands of 5 with probability 0.99995.
 
 * Equal texts are one node, known by a digest.
-* In a bucket all nodes are compared with one of them, chosen by a hash of
-  bucket and node, so other buckets choose others. Nodes that are not similar
-  to it form the bucket again, until none is left. Buckets give rows linear in
-  their size per round, and joins split hot keys.
+* In rounds, the nodes of a bucket are compared with some of them, its hubs:
+  the node with the most links so far, and others drawn by a hash, ``HUBS`` per
+  round. After each round links give connected components; nodes in the
+  component of a hub of the bucket, and the hubs, leave it. Rounds end when no
+  bucket has nodes left, so nothing is capped: every node has been compared
+  with its buckets' hubs until it was in the component of one. Rows of a round
+  are linear in the bucket, and joins split hot keys.
 * Comparisons are exact: weighted Jaccard similarity of the shingles, at least
-  ``SIMILARITY``. Links give connected components by iterated minima.
+  ``SIMILARITY``. Components come from iterated minima.
 
 Each row gets the class of its node: the least id in the component.
 
@@ -49,17 +52,23 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 WIDTH = BANDS * ROWS
 DARTS = WIDTH * (math.log(WIDTH) + 2)
+HUBS = (1, 1, 4, 16, 64)
 STEP, THROW = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def strips(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One id per unit of weight: the n-th occurrence of a shingle in a text is strip n of the shingle."""
-    order = np.lexsort((hashes, doc))
-    h, d = hashes[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return mix(h + (np.arange(len(h)) - first).astype(np.uint64) * STEP), d
+    key = mix(hashes + doc.astype(np.uint64) * STEP)
+    order = np.argsort(key)
+    ordered = key[order]
+    again = np.zeros(len(key), bool)
+    again[1:] = ordered[1:] == ordered[:-1]
+    if again.any():
+        place = np.arange(len(key))
+        nth = np.zeros(len(key), np.uint64)
+        nth[order] = place - np.maximum.accumulate(np.where(again, 0, place))
+        hashes = hashes + nth * STEP
+    return mix(hashes), doc
 
 
 def signatures(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,12 +92,12 @@ def signatures(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray,
             ranks.append(rank)
             cells.append(owner[at] * WIDTH + (dart % np.uint64(WIDTH)).astype(np.int64))
         ids, ranks, cells = np.concatenate(ids), np.concatenate(ranks), np.concatenate(cells)
-        latest_first = np.argsort(-ranks, kind="stable")
-        seen = np.zeros(n * WIDTH, bool)
-        seen[cells] = True
+        earliest = np.full(n * WIDTH, np.inf)
+        np.minimum.at(earliest, cells, ranks)
+        first = ranks == earliest[cells]
         own = np.zeros(n * WIDTH, np.uint64)
-        own[cells[latest_first]] = ids[latest_first]  # the last write, the earliest dart, stays
-        full = seen.reshape(n, WIDTH).all(axis=1) & present & ~done
+        own[cells[first]] = ids[first]
+        full = np.isfinite(earliest).reshape(n, WIDTH).all(axis=1) & present & ~done
         out[full] = own.reshape(n, WIDTH)[full]
         done |= full
         rest = ~done[owner]
@@ -188,38 +197,64 @@ def candidate_texts(docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_colum
     return materialize(bodies.dropDuplicates(["id", "node"]).select("node", "body"), "candidates")
 
 
-def link(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (hub, node) between different texts; ``rows`` are the sketches of ``docs``."""
+def link(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame | None:
+    """Components (node, label) of the nodes that are similar to others; ``rows`` are the sketches of ``docs``."""
     members = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    order = F.struct(F.xxhash64("key", "node").alias("draw"), "node")
-    found, texts = None, None
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = materialize(members.join(shared, "key"), "members")
+    if members.isEmpty():
+        return None
+    texts = candidate_texts(docs, rows, members.select("node").distinct(), id_column, text)
+    found, labels, hubs, turn = None, None, None, 0
     while True:
-        buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(order)["node"].alias("hub"))
-        open_ = members.join(buckets.where("n > 1").drop("n"), "key").where("hub != node")
-        open_ = materialize(open_, "members")
-        if open_.isEmpty():
-            break
-        pairs = open_.select("hub", "node").distinct()
-        if texts is None:
-            nodes = open_.select("node").unionByName(open_.select(F.col("hub").alias("node"))).distinct()
-            texts = candidate_texts(docs, rows, nodes, id_column, text)
-        else:
+        state = members.withColumns({"links": F.lit(0).cast("bigint"), "label": F.col("node")})
+        if labels is not None:
+            known = labels.select("node", F.col("label").alias("own"), F.col("links").alias("degree"))
+            state = members.join(known, "node", "left").select(
+                "key", "node", F.coalesce("degree", F.lit(0)).alias("links"), F.coalesce("own", "node").alias("label")
+            )
+        if hubs is not None:
+            of_hubs = hubs.join(labels.select("node", F.col("label").alias("own")), "node", "left")
+            of_hubs = of_hubs.select("key", F.coalesce("own", "node").alias("label")).distinct()
+            state = materialize(state.join(of_hubs, ["key", "label"], "left_anti"), "members")
+            if state.isEmpty():
+                return labels.select("node", "label")
+        draw = F.xxhash64("key", "node")
+        leads = state.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.struct("links", draw.alias("draw"), "node"))["node"].alias("lead")
+        )
+        drawn = F.pmod(draw, F.lit(1 << 30)) * F.col("n") < F.lit(HUBS[min(turn, len(HUBS) - 1)] - 1) * F.lit(float(1 << 30))
+        state = state.join(leads, "key").withColumn("is_hub", drawn | (F.col("node") == F.col("lead")))
+        state = materialize(state.select("key", "node", "label", "is_hub"), "members")
+        new = state.where("is_hub").select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+        # a hub is compared with the nodes that stay and with the hubs of lower digest
+        pairs = state.join(new, "key").where("label != hub_label and (not is_hub or node < hub)").select("hub", "node").distinct()
+        if found is not None:
             pairs = pairs.join(found, ["hub", "node"], "left_anti")
         fresh = materialize(compare(pairs, texts), "compared")
-        found = fresh if found is None else found.unionByName(fresh)
-        far = found.where(F.col("similarity") < similarity).select("hub", "node")
-        members = open_.join(far, ["hub", "node"], "left_semi").select("node", "key")
-    if found is None:
-        return rows.select(F.col("node").alias("hub"), "node").limit(0)
-    return found.where(F.col("similarity") >= similarity).select("hub", "node")
+        near = F.col("similarity") >= similarity
+        found = fresh if found is None else materialize(found.unionByName(fresh), "compared")
+        if labels is None or not fresh.where(near).isEmpty():
+            links = found.where(near)
+            ends = links.select("node").unionByName(links.select(F.col("hub").alias("node")))
+            degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+            labels = materialize(components(links).join(degrees, "node"), "labels")
+        more = new.select("key", F.col("hub").alias("node"))
+        hubs = materialize(more if hubs is None else hubs.unionByName(more), "hubs")
+        members = state.where("not is_hub").select("key", "node")
+        turn += 1
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: id, ``node`` (digest of its text), ``class_node`` and ``class_id``."""
     rows = sketches(docs, id_column, text)
-    labels = components(link(docs, rows, id_column, text, similarity))
-    rows = rows.select(F.col("id").alias(id_column), "node").join(labels, "node", "left")
-    rows = materialize(rows.withColumn("class_node", F.coalesce("label", "node")).drop("label"), "classes")
+    labels = link(docs, rows, id_column, text, similarity)
+    rows = rows.select(F.col("id").alias(id_column), "node")
+    if labels is None:
+        rows = rows.withColumn("class_node", F.col("node"))
+    else:
+        rows = rows.join(labels, "node", "left").withColumn("class_node", F.coalesce("label", "node")).drop("label")
+    rows = materialize(rows, "classes")
     least = rows.groupBy("class_node").agg(F.min(id_column).alias("class_id"))
     return rows.join(least, "class_node").select(id_column, "node", "class_node", "class_id")
 
