@@ -13,13 +13,14 @@ Bands of ``ROWS`` coordinates give buckets. Texts of similarity 0.8 share at
 least one of 25 bands of 5 with probability 0.99995.
 
 * Equal texts are one node, known by a digest.
-* In rounds, the nodes of a bucket are compared with some of them, its hubs:
-  the node with the most links so far, and others drawn by a hash, ``HUBS`` per
-  round. After each round links give connected components; nodes in the
-  component of a hub of the bucket, and the hubs, leave it. Rounds end when no
-  bucket has nodes left, so nothing is capped: every node has been compared
-  with its buckets' hubs until it was in the component of one. Rows of a round
-  are linear in the bucket, and joins split hot keys.
+* In ``HUB_ROUNDS`` rounds, the nodes of a bucket are compared with one of
+  them, its hub: the node with the most links so far, ties broken by a hash of
+  bucket and node. After each round links give connected components; the hub
+  and the nodes of its component leave the bucket. This settles groups of
+  copies with rows linear in the bucket, and joins split hot keys.
+* Nodes that are left in a bucket are compared with each other in blocks of
+  about ``BLOCK`` nodes, a pair of blocks at a time, in the tasks; only links
+  come back. No bucket is too large: it has more blocks.
 * Comparisons are exact: weighted Jaccard similarity of the shingles, at least
   ``SIMILARITY``. Components come from iterated minima.
 
@@ -52,7 +53,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 WIDTH = BANDS * ROWS
 DARTS = WIDTH * (math.log(WIDTH) + 2)
-HUBS = (1, 1, 4, 16, 64)
+HUB_ROUNDS, BLOCK = 2, 256
 STEP, THROW = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -197,6 +198,54 @@ def candidate_texts(docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_colum
     return materialize(bodies.dropDuplicates(["id", "node"]).select("node", "body"), "candidates")
 
 
+def overlaps(texts: list[str], known: WordHashes) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of a bounded list of texts."""
+    words, counts = hash_words(texts, WORD, known)
+    hashes, doc, _ = shingle_hashes(words, counts, SHINGLE)
+    units, owner = strips(hashes, doc)
+    _, column, seen = np.unique(units, return_inverse=True, return_counts=True)
+    shared = seen[column] > 1
+    owner_shared, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner_shared, column = owner_shared[order], column[order]
+    both, width = np.zeros((len(texts), len(texts)), np.float32), 4096
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        some = slice(*np.searchsorted(column, [start, start + width]))
+        part = np.zeros((len(texts), width), np.float32)
+        part[owner_shared[some], column[some] - start] = 1
+        both += part @ part.T
+    size = np.bincount(owner, minlength=len(texts)).astype(np.float32)
+    return both / np.maximum(size[:, None] + size[None, :] - both, 1)
+
+
+def block_comparer(similarity: float):
+    """Arrow function: links between the blocks of one pair of blocks."""
+
+    def run(rows):
+        rows = rows.sort_by("node")
+        node, block = rows.column("node").to_pylist(), np.array(rows.column("block").to_pylist())
+        label = rows.column("label").to_pylist()
+        near = np.triu(overlaps(rows.column("body").to_pylist(), WordHashes()) >= similarity, 1)
+        if block.min() != block.max():
+            near &= block[:, None] != block[None, :]
+        pairs = [(node[i], node[j]) for i, j in np.argwhere(near) if label[i] != label[j]]
+        return pa.table({"hub": pa.array([p[0] for p in pairs], pa.binary()), "node": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return run
+
+
+def block_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (hub, node) among the nodes of each bucket of (key, node, label)."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    rows = members.join(sizes, "key").select(
+        "key", "node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int").alias("block")
+    )
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return rows.join(texts, "node").groupBy("key", "low", "high").applyInArrow(block_comparer(similarity), "hub binary, node binary")
+
+
 def link(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame | None:
     """Components (node, label) of the nodes that are similar to others; ``rows`` are the sketches of ``docs``."""
     members = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
@@ -205,44 +254,43 @@ def link(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text: str
     if members.isEmpty():
         return None
     texts = candidate_texts(docs, rows, members.select("node").distinct(), id_column, text)
-    found, labels, hubs, turn = None, None, None, 0
-    while True:
-        state = members.withColumns({"links": F.lit(0).cast("bigint"), "label": F.col("node")})
-        if labels is not None:
-            known = labels.select("node", F.col("label").alias("own"), F.col("links").alias("degree"))
-            state = members.join(known, "node", "left").select(
-                "key", "node", F.coalesce("degree", F.lit(0)).alias("links"), F.coalesce("own", "node").alias("label")
-            )
-        if hubs is not None:
-            of_hubs = hubs.join(labels.select("node", F.col("label").alias("own")), "node", "left")
-            of_hubs = of_hubs.select("key", F.coalesce("own", "node").alias("label")).distinct()
-            state = materialize(state.join(of_hubs, ["key", "label"], "left_anti"), "members")
-            if state.isEmpty():
-                return labels.select("node", "label")
-        draw = F.xxhash64("key", "node")
-        leads = state.groupBy("key").agg(
-            F.count(F.lit(1)).alias("n"), F.max(F.struct("links", draw.alias("draw"), "node"))["node"].alias("lead")
-        )
-        drawn = F.pmod(draw, F.lit(1 << 30)) * F.col("n") < F.lit(HUBS[min(turn, len(HUBS) - 1)] - 1) * F.lit(float(1 << 30))
-        state = state.join(leads, "key").withColumn("is_hub", drawn | (F.col("node") == F.col("lead")))
-        state = materialize(state.select("key", "node", "label", "is_hub"), "members")
-        new = state.where("is_hub").select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        # a hub is compared with the nodes that stay and with the hubs of lower digest
-        pairs = state.join(new, "key").where("label != hub_label and (not is_hub or node < hub)").select("hub", "node").distinct()
+    state = members.withColumns({"links": F.lit(0).cast("bigint"), "label": F.col("node")})
+    found, hubs = None, None
+    for _ in range(HUB_ROUNDS):
+        order = F.struct("links", F.xxhash64("key", "node").alias("draw"), "node")
+        leads = state.groupBy("key").agg(F.max(order)["node"].alias("hub"))
+        state = materialize(state.join(leads, "key").select("key", "node", "hub"), "members")
+        pairs = state.where("node != hub").select("hub", "node").distinct()
         if found is not None:
             pairs = pairs.join(found, ["hub", "node"], "left_anti")
-        fresh = materialize(compare(pairs, texts), "compared")
-        near = F.col("similarity") >= similarity
-        found = fresh if found is None else materialize(found.unionByName(fresh), "compared")
-        if labels is None or not fresh.where(near).isEmpty():
-            links = found.where(near)
-            ends = links.select("node").unionByName(links.select(F.col("hub").alias("node")))
-            degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-            labels = materialize(components(links).join(degrees, "node"), "labels")
-        more = new.select("key", F.col("hub").alias("node"))
-        hubs = materialize(more if hubs is None else hubs.unionByName(more), "hubs")
-        members = state.where("not is_hub").select("key", "node")
-        turn += 1
+        fresh = compare(pairs, texts)
+        found = materialize(fresh if found is None else found.unionByName(fresh), "compared")
+        links = found.where(F.col("similarity") >= similarity).select("hub", "node")
+        labels = labelled(links)
+        state = with_labels(state, labels)
+        new = state.where("node = hub").select("key", "label")
+        hubs = materialize(new if hubs is None else with_labels(hubs, labels).select("key", "label").unionByName(new), "hubs")
+        state = state.where("node != hub").drop("hub").join(hubs.distinct(), ["key", "label"], "left_anti")
+        hubs = hubs.withColumn("node", F.col("label"))
+    rest = materialize(state.select("key", "node", "label"), "members")
+    if rest.isEmpty():
+        return labels.select("node", "label")
+    more = materialize(block_links(rest, texts, similarity), "links").distinct()
+    return labelled(links.unionByName(more)).select("node", "label")
+
+
+def labelled(links: DataFrame) -> DataFrame:
+    """(node, label, links): component and number of links of the nodes that have any."""
+    ends = links.select("node").unionByName(links.select(F.col("hub").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    return materialize(components(links).join(degrees, "node"), "labels")
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Replace ``label`` and ``links`` of the rows' nodes; a node without links is its own component."""
+    known = labels.select("node", F.col("label").alias("own"), F.col("links").alias("degree"))
+    rows = rows.drop("label", "links").join(known, "node", "left")
+    return rows.withColumns({"label": F.coalesce("own", "node"), "links": F.coalesce("degree", F.lit(0))}).drop("own", "degree")
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
