@@ -75,11 +75,19 @@ def ngrams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return out, counts
 
 
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array."""
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return np.flatnonzero(new)
+
+
 def distinct(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-grams of all orders with their counts; hash 0 counts the words."""
-    found = [h[h != 0] for h in hashes]
-    keys, counts = np.unique(np.concatenate(found), return_counts=True)
-    return np.concatenate([np.zeros(1, np.uint64), keys]), np.concatenate([[len(hashes[0])], counts]).astype(np.uint64)
+    ordered = np.sort(np.concatenate([h[h != 0] for h in hashes]))
+    first = runs(ordered)
+    counts = np.diff(np.append(first, len(ordered)))
+    return np.append(np.uint64(0), ordered[first]), np.append(len(hashes[0]), counts).astype(np.uint64)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -112,13 +120,11 @@ def answer(requests):
     sizes = requests.column("n").to_pylist()
     keys = np.concatenate([np.cumsum(from_planes(h, n)) for h, n in zip(requests.column("hashes").to_pylist(), sizes)])
     counts = np.concatenate([from_planes(c, n) for c, n in zip(requests.column("counts").to_pylist(), sizes)])
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    first = np.flatnonzero(new)
+    order = np.argsort(keys)
+    first = runs(keys[order])
     total = np.empty(len(keys), np.uint64)
-    total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(keys))))
+    if len(keys):
+        total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.append(first, len(keys))))
     ends = np.cumsum(sizes)
     return pa.table(
         {
@@ -130,28 +136,43 @@ def answer(requests):
     )
 
 
+def elsewhere(h: np.ndarray, doc: np.ndarray, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Occurrences of each word's n-gram in other documents.
+
+    ``doc`` ascends, so a stable sort by hash puts the occurrences of an n-gram
+    in one document next to each other.
+    """
+    order = np.argsort(h, kind="stable")
+    ordered, owner = h[order], doc[order]
+    first = runs(ordered)
+    total = np.repeat(sums[np.searchsorted(keys, ordered[first])], np.diff(np.append(first, len(h))))
+    new = np.zeros(len(h), bool)
+    new[first] = True
+    new[1:] |= owner[1:] != owner[:-1]
+    own = np.flatnonzero(new)
+    total -= np.repeat(np.diff(np.append(own, len(h))), np.diff(np.append(own, len(h))))
+    total[ordered == 0] = 0
+    out = np.empty(len(h))
+    out[order] = total
+    return out
+
+
 def scorer(order: int, names: list[str]):
     """Arrow function: scores of the documents of a block, from its answers."""
 
     def run(docs, answers):
         hashes, counts = ngrams([x or "" for x in docs.column("text").to_pylist()], order)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        keys, _ = distinct(hashes)
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "n", "sums"))))
         sums = np.concatenate([from_planes(s, n) for _, n, s in rows]).astype(float)
-        words, left, before = sums[0], [], []
-        for h in hashes:
-            place = np.searchsorted(keys, h)
-            pair = place.astype(np.int64) * len(counts) + doc
-            _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-            left.append(np.where(h == 0, 0.0, sums[place] - own[back]))
-        rest = words - counts[doc]
+        del rows
+        keys = distinct(hashes)[0]
+        left = [elsewhere(h, doc, keys, sums) for h in hashes]
+        rest = sums[0] - counts[doc]
         score = np.where(left[0] > 0, left[0], BACKOFF) * BACKOFF ** (order - 1) / np.maximum(rest, 1)
         for n in range(2, order + 1):
-            context = np.zeros(len(doc))
-            context[1:] = left[n - 2][:-1]
-            seen = left[n - 1] > 0
-            score[seen] = BACKOFF ** (order - n) * left[n - 1][seen] / context[seen]
+            seen = np.flatnonzero(left[n - 1] > 0)
+            score[seen] = BACKOFF ** (order - n) * left[n - 1][seen] / left[n - 2][seen - 1]
         total = np.bincount(doc, np.log(score), len(counts)) if len(doc) else np.zeros(len(counts))
         columns = {names[0]: docs.column(names[0]), "n_words": pa.array(counts), "log_score": pa.array(total)}
         columns["mean_log_score"] = pa.array(total / np.maximum(counts, 1))
