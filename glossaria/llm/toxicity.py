@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -190,9 +192,12 @@ def fit_rows(texts: list[str], toxic: list[int], prior: float, field_rows: int =
         return model
     words: dict[str, int] = {}
     ids = [np.array([words.setdefault(w, len(words)) for w in TOKEN.findall(t)], np.int64) for t, _ in rows]
-    hashed = [features(w) for w in words]
-    size = np.array([len(h) for h in hashed], np.int64)
-    flat = np.concatenate([np.array(h, np.int64) for h in hashed]) if hashed else np.zeros(0, np.int64)
+    found, size = array("i"), np.zeros(len(words), np.int64)
+    for k, w in enumerate(words):
+        own = features(w)
+        found.extend(own)
+        size[k] = len(own)
+    flat = np.frombuffer(found, np.int32).astype(np.int64) if len(found) else np.zeros(0, np.int64)
     first = np.cumsum(size) - size
 
     def of_words(distinct: np.ndarray) -> np.ndarray:
@@ -244,8 +249,13 @@ def fit_rows(texts: list[str], toxic: list[int], prior: float, field_rows: int =
 
     emission = np.add.reduceat(model.weights[flat], first) if len(words) else np.zeros(0)
     counts = np.array([len(i) for i in ids])
-    token = np.concatenate(ids)
-    marginal = chain(emission[token], counts, model)
+    part = np.cumsum(counts) // 300_000  # chains of some documents at a time bound the memory
+    marginal = np.concatenate(
+        [
+            chain(emission[np.concatenate(ids[i:j])], counts[i:j], model)
+            for i, j in pairwise([*np.flatnonzero(np.diff(part, prepend=-1)), len(ids)])
+        ]
+    )
     share = np.array([prior, 1 - prior])
     weight = np.where(y == 1, share[0] / n1, share[1] / n0) * len(y)
     model.document = fit_logistic(document_inputs(marginal, counts), y.astype(float), weight)
