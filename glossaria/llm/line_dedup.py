@@ -31,7 +31,7 @@ def lines_of(text: str) -> Column:
 
 def line_hashes(text: str) -> Column:
     """Hashes of the distinct lines that are not blank."""
-    full = F.filter(F.transform(lines_of(text), F.trim), lambda x: x != "")
+    full = F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(F.transform(full, lambda x: F.xxhash64(x)))
 
 
