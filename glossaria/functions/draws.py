@@ -16,6 +16,6 @@ def hash_key(seed: str, *keys: Column) -> Column:
 
 
 def draw(seed: str, n: Column, *keys: Column) -> Column:
-    """Integer in ``[0, n)``; 32 hash bits, hence for ``n`` well below 2**32."""
-    bits = F.conv(F.substring(hash_key(seed, *keys), 1, 8), 16, 10).cast("bigint")
+    """Integer in ``[0, n)`` from 60 hash bits."""
+    bits = F.conv(F.substring(hash_key(seed, *keys), 1, 15), 16, 10).cast("bigint")
     return F.when(n > 0, bits % n)

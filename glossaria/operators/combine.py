@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.operators.ids import bounded
+from glossaria.operators.ids import dimension
 
 def concat_datasets(*datasets: DataFrame) -> DataFrame:
     """Stack datasets by column name."""
@@ -43,7 +43,7 @@ def language_coverage(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def restrict_to_common(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``a`` whose language also occurs in ``b``."""
-    return a.join(bounded(languages(b)), "language", "left_semi")
+    return a.join(dimension(languages(b)), "language", "left_semi")
 
 
 def select_train_test(

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import bleu_tokens, ngrams, strip_whitespace
-from glossaria.operators.ids import bounded, co_locate
+from glossaria.operators.ids import dimension, co_locate
+
+RUN = 1 << 12
 
 
 def language_balance(df: DataFrame, groups: Sequence[str] = (), digits: int = 6) -> DataFrame:
@@ -33,7 +35,7 @@ def confusion_matrix(counts: DataFrame, groups: Sequence[str] = (), drop_empty:
 
     ``drop_empty`` removes rows and columns that are zero throughout.
     """
-    counts = bounded(counts)
+    counts = dimension(counts)
     seen = counts.select(*groups, F.explode(F.array("label", "prediction")).alias("label"))
     by_group = seen.groupBy(*groups).agg(F.collect_set("label").alias("labels"))
     rows = by_group.select(*groups, "labels", F.explode("labels").alias("label"))
@@ -152,10 +154,15 @@ def misclassification_counts(df: DataFrame, groups: Sequence[str] = ()) -> DataF
 
 
 def expand_confusion(wide: DataFrame, label: str = "label") -> DataFrame:
-    """Wide confusion matrix -> one row per observation."""
+    """Wide confusion matrix -> one row per observation; long cells go through runs of bounded length."""
     columns = [c for c in wide.columns if c != label]
     cells = wide.unpivot(label, columns, "prediction", "n").where(F.col("n") > 0)
-    return cells.select(label, "prediction", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("observation"))
+    # each element of the first array stands for RUN * RUN observations, then for RUN, then for one
+    rows = cells.withColumn("first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(RUN * RUN).cast("bigint"))))
+    for width in (RUN, 1):
+        last = F.least(F.col("n"), F.col("first") + F.lit(width * RUN - 1))
+        rows = rows.withColumn("first", F.explode(F.sequence(F.col("first"), last, F.lit(width).cast("bigint"))))
+    return rows.select(label, "prediction", F.col("first").alias("observation"))
 
 
 def bleu_statistics(df: DataFrame, key: str, groups: Sequence[str] = (), max_n: int = 4) -> DataFrame:

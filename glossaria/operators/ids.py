@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossaria.sources.shared import materialize
+
 BUCKET_ROWS = 1 << 13
 
 
@@ -76,7 +78,7 @@ def add_global_sentence_id(
     before = Window.partitionBy(F.lit(0)).orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     return (
-        null_safe_join(df, bounded(offsets), groups)
+        null_safe_join(df, dimension(offsets), groups)
         .withColumn(out, (F.col("__offset") + F.col(position)).cast("bigint"))
         .drop("__offset")
     )
@@ -87,24 +89,15 @@ def scalar(df: DataFrame, value: Column) -> Column:
     return df.agg(value.alias("value")).scalar()
 
 
-def bounded(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A dimension table (languages, labels, names, vocabularies) as a local one.
-
-    At most ``max_rows`` rows are read; joins with the result are broadcast,
-    which spares the large side a shuffle by a possibly hot key. A larger table
-    is returned as it is, and the join is shuffled.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    return df if len(rows) > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input that has fewer splits than the cluster has cores.
+def dimension(df: DataFrame) -> DataFrame:
+    """A small table (languages, labels, names, vocabularies) as the side of a join.
 
-    Tables of many files keep their own splits and are not shuffled.
+    It is written to the shared folder, so its size is measured, not estimated:
+    Spark broadcasts it below the session's threshold, which spares the large
+    side a shuffle by a possibly hot key. A larger one is joined by a shuffle
+    whose hot partitions adaptive execution splits.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return materialize(df, "dimension")
 
 
 def co_locate(df: DataFrame, *keys: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.functions.draws import draw
-from glossaria.operators.ids import bounded, scalar
+from glossaria.operators.ids import dimension, scalar
 
 
 def align_to_target(df: DataFrame, target: str, keep_target: bool = True) -> DataFrame:
@@ -173,7 +173,7 @@ def pair_related_label(
     both_ways = edges.unionByName(
         edges.select(F.col("language2").alias("language1"), F.col("language1").alias("language2"), "__d")
     )
-    joined = df.join(bounded(both_ways), ["language1", "language2"], "left")
+    joined = df.join(dimension(both_ways), ["language1", "language2"], "left")
     close = (F.col("language1") == F.col("language2")) | F.coalesce(F.col("__d") <= max_distance, F.lit(False))
     return joined.withColumn(out, _yes_no(close)).drop("__d")
 
@@ -193,7 +193,7 @@ def join_metrics_before_after(before: DataFrame, after: DataFrame, on: str = "la
 def name_language_pairs(df: DataFrame, names: DataFrame, out: str = "language_pair_name") -> DataFrame:
     """``a-b`` -> ``Name A - Name B``."""
     parts = F.split("language_pair", "-", 2)
-    names = bounded(names)
+    names = dimension(names)
     n1 = names.select(F.col("language_code").alias("__c1"), F.col("language").alias("__n1"))
     n2 = names.select(F.col("language_code").alias("__c2"), F.col("language").alias("__n2"))
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.draws import hash_key
-from glossaria.operators.ids import bounded
+from glossaria.operators.ids import dimension
 
 # Languages with a Cyrillic spelling, their codes in two corpora
 # and in the romanization tables.
@@ -72,7 +72,7 @@ def add_script_column(
         F.col("language").alias("__language"), F.get("scripts", F.lit(0)).alias("__script")
     )
     return (
-        df.join(bounded(first), F.col(language) == F.col("__language"), "left")
+        df.join(dimension(first), F.col(language) == F.col("__language"), "left")
         .withColumn(out, F.coalesce("__script", F.lit("unknown")))
         .drop("__language", "__script")
     )
@@ -129,12 +129,12 @@ def label_vocabulary(*datasets: DataFrame, column: str = "label") -> DataFrame:
 
 def encode_labels(df: DataFrame, vocabulary: DataFrame, column: str = "label") -> DataFrame:
     """Label -> id."""
-    return df.join(bounded(vocabulary), column, "left")
+    return df.join(dimension(vocabulary), column, "left")
 
 
 def decode_labels(df: DataFrame, vocabulary: DataFrame, column: str = "label_id") -> DataFrame:
     """Id -> label."""
-    return df.join(bounded(vocabulary), column, "left")
+    return df.join(dimension(vocabulary), column, "left")
 
 
 def same_language_rows(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Input: ``vectors(model, language, sentence_id, embedding)``. Comparing every
 sentence of one language with every sentence of another is quadratic by
-definition. The work is cut into blocks of bounded size that meet in one
+definition. The work is cut into blocks of dimension size that meet in one
 cogroup per block pair; a block pair emits one row of counts per query instead
 of one row per candidate.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.vectors import cosine_distance, unit
-from glossaria.operators.ids import bounded
+from glossaria.operators.ids import dimension
 
 DIGITS = 9
 BLOCK_ROWS = 2048
@@ -51,7 +51,7 @@ def _blocked(units: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def _block_pairs(units: DataFrame, block_rows: int):
     """Query and candidate rows keyed by (model, lang1, block1, lang2, block2)."""
-    blocks = bounded(_block_counts(units, block_rows))
+    blocks = dimension(_block_counts(units, block_rows))
     rows = _blocked(units, blocks)
     partners = blocks.select("model", F.struct("language", "blocks").alias("p"))
     listed = partners.groupBy("model").agg(F.collect_list("p").alias("partners"))

@@ -29,8 +29,8 @@ def prepare_text(
 
 
 def code_point_name(code_point: Column, kind: str = BLOCK) -> Column:
-    """``BASIC_LATIN`` style for blocks, ``Latin`` style for scripts."""
-    raw = F.java_method(F.lit(_CLASSES[kind]), F.lit("of"), code_point)
+    """``BASIC_LATIN`` style for blocks, ``Latin`` style for scripts; null outside of any block."""
+    raw = F.nullif(F.java_method(F.lit(_CLASSES[kind]), F.lit("of"), code_point), F.lit("null"))
     if kind == BLOCK:
         return raw
     return F.replace(F.initcap(F.replace(F.lower(raw), F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("_"))
@@ -83,6 +83,8 @@ def char_profile(
     counted = chars.groupBy(*keys, "ch").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
     name = F.when(F.col("ch").isNotNull(), code_point_name(F.ascii("ch"), kind)).alias("name")
     named = counted.select(*keys, name, "n", "first_pos")
+    if not keep_empty:
+        named = named.where(F.col("name").isNotNull())
     return named.groupBy(*keys, "name").agg(F.sum("n").alias("n"), F.min("first_pos").alias("first_pos"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from glossaria.functions.text import clean_word, explode_terms, posexplode_terms, segment_words
+from glossaria.operators.ids import dimension
 
 # Marks of the usual word-piece convention.
 UNK, CLS, SEP, CONTINUATION = "[UNK]", "[CLS]", "[SEP]", "##"
@@ -217,7 +218,7 @@ def conditional_probabilities(joint: DataFrame, digits: int = 9) -> DataFrame:
     at most (languages x vocabulary) rows and is joined back instead of computed
     in a window, so a frequent token does not gather all its words in one task.
     """
-    by_token = joint.groupBy("language", "token").agg(F.sum("n").alias("n_token"))
+    by_token = dimension(joint.groupBy("language", "token").agg(F.sum("n").alias("n_token")))
     return joint.join(by_token, ["language", "token"]).select(
         "language", "token", "word", "n",
         F.round(F.col("n") / F.col("n_word"), digits).alias("token_given_word"),

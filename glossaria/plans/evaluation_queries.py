@@ -135,12 +135,12 @@ def lid_subword_bigram_model(spark, sf_dir):
 
 
 def lid_embedding_model(spark, sf_dir):
-    data = fx.vectors(spark, sf_dir).select(
-        F.when(F.col("model") == "full", "train").otherwise("test").alias("corpus"),
+    data = fx.vectors(spark, sf_dir).where(F.col("model") == "full").select(
+        F.when(F.col("sentence_id") % 2 == 0, "train").otherwise("test").alias("corpus"),
         F.col("sentence_id").alias("doc_id"), "language", "embedding",
     )
-    train = data.where(F.col("corpus") == "train").drop("corpus")
-    return _identified(lid.lid_embedding_model(train, max_iter=LID_ITERATIONS), train)
+    train, test = _split(data)
+    return _identified(lid.lid_embedding_model(train, max_iter=LID_ITERATIONS), test)
 
 
 def predict_proba(spark, sf_dir):

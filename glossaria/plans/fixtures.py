@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossaria.operators.ids import add_sentence_id, dense_positions, spread
+from glossaria.operators.ids import add_sentence_id, dense_positions
 
 # Latin letters with a Cyrillic counterpart, and the codes under
 # which the re-spelled texts run.
@@ -43,8 +43,9 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for text-heavy work, spread over the cores."""
-    return spread(docs(spark, sf_dir))
+    """Documents for text-heavy work; a table of fewer splits than cores is dealt over the cores."""
+    rows, cores = docs(spark, sf_dir), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

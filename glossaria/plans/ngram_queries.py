@@ -107,7 +107,7 @@ def vocabulary_overlap_join(spark, sf_dir):
 
 def overlap_difference(spark, sf_dir):
     differences = ng.overlap_difference(_bigram_overlap(spark, sf_dir))
-    return differences.orderBy(F.desc("difference"), "bigram").limit(50)
+    return differences.orderBy(F.desc("difference"), "bigram")
 
 
 def overlap_probability_difference(spark, sf_dir):
@@ -218,7 +218,7 @@ ORACLES = {
     "vocabulary_overlap_bigrams": f"WITH {_BIGRAMS} SELECT * FROM overlap",
     "vocabulary_overlap_join": f"WITH {_TOKENS.replace(W, S)} SELECT * FROM overlap",
     "overlap_difference": f"""WITH {_BIGRAMS} SELECT *, n_test - n_train AS difference FROM overlap
-      ORDER BY difference DESC, bigram LIMIT 50""",
+      ORDER BY difference DESC, bigram""",
     "overlap_probability_difference": f"""WITH {_TOKENS}, p AS (
       SELECT token, n_train / (SELECT sum(n_train) FROM overlap) AS a, n_test / (SELECT sum(n_test) FROM overlap) AS b FROM overlap)
       SELECT token, round(a, 9) AS p_train, round(b, 9) AS p_test, round(b - a, 9) AS difference FROM p""",

@@ -11,7 +11,8 @@ from glossaria.plans.ngram_queries import _DIVERGENCE, _cells
 from glossaria.plans.recode_queries import _ALIGNED_SQL
 from glossaria.plans.source_queries import _SCRIPTS_SQL, LANGUAGE_NAMES_SQL
 from glossaria.sources import names
-from glossaria.sources.corpora import language_scripts, materialize
+from glossaria.sources.corpora import language_scripts
+from glossaria.sources.shared import materialize
 
 ANCHOR = "fr"
 
@@ -160,7 +161,7 @@ QUERIES = {
 
 
 def draw_sql(seed: str, n: str, key: str) -> str:
-    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT % ({n}))"
+    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT % ({n}))"
 
 
 def _pairs_sql(corpus: str, tag: str) -> str:

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from glossaria.plans import fixtures as fx
 from glossaria.sources import corpora, names, results
+from glossaria.sources.shared import shared_path
 
 CLEAN_LINE = r"trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
 
 def read_parallel_corpus(spark, sf_dir):
-    path = corpora.scratch_path(spark, "corpus")
+    path = shared_path(spark, "corpus")
     corpora.write_parallel_corpus(fx.text_docs(spark, sf_dir), path)
     lines = corpora.read_parallel_corpus(spark, path, "folders")
     return lines.groupBy("language").agg(
@@ -22,7 +23,7 @@ def read_parallel_corpus(spark, sf_dir):
 
 
 def read_split_tables(spark, sf_dir):
-    path = corpora.scratch_path(spark, "splits")
+    path = shared_path(spark, "splits")
     marks = fx.table(spark, sf_dir, "labels").select("doc_id", "quality")
     label = F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").otherwise("neutral")
     rows = fx.docs(spark, sf_dir).join(marks, "doc_id", "left")
@@ -53,7 +54,7 @@ def unpivot_parallel_table(spark, sf_dir):
 
 
 def tsv_to_jsonl(spark, sf_dir):
-    path, out = corpora.scratch_path(spark, "tsv"), corpora.scratch_path(spark, "jsonl")
+    path, out = shared_path(spark, "tsv"), shared_path(spark, "jsonl")
     part = fx.table(spark, sf_dir, "part")
     part.select(F.concat_ws("\t", F.concat_ws(" ", "p_name", "p_partkey"), "p_type")).write.text(path)
     results.tsv_to_jsonl(spark, path, out, "name", "type")
@@ -70,7 +71,7 @@ COUNTS_SCHEMA = "corpus string, language string, source string, n bigint, n_char
 
 
 def concat_result_files(spark, sf_dir):
-    path = corpora.scratch_path(spark, "results")
+    path = shared_path(spark, "results")
     counts = _counts(spark, sf_dir)
     for corpus in ("train", "test"):
         results.write_results(counts.where(F.col("corpus") == corpus), f"{path}/{corpus}", "csv")
@@ -78,7 +79,7 @@ def concat_result_files(spark, sf_dir):
 
 
 def write_results(spark, sf_dir):
-    path = corpora.scratch_path(spark, "results")
+    path = shared_path(spark, "results")
     counts = _counts(spark, sf_dir)
     parts = []
     for fmt in ("tsv", "csv", "json", "parquet"):
@@ -96,7 +97,7 @@ def write_results(spark, sf_dir):
 
 
 def save_load_dataset(spark, sf_dir):
-    path = corpora.scratch_path(spark, "dataset")
+    path = shared_path(spark, "dataset")
     corpora.save_dataset(fx.docs(spark, sf_dir), path)
     loaded = corpora.load_dataset(spark, path)
     return loaded.groupBy("language", "corpus").agg(

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaria.functions.text import strip_whitespace
-from glossaria.operators.ids import bounded
+from glossaria.operators.ids import dimension
 
 # File layouts as (glob, pattern of the language in the path).
 LAYOUTS = {
@@ -48,7 +46,7 @@ def read_parallel_corpus(
         .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .select("file", "start", "first", "offset")
     )
-    numbered = lines.join(bounded(splits), ["file", "start"]).select(
+    numbered = lines.join(dimension(splits), ["file", "start"]).select(
         F.regexp_extract(F.url_decode("file"), pattern, 1).alias("language"),
         (F.col("offset") + F.col("row") - F.col("first")).alias("sentence_id"),
         strip_whitespace("value").alias("text"),
@@ -107,23 +105,3 @@ def language_scripts(codes: DataFrame, separator: str = "_") -> DataFrame:
         F.get(F.split("language", separator), F.lit(1)).alias("script"),
     )
     return parts.groupBy("language").agg(F.array_sort(F.collect_set("script")).alias("scripts"))
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """New folder below the shared folder of the cluster (``spark.checkpoint.dir``)."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(shared, f"glossaria-{name}-{uuid.uuid4().hex}")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and continue from there.
-
-    For tables that several branches of a job read: it is computed once and
-    survives the loss of executors.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaria.operators.ids import bounded
+from glossaria.operators.ids import dimension
 
 # Names that replace those of the table.
 NAME_OVERRIDES = {"ckb": "Kurdish", "snd": "Sindhi", "tgk": "Tajik", "zho": "Chinese"}
@@ -43,7 +43,7 @@ def display_name(df: DataFrame, names: DataFrame, column: str = "language", out:
     """``Name (code)``, ``UNKNOWN (code)`` without an entry."""
     lookup = names.select(F.col("language_code").alias("__c"), F.col("language").alias("__n"))
     label = F.concat(F.coalesce("__n", F.lit("UNKNOWN")), F.lit(" ("), F.col(column), F.lit(")"))
-    return df.join(bounded(lookup), F.col(column) == F.col("__c"), "left").withColumn(out, label).drop("__c", "__n")
+    return df.join(dimension(lookup), F.col(column) == F.col("__c"), "left").withColumn(out, label).drop("__c", "__n")
 
 
 def name_by_prefix(codes: DataFrame, names: DataFrame, column: str = "language", position: str = "position") -> DataFrame:

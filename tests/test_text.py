@@ -52,6 +52,13 @@ def test_bleu_tokens(spark):
     assert one(spark, "It's 3.5, ok-ay.", tx.bleu_tokens("text")) == ["It's", "3.5", ",", "ok-ay", "."]
 
 
+def test_characters_outside_any_block_are_not_counted(spark):
+    df = spark.createDataFrame([(1, "\u2fe0"), (2, "a\u2fe0")], "id long, text string")
+    profile = sc.unicode_block_histogram(df, ["id"], normalize=False).collect()
+    assert [(r["id"], r["name"], r["n"]) for r in profile] == [(2, "BASIC_LATIN", 1)]
+    assert {r["id"]: r["name"] for r in sc.dominant(df, ["id"]).collect()} == {1: "", 2: "BASIC_LATIN"}
+
+
 CORNERS = ["", " ", "!?", "123", "x", "ab ab", "a  b", "é", "a😀", "Да wow", "日本語 kana かな", "ελ ά"]
 
 
