@@ -68,6 +68,11 @@ def varieties(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return first, second
 
 
+def all_varieties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """language = language_source of every document."""
+    return table(spark, sf_dir, "documents").select(F.concat_ws("_", "lang", "source").alias("language"))
+
+
 def name_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of language varieties ``lang-source`` in order of appearance."""
     return (

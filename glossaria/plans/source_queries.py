@@ -13,13 +13,9 @@ CLEAN_LINE = r"trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(
 
 def read_parallel_corpus(spark, sf_dir):
     path = shared_path(spark, "corpus")
-    corpora.write_parallel_corpus(fx.text_docs(spark, sf_dir), path)
+    corpora.write_parallel_corpus(fx.docs(spark, sf_dir), path, "doc_id")
     lines = corpora.read_parallel_corpus(spark, path, "folders")
-    return lines.groupBy("language").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if(F.col("text") == "").alias("n_blank"),
-        F.sum(F.length("text")).alias("n_chars"),
-    )
+    return lines.select("language", "sentence_id", F.md5("text").alias("digest"))
 
 
 def read_split_tables(spark, sf_dir):
@@ -122,7 +118,7 @@ def language_name_prefix_lookup(spark, sf_dir):
 
 
 def language_scripts(spark, sf_dir):
-    codes = fx.varieties(spark, sf_dir)[1].select("language").distinct()
+    codes = fx.all_varieties(spark, sf_dir).distinct()
     return corpora.language_scripts(codes).select("language", F.array_join("scripts", ",").alias("scripts"))
 
 
@@ -141,13 +137,12 @@ LANGUAGE_NAMES_SQL = f"""{fx.NAME_SQL}, named AS (
     SELECT split_part(language_code, '-', 1) AS code, trim(regexp_replace(language, '\\(.*\\)', '')) AS name, position
     FROM name_table) WHERE code NOT IN (SELECT language_code FROM name_table) GROUP BY code)"""
 _SCRIPTS_SQL = """scripts AS (SELECT lang AS language, list_sort(list(DISTINCT source)) AS scripts
-  FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY lang)"""
+  FROM documents GROUP BY lang)"""
 
 ORACLES = {
-    "read_parallel_corpus": f"""SELECT lang AS language, count(*) AS n_lines, count(*) FILTER (WHERE line = '') AS n_blank,
-      CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (
-        SELECT lang, {CLEAN_LINE} AS line FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents))
-      GROUP BY lang""",
+    "read_parallel_corpus": f"""SELECT lang AS language, row_number() OVER (PARTITION BY lang ORDER BY doc_id, i) - 1 AS sentence_id,
+      md5({CLEAN_LINE}) AS digest FROM (SELECT lang, doc_id, unnest(string_split(text, chr(10))) AS line,
+        generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""",
     "strip_script": f"""WITH {fx.CORPUS_SQL}, coded AS (
       SELECT language, CASE corpus WHEN 'train' THEN 'Latn' ELSE 'Cyrl' END AS script, sentence_id, doc_id, n_chars FROM corpus)
       SELECT language, sentence_id, script, doc_id, n_chars FROM coded

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from glossaria.functions.text import strip_whitespace
 from glossaria.operators.ids import dimension
+from glossaria.sources.shared import materialize
 
 # File layouts as (glob, pattern of the language in the path).
 LAYOUTS = {
@@ -24,39 +25,43 @@ SPLIT_TABLE_SCHEMA = T.StructType(
 def read_parallel_corpus(
     spark: SparkSession, path: str, layout: str = "dev", corpus: str | None = None
 ) -> DataFrame:
-    """Rows ``(language, sentence_id, text)``, one file per language.
-
-    Lines are stripped, blank ones kept: the line number is the sentence id. A
-    file may span many splits. Within a split rows are consecutive, so a line
-    number is its offset in the split plus the number of lines in earlier splits
-    of the file; only the table of splits is aggregated, the text is not moved.
+    """Rows ``(language, sentence_id, text)``; the line number in a language is the sentence id.
+
+    Lines are stripped, blank ones kept. A language may have several files, which
+    follow each other by part number and name, and a file many splits. The text
+    is read once and written to the shared folder with its row numbers; within a
+    split rows are consecutive, so a line number is the offset in the split plus
+    the number of lines in earlier splits of the language. Only the table of
+    splits is aggregated and sorted.
     """
     glob, pattern = LAYOUTS[layout]
     reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    lines = reader.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("row"),
-        "value",
+    lines = materialize(
+        reader.text(path).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row"),
+            "value",
+        ),
+        "lines",
     )
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    splits = (
-        lines.groupBy("file", "start")
-        .agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
-        .withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select("file", "start", "first", "offset")
+    splits = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    part = F.regexp_extract("file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+    before = Window.partitionBy("language").orderBy(part, "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("language", F.regexp_extract(F.url_decode("file"), pattern, 1)).select(
+        "file", "start", "language", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
     )
-    numbered = lines.join(dimension(splits), ["file", "start"]).select(
-        F.regexp_extract(F.url_decode("file"), pattern, 1).alias("language"),
-        (F.col("offset") + F.col("row") - F.col("first")).alias("sentence_id"),
-        strip_whitespace("value").alias("text"),
+    numbered = lines.join(dimension(offsets), ["file", "start"]).select(
+        "language", (F.col("row") + F.col("shift")).alias("sentence_id"), strip_whitespace("value").alias("text")
     )
     return numbered.withColumn("corpus", F.lit(corpus)) if corpus else numbered
 
 
-def write_parallel_corpus(df: DataFrame, path: str) -> None:
-    """One folder of text files per language."""
-    df.select("language", "text").write.mode("error").partitionBy("language").text(path)
+def write_parallel_corpus(df: DataFrame, path: str, order: str = "sentence_id") -> None:
+    """One folder of text files per language, lines in the order of ``order`` over the files of a folder."""
+    ranged = df.select("language", order, "text").repartitionByRange("language", order)
+    lines = ranged.sortWithinPartitions("language", order).select("language", "text")
+    lines.write.mode("error").partitionBy("language").text(path)
 
 
 def read_split_tables(
