@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glossaria.sources.shared import materialize
 
 BUCKET_ROWS = 1 << 13
+RUN_RANGES = 1 << 13  # key ranges summed up in one task
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -34,16 +35,25 @@ def dense_positions(
     sort a whole group in one task; here rows are numbered inside fixed key
     ranges of at most ``bucket_rows`` keys and shifted by a running sum over the
     small table of range sizes. One group may therefore hold most of the rows.
+    The running sum is itself formed in runs of ``RUN_RANGES`` ranges, so no task
+    sorts all ranges of a group. Keys should not be scattered over 64 bits: the
+    table of ranges would be as long as the data.
     """
     # one struct key: null groups match, and the window and the join share a partitioning
     bucket = F.floor(F.col(key) / F.lit(bucket_rows)).cast("bigint").alias("bucket")
     slots = df.withColumn("__slot", F.struct(*groups, bucket))
-    in_group = [F.col(f"__slot.{g}") for g in groups]
-    before = Window.partitionBy(*in_group).orderBy("__slot.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.struct(*[F.col(f"__slot.{g}").alias(g) for g in groups], F.floor(F.col("__slot.bucket") / RUN_RANGES).alias("run"))
+    sizes = slots.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n")).withColumn("__run", run)
+    in_run = Window.partitionBy("__run").orderBy("__slot.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    in_group = [F.col(f"__run.{g}") for g in groups]
+    of_runs = Window.partitionBy(*in_group).orderBy("__run.run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sizes.groupBy("__run").agg(F.sum("__n").alias("__total")).select(
+        "__run", F.coalesce(F.sum("__total").over(of_runs), F.lit(0)).alias("__base")
+    )
     offsets = (
-        slots.groupBy("__slot")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select("__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+        sizes.withColumn("__before", F.coalesce(F.sum("__n").over(in_run), F.lit(0)))
+        .join(runs, "__run")
+        .select("__slot", (F.col("__base") + F.col("__before")).alias("__offset"))
     )
     local = F.row_number().over(Window.partitionBy("__slot").orderBy(key))
     return (

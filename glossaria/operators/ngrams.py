@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import explode_terms, ngram_range, ngrams
-from glossaria.operators.ids import BUCKET_ROWS, scalar
+from glossaria.operators.ids import BUCKET_ROWS, RUN_RANGES, scalar
 
 
 def with_tokens(df: DataFrame, tokens: Column, keep: Sequence[str]) -> DataFrame:
@@ -74,7 +74,8 @@ def bigram_counts(
     ``key``. Pairs inside a sentence never leave its row. For pairs across a
     border only the first and last token of each non-empty sentence are moved:
     they are sorted within key ranges, and the ends of consecutive ranges are
-    paired in the small table of ranges. Both steps read the same shuffle.
+    paired in the small table of ranges, in runs of ``RUN_RANGES`` ranges. Both
+    steps read the same shuffle.
     """
     inside = term_rows(df, ngrams(tokens, 2), groups, "bigram")
     if not cross_border:
@@ -91,9 +92,17 @@ def bigram_counts(
     following = F.lead("first").over(Window.partitionBy("slot").orderBy("key"))
     within = edges.select("slot", "last", following.alias("next"))
     ends = edges.groupBy("slot").agg(F.min_by("first", "key").alias("first"), F.max_by("last", "key").alias("last"))
-    next_slot = Window.partitionBy(*[F.col(f"slot.{g}") for g in groups]).orderBy("slot.__order", "slot.range")
+    # ranges meet in runs, then the ends of runs meet, so no task sorts all ranges of a group
+    run = F.struct(*in_group, F.col("slot.__order").alias("__order"), F.floor(F.col("slot.range") / RUN_RANGES).alias("run"))
+    ends = ends.withColumn("run", run)
+    next_slot = Window.partitionBy("run").orderBy("slot.range")
     between = ends.select("slot", "last", F.lead("first").over(next_slot).alias("next"))
-    border = within.unionByName(between).where(F.col("next").isNotNull())
+    run_ends = ends.groupBy("run").agg(
+        F.max("slot").alias("slot"), F.min_by("first", "slot.range").alias("first"), F.max_by("last", "slot.range").alias("last")
+    )
+    next_run = Window.partitionBy(*[F.col(f"run.{g}") for g in groups]).orderBy("run.__order", "run.run")
+    between_runs = run_ends.select("slot", "last", F.lead("first").over(next_run).alias("next"))
+    border = within.unionByName(between).unionByName(between_runs).where(F.col("next").isNotNull())
     border = border.select(*in_group, F.concat_ws(" ", "last", "next").alias("bigram"))
     return inside.unionByName(border).groupBy(*groups, "bigram").agg(F.count(F.lit(1)).alias("n"))
 

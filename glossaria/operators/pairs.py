@@ -27,34 +27,27 @@ def align_to_target(df: DataFrame, target: str, keep_target: bool = True) -> Dat
     )
 
 
-def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    one = df.select(
-        F.col("language").alias("language1"), F.col("sentence_id").alias("index1"), F.col("text").alias("sentence1")
-    )
-    two = df.select(
-        F.col("language").alias("language2"), F.col("sentence_id").alias("index2"), F.col("text").alias("sentence2")
-    )
-    return one, two
-
-
 PAIR_COLUMNS = ("draw_id", "language1", "language2", "index1", "index2", "sentence1", "sentence2", "label")
 
 
 def _attach(df: DataFrame, pairs: DataFrame, indices: DataFrame, label: str) -> DataFrame:
-    """Look up both sentences of every (language pair, index pair).
+    """Look up the sentences of every index pair, in all wanted language pairs.
 
-    The language pairs are one list for all draws. Both look-ups then join on
-    (language, position), which names a single sentence, so a language with most
-    of the sentences does not make a hot key.
+    The texts of a position (one per language) are gathered in one row and looked
+    up once per index, before language pairs exist; equal indices need one
+    look-up. The pairs of both lists are then formed in place.
     """
-    one, two = _sides(df)
-    listed = pairs.agg(F.collect_list(F.struct("language1", "language2")).alias("value")).scalar()
-    wanted = indices.select("draw_id", "index1", "index2", F.explode(listed).alias("p")).select(
-        "draw_id", "index1", "index2", "p.*"
-    )
+    texts = df.groupBy("sentence_id").agg(F.collect_list(F.struct("language", "text")).alias("texts"))
+    found = indices.join(texts.select(F.col("sentence_id").alias("index1"), F.col("texts").alias("texts1")), "index1")
+    if "index2" in indices.columns:
+        found = found.join(texts.select(F.col("sentence_id").alias("index2"), F.col("texts").alias("texts2")), "index2")
+    else:
+        found = found.withColumn("index2", F.col("index1")).withColumn("texts2", F.col("texts1"))
+    keys = ("draw_id", "index1", "index2")
     return (
-        wanted.join(one, ["language1", "index1"])
-        .join(two, ["language2", "index2"])
+        found.select(*keys, "texts2", F.inline("texts1").alias("language1", "sentence1"))
+        .select(*keys, "language1", "sentence1", F.inline("texts2").alias("language2", "sentence2"))
+        .join(dimension(pairs.select("language1", "language2")), ["language1", "language2"])
         .withColumn("label", F.lit(label))
         .select(*PAIR_COLUMNS)
     )
@@ -84,7 +77,7 @@ def positive_pairs(
     else:
         n = scalar(base, F.count(F.lit(1)))
         chosen = draws.select("draw_id", draw(seed, n, F.col("draw_id")).alias("index1"))
-    return _attach(df, pairs, chosen.withColumn("index2", F.col("index1")), "yes")
+    return _attach(df, pairs, chosen, "yes")
 
 
 def negative_pairs(
@@ -93,7 +86,8 @@ def negative_pairs(
     """Different sentences in two languages, label ``no``, ``index1 < index2``.
 
     Two draws per row choose an unordered pair of positions uniformly, so the
-    n * (n - 1) / 2 candidate pairs are never listed.
+    n * (n - 1) / 2 candidate pairs are never listed. Positions are those of the
+    anchor; a draw gives no row for a language that lacks one of the positions.
     """
     n = scalar(positions(df, anchor), F.count(F.lit(1)))
     drawn = draws.select(

@@ -11,67 +11,89 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossaria.functions.vectors import cosine_distance, unit
-from glossaria.operators.ids import dimension
+from glossaria.operators.ids import scalar
 
 DIGITS = 9
-BLOCK_ROWS = 2048
+BLOCK_BYTES = 1 << 22  # of the vectors of a block
+QUERY_ROWS = 256  # queries of a block compared at a time
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """Normalise once, before any pairing."""
-    return vectors.select("model", "language", "sentence_id", unit(F.col("embedding")).alias("unit"))
+    """Normalise once, before any pairing; rows without a vector are left out."""
+    present = vectors.where(F.col("embedding").isNotNull())
+    return present.select("model", "language", "sentence_id", unit(F.col("embedding")).alias("unit"))
 
 
-def true_distances(units: DataFrame) -> DataFrame:
-    """Distance of each query to its translation, for all language pairs.
+def _listed_blocks(vectors: DataFrame, block_rows: int | None) -> Column:
+    """Maps (model, language) -> number of blocks and model -> languages, as one value for all rows.
 
-    The join key (model, sentence_id) holds one row per language.
+    Without ``block_rows`` the size follows from the width of the vectors.
     """
-    q = units.select("model", "sentence_id", F.col("language").alias("lang1"), F.col("unit").alias("u1"))
-    c = units.select("model", "sentence_id", F.col("language").alias("lang2"), F.col("unit").alias("u2"))
-    return q.join(c, ["model", "sentence_id"]).select(
-        "model", "lang1", "lang2", "sentence_id", cosine_distance(F.col("u1"), F.col("u2"), DIGITS).alias("target")
+    width = F.greatest(F.max(F.size("embedding")), F.lit(1))
+    rows = F.lit(block_rows) if block_rows else F.greatest(F.floor(F.lit(BLOCK_BYTES // 8) / width), F.lit(1))
+    sizes = vectors.where(F.col("embedding").isNotNull()).groupBy("model", "language").agg(
+        F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("blocks")
     )
+    by_model = sizes.groupBy("model").agg(
+        F.collect_list(F.struct(F.struct("model", "language"), "blocks")).alias("entries"),
+        F.collect_list(F.struct(F.col("language").alias("lang2"))).alias("languages"),
+    )
+    maps = F.struct(
+        F.map_from_entries(F.flatten(F.collect_list("entries"))).alias("blocks"),
+        F.map_from_entries(F.collect_list(F.struct("model", "languages"))).alias("languages"),
+    )
+    return scalar(by_model, maps)
 
 
-def _block_counts(units: DataFrame, block_rows: int) -> DataFrame:
-    sizes = units.groupBy("model", "language").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.select("model", "language", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("blocks"))
+def _blocks_of(listed: Column, language: str) -> Column:
+    key = F.struct(F.col("model").alias("model"), F.col(language).alias("language"))
+    return F.try_element_at(listed["blocks"], key)
 
 
-def _blocked(units: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Assign each vector to one of its language's blocks by hash."""
-    block = F.pmod(F.xxhash64("sentence_id"), F.col("blocks")).cast("int")
-    return units.join(blocks, ["model", "language"]).withColumn("block", block).drop("blocks")
+def _translated(units: DataFrame) -> DataFrame:
+    """Each vector with every language that has its translation and the distance to it.
 
+    The vectors of a sentence, one per language, meet in one row.
+    """
+    together = units.groupBy("model", "sentence_id").agg(F.collect_list(F.struct("language", "unit")).alias("v"))
 
-def _block_pairs(units: DataFrame, block_rows: int):
-    """Query and candidate rows keyed by (model, lang1, block1, lang2, block2)."""
-    blocks = dimension(_block_counts(units, block_rows))
-    rows = _blocked(units, blocks)
-    partners = blocks.select("model", F.struct("language", "blocks").alias("p"))
-    listed = partners.groupBy("model").agg(F.collect_list("p").alias("partners"))
-    other = rows.join(listed, "model").select(
-        "model", "language", "block", "sentence_id", "unit", F.explode("partners").alias("o")
-    )
-    spread = other.select(
-        "model", "language", "block", "sentence_id", "unit", F.col("o.language").alias("other"),
-        F.explode(F.sequence(F.lit(0), F.col("o.blocks") - 1)).alias("other_block"),
-    )
-    queries = spread.select(
-        "model", F.col("language").alias("lang1"), F.col("block").alias("block1"),
-        F.col("other").alias("lang2"), F.col("other_block").alias("block2"), "sentence_id", "unit",
+    def targets(q: Column) -> Column:
+        return F.transform(
+            "v", lambda c: F.struct(c["language"].alias("lang2"), cosine_distance(q["unit"], c["unit"], DIGITS).alias("target"))
+        )
+
+    each = F.transform("v", lambda q: F.struct(q["language"].alias("lang1"), q["unit"].alias("unit"), targets(q).alias("t")))
+    return together.select("model", "sentence_id", F.inline(each)).select(
+        "model", "sentence_id", "lang1", "unit", F.inline("t")
     )
-    # fresh names: both sides of a cogroup come from one table
-    candidates = spread.select(
-        F.col("model").alias("model"), F.col("other").alias("lang1"), F.col("other_block").alias("block1"),
-        F.col("language").alias("lang2"), F.col("block").alias("block2"),
-        F.col("sentence_id").alias("sentence_id"), F.col("unit").alias("unit"),
+
+
+def _block_pairs(vectors: DataFrame, block_rows: int | None, translated: bool = False):
+    """Query and candidate rows keyed by (model, lang1, block1, lang2, block2).
+
+    The list of blocks is part of the expressions, so vectors are shuffled by the
+    block key alone. ``translated`` keeps queries with a translation in the other
+    language and adds its distance as ``target``, before the blocks multiply them.
+    """
+    listed, units = _listed_blocks(vectors, block_rows), unit_vectors(vectors)
+    partners = F.try_element_at(listed["languages"], F.col("model"))
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("sentence_id"), _blocks_of(listed, "lang1")).cast("int")
+        other = F.sequence(F.lit(0), _blocks_of(listed, "lang2") - 1)
+        return rows.withColumn("block1", block).withColumn("block2", F.explode(other))
+
+    everywhere = numbered(
+        units.select("model", F.col("language").alias("lang1"), "sentence_id", "unit", F.inline(partners))
     )
+    queries = numbered(_translated(units)) if translated else everywhere
+    # the other side's keys swapped, under fresh names: both sides of a cogroup come from one table
+    swapped = {"lang1": "lang2", "block1": "block2", "lang2": "lang1", "block2": "block1"}
+    candidates = everywhere.select(*[F.col(c).alias(swapped.get(c, c)) for c in everywhere.columns])
     return queries, candidates
 
 
@@ -82,39 +104,40 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(np.float64)
 
 
-def _distances(q: pd.DataFrame, c: pd.DataFrame) -> np.ndarray:
-    dots = _matrix(q["unit"]) @ _matrix(c["unit"]).T
-    return np.round(np.clip(1.0 - dots, 0.0, 2.0), DIGITS)
+def _distances(q: pd.DataFrame, c: pd.DataFrame):
+    """Parts of the queries with their distances to all candidates."""
+    other = _matrix(c["unit"]).T
+    for start in range(0, len(q), QUERY_ROWS):
+        part = q.iloc[start : start + QUERY_ROWS]
+        yield part, np.round(np.clip(1.0 - _matrix(part["unit"]) @ other, 0.0, 2.0), DIGITS)
 
 
 def _count_block(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
     columns = ["model", "lang1", "lang2", "sentence_id", "target", "closer", "tied"]
-    q = q[q["target"].notna()] if len(q) else q
     if not len(q) or not len(c):
         return pd.DataFrame(columns=columns)
-    d = _distances(q, c)
-    target = q["target"].to_numpy()[:, None]
-    rival = q["sentence_id"].to_numpy()[:, None] != c["sentence_id"].to_numpy()[None, :]
     model, lang1, _, lang2, _ = key
+    ids, closer, tied = c["sentence_id"].to_numpy()[None, :], [], []
+    for part, d in _distances(q, c):
+        target = part["target"].to_numpy()[:, None]
+        rival = part["sentence_id"].to_numpy()[:, None] != ids
+        closer.append(((d < target) & rival).sum(axis=1))
+        tied.append(((d == target) & rival).sum(axis=1))
     return pd.DataFrame(
         {
             "model": model, "lang1": lang1, "lang2": lang2, "sentence_id": q["sentence_id"].to_numpy(),
-            "target": q["target"].to_numpy(),
-            "closer": ((d < target) & rival).sum(axis=1), "tied": ((d == target) & rival).sum(axis=1),
+            "target": q["target"].to_numpy(), "closer": np.concatenate(closer), "tied": np.concatenate(tied),
         }
     )[columns]
 
 
-def retrieval_ranks(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def retrieval_ranks(vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Rank of the true translation among all sentences of the other language.
 
     Ties share the average rank: closer + (tied + 1) / 2, where the translation
     itself belongs to its tie group. No sort is involved.
     """
-    units = unit_vectors(vectors)
-    targets = true_distances(units)
-    queries, candidates = _block_pairs(units, block_rows)
-    queries = queries.join(targets, ["model", "lang1", "lang2", "sentence_id"])
+    queries, candidates = _block_pairs(vectors, block_rows, translated=True)
     counts = (
         queries.groupBy(*BLOCK_KEY)
         .cogroup(candidates.groupBy(*BLOCK_KEY))
@@ -130,6 +153,44 @@ def retrieval_ranks(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     return totals.select("model", "lang1", "lang2", "sentence_id", "distance", rank.alias("rank"))
 
 
+def nearest_candidates(vectors: DataFrame, k: int = 10, block_rows: int | None = None) -> DataFrame:
+    """The ``k`` nearest sentences of every other language per query, ties by candidate id.
+
+    A block pair sends at most ``k`` rows per query; the best of all blocks remain.
+    """
+    columns = ["model", "lang1", "lang2", "sentence_id", "candidate_id", "distance"]
+
+    def nearest(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame(columns=columns)
+        model, lang1, _, lang2, _ = key
+        c = c.sort_values("sentence_id")
+        ids, found, distance = c["sentence_id"].to_numpy(), [], []
+        for _, d in _distances(q, c):
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            found.append(ids[best].ravel())
+            distance.append(np.take_along_axis(d, best, axis=1).ravel())
+        return pd.DataFrame(
+            {
+                "model": model, "lang1": lang1, "lang2": lang2,
+                "sentence_id": np.repeat(q["sentence_id"].to_numpy(), min(k, len(c))),
+                "candidate_id": np.concatenate(found), "distance": np.concatenate(distance),
+            }
+        )[columns]
+
+    queries, candidates = _block_pairs(vectors, block_rows)
+    parts = (
+        queries.groupBy(*BLOCK_KEY)
+        .cogroup(candidates.groupBy(*BLOCK_KEY))
+        .applyInPandas(
+            nearest,
+            "model string, lang1 string, lang2 string, sentence_id long, candidate_id long, distance double",
+        )
+    )
+    order = Window.partitionBy("model", "lang1", "lang2", "sentence_id").orderBy("distance", "candidate_id")
+    return parts.withColumn("position", F.row_number().over(order).cast("bigint")).where(F.col("position") <= k)
+
+
 def similarity_search_summary(ranks: DataFrame, digits: int = 6) -> DataFrame:
     """Mean and sample deviation of the rank, and mean reciprocal rank."""
     return ranks.groupBy("model", "lang1", "lang2").agg(
@@ -151,24 +212,26 @@ def _summarise_block(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFra
     columns = ["model", "lang1", "lang2", "sentence_id", "n", "nearest", "farthest", "total"]
     if not len(q) or not len(c):
         return pd.DataFrame(columns=columns)
-    d = _distances(q, c)
     model, lang1, _, lang2, _ = key
+    stats = [
+        (d.min(axis=1), d.max(axis=1), np.rint(d * 10**DIGITS).astype(np.int64).sum(axis=1)) for _, d in _distances(q, c)
+    ]
+    nearest, farthest, total = (np.concatenate(x) for x in zip(*stats))
     return pd.DataFrame(
         {
             "model": model, "lang1": lang1, "lang2": lang2, "sentence_id": q["sentence_id"].to_numpy(),
-            "n": d.shape[1], "nearest": d.min(axis=1), "farthest": d.max(axis=1),
-            "total": np.rint(d * 10**DIGITS).astype(np.int64).sum(axis=1),
+            "n": len(c), "nearest": nearest, "farthest": farthest, "total": total,
         }
     )[columns]
 
 
-def cosine_distance_profile(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cosine_distance_profile(vectors: DataFrame, block_rows: int | None = None) -> DataFrame:
     """Per query and other language: nearest, farthest and mean distance to all candidates.
 
     Rounded distances are added as integers, so the mean (cut to 9 digits) does
     not depend on the order of the blocks.
     """
-    queries, candidates = _block_pairs(unit_vectors(vectors), block_rows)
+    queries, candidates = _block_pairs(vectors, block_rows)
     parts = (
         queries.groupBy(*BLOCK_KEY)
         .cogroup(candidates.groupBy(*BLOCK_KEY))
@@ -193,7 +256,7 @@ def _list_block(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
     columns = ["model", "lang1", "lang2", "sentence_id", "candidate_id", "distance"]
     if not len(q) or not len(c):
         return pd.DataFrame(columns=columns)
-    d = _distances(q, c)
+    d = np.concatenate([d for _, d in _distances(q, c)])
     model, lang1, _, lang2, _ = key
     return pd.DataFrame(
         {
@@ -210,8 +273,8 @@ def cosine_distances(vectors: DataFrame, lang1: str, lang2: str, block_rows: int
     One row per (query, candidate), as large as the matrix itself; use the
     summaries above unless every cell is wanted.
     """
-    units = unit_vectors(vectors.where(F.col("language").isin(lang1, lang2)))
-    queries, candidates = _block_pairs(units, block_rows)
+    both = vectors.where(F.col("language").isin(lang1, lang2))
+    queries, candidates = _block_pairs(both, block_rows)
     wanted = (F.col("lang1") == lang1) & (F.col("lang2") == lang2)
     return (
         queries.where(wanted).groupBy(*BLOCK_KEY)

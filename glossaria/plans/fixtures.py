@@ -21,6 +21,8 @@ DOCS_SQL = """docs AS (
   FROM documents)"""
 CORPUS_SQL = DOCS_SQL + """, corpus AS (
   SELECT *, row_number() OVER (PARTITION BY corpus, language ORDER BY doc_id) - 1 AS sentence_id FROM docs)"""
+WHOLE_SQL = DOCS_SQL + """, whole AS (
+  SELECT *, row_number() OVER (PARTITION BY language ORDER BY doc_id) - 1 AS sentence_id FROM docs)"""
 LABELLED_SQL = """labelled AS (
   SELECT lang AS language, lang || '_' || source AS variety, source, doc_id, text, n_chars, quality, toxic
   FROM documents JOIN labels USING (doc_id))"""
@@ -53,8 +55,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_sentence_id(docs(spark, sf_dir), "doc_id", ("corpus", "language"), DOCUMENT_BUCKET)
 
 
-def train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir).where(F.col("corpus") == "train")
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one corpus, with the position within the language."""
+    return add_sentence_id(docs(spark, sf_dir), "doc_id", ("language",), DOCUMENT_BUCKET)
 
 
 def varieties(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -115,7 +115,7 @@ def overlap_probability_difference(spark, sf_dir):
 
 
 def _cells(spark, sf_dir):
-    placed = co_locate(fx.train(spark, sf_dir).select("language", "sentence_id", "text"), "sentence_id")
+    placed = co_locate(fx.whole(spark, sf_dir).select("language", "sentence_id", "text"), "sentence_id")
     return ng.ngram_counts(ng.with_tokens(placed, tx.space_tokens("text"), ["language", "sentence_id"]), 1, 3)
 
 
@@ -129,7 +129,7 @@ def divergence_matrix(spark, sf_dir):
 
 def normalized_divergence(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    n = scalar(fx.train(spark, sf_dir).select("sentence_id"), F.max("sentence_id") + 1)
+    n = scalar(fx.whole(spark, sf_dir).select("sentence_id"), F.max("sentence_id") + 1)
     return ng.normalized_divergence(ng.divergence_matrix(cells), cells, n)
 
 
@@ -184,7 +184,7 @@ _UP_TO_2 = f"list_concat(t, {grams(2)})"
 _UP_TO_3 = f"list_concat(list_concat(t, {grams(2)}), {grams(3)})"
 _VOCAB = f"""{_WT}, counts AS (SELECT corpus, language, ngram, count(*) AS n
   FROM (SELECT corpus, language, unnest({_UP_TO_2}) AS ngram FROM tk) GROUP BY ALL)"""
-_DIVERGENCE = f"""{fx.CORPUS_SQL}, {tokens_cte(S, "(SELECT * FROM corpus WHERE corpus = 'train')")},
+_DIVERGENCE = f"""{fx.WHOLE_SQL}, {tokens_cte(S, "whole")},
 cells AS (SELECT language, sentence_id, ngram, count(*) AS n
   FROM (SELECT language, sentence_id, unnest({_UP_TO_3}) AS ngram FROM tk) GROUP BY ALL),
 langs AS (SELECT DISTINCT language FROM cells),
@@ -224,7 +224,7 @@ ORACLES = {
       SELECT token, round(a, 9) AS p_train, round(b, 9) AS p_test, round(b - a, 9) AS difference FROM p""",
     "divergence_matrix": f"WITH {_DIVERGENCE} SELECT * FROM divergence",
     "normalized_divergence": f"""WITH {_DIVERGENCE}, size AS (SELECT (SELECT count(DISTINCT ngram) FROM cells) *
-        (SELECT max(sentence_id) + 1 FROM corpus WHERE corpus = 'train') AS total)
+        (SELECT max(sentence_id) + 1 FROM whole) AS total)
       SELECT lang1, lang2, num_disagreements, total, round(num_disagreements / total, 9) AS normalized FROM divergence, size""",
     "divergence_by_language": f"""WITH {_DIVERGENCE} SELECT lang1, round_even(avg(num_disagreements), 0) AS mean_disagreements
       FROM divergence GROUP BY lang1""",

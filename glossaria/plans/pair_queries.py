@@ -18,7 +18,7 @@ ANCHOR = "fr"
 
 
 def align_to_target(spark, sf_dir):
-    aligned = pairs.align_to_target(fx.train(spark, sf_dir), ANCHOR)
+    aligned = pairs.align_to_target(fx.whole(spark, sf_dir), ANCHOR)
     return aligned.select(
         "sentence_id", "source_language", "target_language", F.md5("source").alias("source"), F.md5("target").alias("target")
     )
@@ -37,22 +37,22 @@ def _hashed(df):
     return df.withColumn("sentence1", F.md5("sentence1")).withColumn("sentence2", F.md5("sentence2"))
 
 
-def _narrow_train(spark, sf_dir):
-    return materialize(fx.train(spark, sf_dir).select("language", "sentence_id", "text"), "train")
+def _narrow(spark, sf_dir):
+    return materialize(fx.whole(spark, sf_dir).select("language", "sentence_id", "text"), "whole")
 
 
 def positive_pairs(spark, sf_dir):
-    data = _narrow_train(spark, sf_dir)
+    data = _narrow(spark, sf_dir)
     return _hashed(pairs.positive_pairs(data, _pair_table(data), ANCHOR))
 
 
 def positive_pairs_drawn(spark, sf_dir):
-    data = _narrow_train(spark, sf_dir)
+    data = _narrow(spark, sf_dir)
     return _hashed(pairs.positive_pairs(data, _pair_table(data), ANCHOR, pairs.draws_like(data, ANCHOR)))
 
 
 def negative_pairs(spark, sf_dir):
-    data = _narrow_train(spark, sf_dir)
+    data = _narrow(spark, sf_dir)
     return _hashed(pairs.negative_pairs(data, _pair_table(data), ANCHOR, pairs.draws_like(data, ANCHOR)))
 
 
@@ -67,13 +67,13 @@ def sentence_pairs_dataset(spark, sf_dir):
 
 
 def pair_same_language_label(spark, sf_dir):
-    a = fx.train(spark, sf_dir).select("sentence_id", F.col("language").alias("language1"))
-    b = fx.train(spark, sf_dir).select("sentence_id", F.col("language").alias("language2"))
+    a = fx.whole(spark, sf_dir).select("sentence_id", F.col("language").alias("language1"))
+    b = fx.whole(spark, sf_dir).select("sentence_id", F.col("language").alias("language2"))
     return pairs.pair_same_language_label(a.join(b, "sentence_id"))
 
 
 def pair_same_script_label(spark, sf_dir):
-    scripts = language_scripts(fx.varieties(spark, sf_dir)[1].select("language").distinct())
+    scripts = language_scripts(fx.all_varieties(spark, sf_dir).distinct())
     labelled = pair_same_language_label(spark, sf_dir).drop("same_language")
     return pairs.pair_same_script_label(labelled, scripts)
 
@@ -99,7 +99,8 @@ def join_metrics_before_after(spark, sf_dir):
 
 def name_language_pairs(spark, sf_dir):
     table = names.language_names(fx.name_table(spark, sf_dir))
-    return pairs.name_language_pairs(_outcomes(spark, sf_dir)[0], table)
+    counts = evaluate.error_count(fx.predictions(spark, sf_dir), ["language_pair", "phase"])
+    return pairs.name_language_pairs(counts, table)
 
 
 def classification_distance(spark, sf_dir):
@@ -132,16 +133,16 @@ def retrieval_ranks(spark, sf_dir):
     return retrieval.retrieval_ranks(fx.vectors(spark, sf_dir))
 
 
-def _full_ranks(spark, sf_dir):
-    return retrieval.retrieval_ranks(fx.vectors(spark, sf_dir).where(F.col("model") == "full"))
+def nearest_candidates(spark, sf_dir):
+    return retrieval.nearest_candidates(fx.vectors(spark, sf_dir), 5)
 
 
 def similarity_search_summary(spark, sf_dir):
-    return retrieval.similarity_search_summary(_full_ranks(spark, sf_dir))
+    return retrieval.similarity_search_summary(retrieval_ranks(spark, sf_dir))
 
 
 def mrr_pairwise(spark, sf_dir):
-    return retrieval.mrr_pairwise(_full_ranks(spark, sf_dir))
+    return retrieval.mrr_pairwise(retrieval_ranks(spark, sf_dir))
 
 
 def retrieval_sweep(spark, sf_dir):
@@ -154,7 +155,7 @@ QUERIES = {
         align_to_target, equal_length_languages, positive_pairs, positive_pairs_drawn, negative_pairs,
         sentence_pairs_dataset, pair_same_language_label, pair_same_script_label, pair_related_label,
         join_metrics_before_after, name_language_pairs, classification_distance, classification_distance_exact,
-        distance_matrix, mean_distance, nearest_farthest_languages, cosine_distances, retrieval_ranks,
+        distance_matrix, mean_distance, nearest_farthest_languages, cosine_distances, retrieval_ranks, nearest_candidates,
         similarity_search_summary, mrr_pairwise, retrieval_sweep,
     )
 }
@@ -164,7 +165,7 @@ def draw_sql(seed: str, n: str, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 15))::BIGINT % ({n}))"
 
 
-def _pairs_sql(corpus: str, tag: str) -> str:
+def _pairs_sql(rows: str, tag: str) -> str:
     """CTEs of positive, drawn positive and negative pairs of one corpus."""
     n = f"(SELECT count(*) FROM c{tag} WHERE language = '{ANCHOR}')"
     a, b = draw_sql("negative.a", n, "sentence_id"), draw_sql("negative.b", f"{n} - 1", "sentence_id")
@@ -172,7 +173,7 @@ def _pairs_sql(corpus: str, tag: str) -> str:
       md5(x.text) AS sentence1, md5(y.text) AS sentence2"""
     joined = f"""JOIN c{tag} x ON x.sentence_id = d.index1
       JOIN c{tag} y ON y.sentence_id = d.index2 AND y.language <> x.language"""
-    return f"""c{tag} AS (SELECT language, sentence_id, text FROM corpus WHERE corpus = '{corpus}'),
+    return f"""c{tag} AS (SELECT language, sentence_id, text FROM {rows}),
 anchor{tag} AS (SELECT sentence_id FROM c{tag} WHERE language = '{ANCHOR}'),
 pos{tag} AS (SELECT {columns}, 'yes' AS label FROM (SELECT sentence_id AS draw_id, sentence_id AS index1, sentence_id AS index2
   FROM anchor{tag}) d {joined}),
@@ -183,9 +184,10 @@ neg{tag} AS (SELECT {columns}, 'no' AS label FROM (SELECT draw_id, least(a, b) A
       SELECT sentence_id AS draw_id, {a} AS a, {b} AS b0 FROM anchor{tag})) WHERE a <> b) d {joined})"""
 
 
-_PAIRS = f"{fx.CORPUS_SQL}, {_pairs_sql('train', '1')}, {_pairs_sql('test', '2')}"
-_LANG_PAIRS = f"""{fx.CORPUS_SQL}, lp AS (SELECT a.sentence_id, a.language AS language1, b.language AS language2
-  FROM corpus a JOIN corpus b USING (sentence_id) WHERE a.corpus = 'train' AND b.corpus = 'train')"""
+_PAIRS = f"{fx.CORPUS_SQL}, {_pairs_sql("corpus WHERE corpus = 'train'", '1')}, {_pairs_sql("corpus WHERE corpus = 'test'", '2')}"
+_WHOLE_PAIRS = f"{fx.WHOLE_SQL}, {_pairs_sql('whole', '0')}"
+_LANG_PAIRS = f"""{fx.WHOLE_SQL}, lp AS (SELECT a.sentence_id, a.language AS language1, b.language AS language2
+  FROM whole a JOIN whole b USING (sentence_id))"""
 _ERRORS = f"""{fx.PREDICTIONS_SQL}, errors AS (SELECT phase, language_pair, count(*) FILTER (WHERE label <> prediction) AS errors
   FROM predictions GROUP BY ALL)"""
 _EDGES = f"{fx.PATHS_SQL}, both_ways AS (SELECT * FROM edges UNION ALL SELECT lang2, lang1, distance FROM edges)"
@@ -195,9 +197,9 @@ ORACLES = {
       md5(target) AS target FROM aligned""",
     "equal_length_languages": f"""WITH {fx.DOCS_SQL}, s AS (SELECT corpus || '_' || source AS language, count(*) AS n_rows FROM docs GROUP BY 1)
       SELECT * FROM s WHERE n_rows = (SELECT n_rows FROM s WHERE language = 'train_src0') AND language <> 'train_src0'""",
-    "positive_pairs": f"WITH {_PAIRS} SELECT * FROM pos1",
-    "positive_pairs_drawn": f"WITH {_PAIRS} SELECT * FROM drawn1",
-    "negative_pairs": f"WITH {_PAIRS} SELECT * FROM neg1",
+    "positive_pairs": f"WITH {_WHOLE_PAIRS} SELECT * FROM pos0",
+    "positive_pairs_drawn": f"WITH {_WHOLE_PAIRS} SELECT * FROM drawn0",
+    "negative_pairs": f"WITH {_WHOLE_PAIRS} SELECT * FROM neg0",
     "sentence_pairs_dataset": f"""WITH {_PAIRS} SELECT *, 'train' AS split FROM pos1 UNION ALL SELECT *, 'train' FROM neg1
       UNION ALL SELECT *, 'test' FROM pos2 UNION ALL SELECT *, 'test' FROM neg2""",
     "pair_same_language_label": f"""WITH {_LANG_PAIRS} SELECT *, CASE WHEN language1 = language2 THEN 'yes' ELSE 'no' END AS same_language FROM lp""",
@@ -209,10 +211,10 @@ ORACLES = {
       FROM paths a CROSS JOIN paths b LEFT JOIN both_ways e ON e.lang1 = a.iso AND e.lang2 = b.iso""",
     "join_metrics_before_after": f"""WITH {_ERRORS} SELECT a.language_pair, a.errors AS errors_before, b.errors AS errors_after
       FROM errors a JOIN errors b USING (language_pair) WHERE a.phase = 'before' AND b.phase = 'after'""",
-    "name_language_pairs": f"""WITH {LANGUAGE_NAMES_SQL}, {_ERRORS} SELECT language_pair, errors,
+    "name_language_pairs": f"""WITH {LANGUAGE_NAMES_SQL}, {_ERRORS} SELECT language_pair, phase, errors,
       coalesce(x.language, 'UNKNOWN') || ' - ' || coalesce(y.language, 'UNKNOWN') AS language_pair_name FROM errors
       LEFT JOIN named x ON x.language_code = split_part(language_pair, '-', 1)
-      LEFT JOIN named y ON y.language_code = split_part(language_pair, '-', 2) WHERE phase = 'before'""",
+      LEFT JOIN named y ON y.language_code = split_part(language_pair, '-', 2)""",
     "classification_distance": f"WITH {_EDGES} SELECT lang1, lang2, distance FROM edges",
     "classification_distance_exact": f"""WITH {fx.PATHS_SQL.replace("least(len(a.p), len(b.p)) - 1) AS", "least(len(a.p), len(b.p))) AS")}
       SELECT lang1, lang2, distance FROM edges""",
@@ -228,10 +230,12 @@ ORACLES = {
     "cosine_distances": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, sentence_id, count(*) AS n_candidates, min(d) AS nearest,
       max(d) AS farthest, (CAST(sum(CAST(round(d * 1e9) AS BIGINT)) AS BIGINT) // count(*)) / 1e9 AS mean_distance FROM dists GROUP BY ALL""",
     "retrieval_ranks": f"WITH {fx.VECTORS_SQL} SELECT * FROM ranks",
+    "nearest_candidates": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, sentence_id, candidate_id, d AS distance,
+      row_number() OVER (PARTITION BY model, lang1, lang2, sentence_id ORDER BY d, candidate_id) AS position FROM dists
+      QUALIFY position <= 5""",
     "similarity_search_summary": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, count(*) AS n_queries, round(avg(rank), 6) AS avg_rank,
-      round(stddev_samp(rank), 6) AS std_rank, round(avg(1 / rank), 6) AS mrr FROM ranks WHERE model = 'full' GROUP BY ALL""",
-    "mrr_pairwise": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, round(avg(1 / rank), 6) AS mrr FROM ranks
-      WHERE model = 'full' GROUP BY ALL""",
+      round(stddev_samp(rank), 6) AS std_rank, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ALL""",
+    "mrr_pairwise": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ALL""",
     "retrieval_sweep": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, count(*) AS n_queries, round(avg(rank), 6) AS avg_rank,
       round(stddev_samp(rank), 6) AS std_rank, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ALL""",
 }

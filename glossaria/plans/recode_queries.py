@@ -33,7 +33,7 @@ def add_column(spark, sf_dir):
 
 
 def add_script_column(spark, sf_dir):
-    scripts = language_scripts(fx.varieties(spark, sf_dir)[1].select("language").distinct())
+    scripts = language_scripts(fx.all_varieties(spark, sf_dir).distinct())
     return recode.add_script_column(fx.docs(spark, sf_dir).select("doc_id", "language"), scripts)
 
 
@@ -48,7 +48,7 @@ def language_code_table(spark, sf_dir):
 
 
 def translation_prompt(spark, sf_dir):
-    aligned = pairs.align_to_target(fx.train(spark, sf_dir), "fr")
+    aligned = pairs.align_to_target(fx.whole(spark, sf_dir), "fr")
     return recode.translation_prompt(aligned).select("sentence_id", "source_language", F.md5("prompt").alias("prompt"))
 
 
@@ -70,7 +70,7 @@ def decode_labels(spark, sf_dir):
 
 
 def same_language_rows(spark, sf_dir):
-    aligned = pairs.align_to_target(fx.train(spark, sf_dir), "fr")
+    aligned = pairs.align_to_target(fx.whole(spark, sf_dir), "fr")
     return recode.same_language_rows(aligned).select("sentence_id", "source_language", "target_language")
 
 
@@ -141,14 +141,14 @@ def select_train_test(spark, sf_dir):
 
 
 def split_by_label(spark, sf_dir):
-    subsets = combine.split_by_label(fx.train(spark, sf_dir))
+    subsets = combine.split_by_label(fx.whole(spark, sf_dir))
     return subsets.select(
         "language", "part", F.size("texts").cast("bigint").alias("n"), F.md5(F.array_join("texts", "|")).alias("texts")
     )
 
 
 def _variety_table(spark, sf_dir):
-    return fx.varieties(spark, sf_dir)[0].groupBy("language").agg(F.min("doc_id").alias("position"))
+    return fx.name_table(spark, sf_dir).select(F.replace("language_code", F.lit("-"), F.lit("_")).alias("language"), "position")
 
 
 def language_pairs_ordered(spark, sf_dir):
@@ -181,12 +181,12 @@ QUERIES = {
 
 VARIETIES_SQL = f"""{fx.LABELLED_SQL}, a AS (SELECT variety AS language, doc_id, n_chars FROM labelled),
 b AS (SELECT variety AS language, doc_id, n_chars FROM labelled WHERE toxic = 1),
-vt AS (SELECT language, min(doc_id) AS position FROM a GROUP BY language)"""
+vt AS (SELECT lang || '_' || source AS language, min(doc_id) AS position FROM documents GROUP BY lang, source)"""
 _VOCAB_SQL = f"""{fx.DOCS_SQL}, data AS (SELECT doc_id, corpus, language || '_' || source AS label FROM docs),
 vocabulary AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_id FROM (SELECT DISTINCT label FROM data))"""
-_ALIGNED_SQL = f"""{fx.CORPUS_SQL}, tr AS (SELECT * FROM corpus WHERE corpus = 'train'),
+_ALIGNED_SQL = f"""{fx.WHOLE_SQL},
 aligned AS (SELECT s.sentence_id, s.text AS source, t.text AS target, s.language AS source_language, t.language AS target_language
-  FROM tr s JOIN tr t ON s.sentence_id = t.sentence_id AND t.language = 'fr')"""
+  FROM whole s JOIN whole t ON s.sentence_id = t.sentence_id AND t.language = 'fr')"""
 TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 
 ORACLES = {
@@ -229,8 +229,8 @@ ORACLES = {
     "restrict_to_common": f"WITH {VARIETIES_SQL} SELECT * FROM a WHERE language IN (SELECT language FROM b)",
     "select_train_test": f"""WITH {VARIETIES_SQL} SELECT *, 'train' AS split FROM a WHERE language IN (SELECT language FROM b)
       UNION ALL SELECT *, 'test' FROM b""",
-    "split_by_label": f"""WITH {fx.CORPUS_SQL} SELECT language, sentence_id // 256 AS part, count(*) AS n,
-      md5(string_agg(text, '|' ORDER BY sentence_id)) AS texts FROM corpus WHERE corpus = 'train' GROUP BY 1, 2""",
+    "split_by_label": f"""WITH {fx.WHOLE_SQL} SELECT language, sentence_id // 256 AS part, count(*) AS n,
+      md5(string_agg(text, '|' ORDER BY sentence_id)) AS texts FROM whole GROUP BY 1, 2""",
     "language_pairs_ordered": f"""WITH {VARIETIES_SQL} SELECT x.language AS language1, y.language AS language2,
       x.language || '-' || y.language AS language_pair FROM vt x, vt y WHERE x.language <> y.language""",
     "language_pairs_from_one": f"""WITH {VARIETIES_SQL} SELECT x.language AS language1, y.language AS language2,
