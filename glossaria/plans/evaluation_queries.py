@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossaria.functions.text import char_ngrams
 from glossaria.operators import evaluate as ev
 from glossaria.operators import lid
 from glossaria.operators import subwords as sw
@@ -150,6 +151,30 @@ def predict_proba(spark, sf_dir):
     return scored.select("doc_id", F.explode("probabilities").alias("candidate", "p")).withColumn("p", F.round("p", 3))
 
 
+def lid_features(spark, sf_dir):
+    """Character bigrams of the test documents as the model counts them."""
+    data = fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
+    train, test = _split(data)
+    grams = char_ngrams("text", 2)
+    return lid.feature_counts(test, grams, lid.fit_vectorizer(train, grams), ["doc_id"])
+
+
+def lid_outcomes(spark, sf_dir):
+    """Per language: rows, rows whose probabilities sum to one, and whether four in five are right.
+
+    The smallest tables have eight test rows of a language, so one error there is already 0.875.
+    """
+    data = fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
+    train, test = _split(data)
+    scored = lid.lid_char_bigram_model(train, max_iter=LID_ITERATIONS).predict(test)
+    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda s, p: s + p)
+    return scored.groupBy("language").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.abs(total - 1) < 1e-6).alias("n_proper"),
+        (F.avg((F.col("prediction") == F.col("language")).cast("int")) >= 0.8).alias("accurate"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -158,6 +183,7 @@ QUERIES = {
         error_count, error_ratio, normalize_confusion, normalize_confusion_columns, misclassification_counts,
         expand_confusion, bleu_statistics, corpus_bleu, mean_generation_length, lid_word_bigram_model,
         lid_char_bigram_model, lid_romanized_char_model, lid_subword_bigram_model, lid_embedding_model, predict_proba,
+        lid_features, lid_outcomes,
     )
 }
 
@@ -213,7 +239,19 @@ clipped AS (SELECT pair_id, "order", gram, count(*) FILTER (WHERE side = 'h') AS
 stats AS (SELECT "order", CAST(sum(least(hyp, ref)) AS BIGINT) AS correct, CAST(sum(hyp) AS BIGINT) AS total,
   CAST(sum(ref) AS BIGINT) AS ref_total FROM clipped GROUP BY "order")"""
 
+def _char_grams() -> str:
+    from glossaria.plans.ngram_queries import grams
+
+    return grams(2).replace(" || ' '", "")
+
+
 ORACLES = {
+    "lid_features": rf"""WITH {fx.DOCS_SQL}, tk AS (SELECT corpus, doc_id,
+        string_split(regexp_replace(lower(text), '\s\s+', ' ', 'g'), '') AS t FROM docs),
+      counts AS (SELECT corpus, doc_id, term, count(*) AS n FROM (SELECT corpus, doc_id, unnest({_char_grams()}) AS term FROM tk) GROUP BY ALL)
+      SELECT doc_id, term, n FROM counts WHERE corpus = 'test' AND term IN (SELECT term FROM counts WHERE corpus = 'train')""",
+    "lid_outcomes": f"""WITH {fx.DOCS_SQL} SELECT language, count(*) AS n_rows, count(*) AS n_proper, true AS accurate
+      FROM docs WHERE corpus = 'test' GROUP BY language""",
     "language_balance": f"""WITH {fx.DOCS_SQL} SELECT corpus, language, count(*) AS n,
       round(count(*) / sum(count(*)) OVER (PARTITION BY corpus), 6) AS share FROM docs GROUP BY corpus, language""",
     "confusion_matrix": f"WITH {_SQUARE} SELECT * FROM square",

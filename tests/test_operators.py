@@ -33,6 +33,14 @@ def test_dense_positions_any_bucket(spark, bucket_rows):
     assert found == sorted(expected)
 
 
+def test_dense_positions_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(ids, "RUN_RANGES", 2)
+    keys = [k * k for k in range(40)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = ids.dense_positions(df, [], "k", bucket_rows=3)
+    assert sorted((r.k, r.sentence_id) for r in got.collect()) == [(k, i) for i, k in enumerate(keys)]
+
+
 def test_global_ids_are_dense(corpus):
     got = ids.add_global_sentence_id(corpus).orderBy("language", "sentence_id").collect()
     assert [r.global_sentence_id for r in got] == list(range(18))
@@ -98,8 +106,9 @@ def test_drawn_positive_pairs(spark, corpus):
     assert counts == {"yes": 9 * 6, "no": 4 * 6}
 
 
-@pytest.mark.parametrize("bucket_rows", [1, 2, 1000])
-def test_bigrams_cross_borders(spark, rows, bucket_rows):
+@pytest.mark.parametrize("bucket_rows, run_ranges", [(1, 8192), (2, 8192), (1000, 8192), (1, 1), (1, 2)])
+def test_bigrams_cross_borders(spark, rows, monkeypatch, bucket_rows, run_ranges):
+    monkeypatch.setattr(ngrams, "RUN_RANGES", run_ranges)
     data = [("a", 0, ["x", "y"]), ("a", 1, []), ("a", 2, ["z"]), ("b", 0, ["x", "y"])]
     df = spark.createDataFrame(data, "language string, k long, tokens array<string>")
     crossing = ngrams.bigram_counts(df, [], "language", "k", bucket_rows=bucket_rows)
@@ -165,7 +174,19 @@ def brute_distances(data, a, b):
     return np.round(np.clip(1 - q @ c.T, 0, 2), 9)
 
 
-@pytest.mark.parametrize("block_rows", [2, 2048])
+@pytest.mark.parametrize("block_rows", [2, None])
+def test_nearest_candidates_against_brute_force(vectors, block_rows):
+    data, df = vectors
+    got = {}
+    for r in retrieval.nearest_candidates(df, 3, block_rows).orderBy("position").collect():
+        got.setdefault((r.lang1, r.lang2, r.sentence_id), []).append(r.candidate_id)
+    assert len(got) == 28 * 3
+    for (a, b, i), found in got.items():
+        d = brute_distances(data, a, b)[i]
+        assert found == sorted(range(len(d)), key=lambda j: (d[j], j))[:3]
+
+
+@pytest.mark.parametrize("block_rows", [2, None])
 def test_retrieval_against_brute_force(vectors, block_rows):
     data, df = vectors
     got = {(r.lang1, r.lang2, r.sentence_id): r["rank"] for r in retrieval.retrieval_ranks(df, block_rows).collect()}
@@ -289,3 +310,11 @@ def test_language_identification(spark):
     p = lid.lid_char_bigram_model(df, max_iter=5).predict(df).select(F.explode("probabilities").alias("k", "v"), "language", "doc_id")
     for r in p.groupBy("language", "doc_id").agg(F.sum("v").alias("s")).collect():
         assert abs(r.s - 1) < 1e-6
+
+
+def test_no_join_on_hot_keys(spark, vectors, corpus):
+    """Vectors are not joined on model or language, small tables do not make the texts move by language."""
+    ranks = retrieval.retrieval_ranks(vectors[1])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in ranks
+    plan = ids.add_global_sentence_id(corpus)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

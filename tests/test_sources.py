@@ -108,3 +108,16 @@ def test_save_and_load_prunes_by_language(spark, tmp_path):
 def test_language_scripts(spark, rows):
     codes = spark.createDataFrame([("zho_Hant",), ("zho_Hans",), ("fin_Latn",)], "language string")
     assert rows(corpora.language_scripts(codes)) == [("fin", ["Latn"]), ("zho", ["Hans", "Hant"])]
+
+
+def test_line_numbers_over_files_of_a_language(spark, tmp_path):
+    data = [(lang, i, f"{lang} {i}") for lang, n in (("x", 900), ("y", 41)) for i in range(n)]
+    df = spark.createDataFrame(data, "language string, sentence_id long, text string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps several ranges
+    try:
+        corpora.write_parallel_corpus(df, str(tmp_path / "corpus"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(list((tmp_path / "corpus" / "language=x").glob("*.txt"))) > 1
+    got = corpora.read_parallel_corpus(spark, str(tmp_path / "corpus"), "folders").collect()
+    assert sorted((r.language, r.sentence_id, r.text) for r in got) == sorted(data)
