@@ -15,12 +15,15 @@ least one of 25 bands of 5 with probability 0.99995.
 * Equal texts are one node, known by a digest.
 * In ``HUB_ROUNDS`` rounds, the nodes of a bucket are compared with one of
   them, its hub: the node with the most links so far, ties broken by a hash of
-  bucket and node. After each round links give connected components; the hub
-  and the nodes of its component leave the bucket. This settles groups of
-  copies with rows linear in the bucket, and joins split hot keys.
-* Nodes that are left in a bucket are compared with each other in blocks of
-  about ``BLOCK`` nodes, a pair of blocks at a time, in the tasks; only links
-  come back. No bucket is too large: it has more blocks.
+  bucket and node. After each round links give connected components. Only the
+  hub leaves the bucket, since it was compared with all others there; a bucket
+  is settled once all its nodes are in one component. Nodes in the component of
+  their hub are not compared with it, so groups of copies are settled with rows
+  linear in the bucket, and joins split hot keys.
+* In each bucket that is not settled, the nodes outside of its largest
+  component are compared with all of its nodes of other components, in blocks
+  of about ``BLOCK`` nodes, a pair of blocks at a time, in the tasks; only
+  links come back. No bucket is too large: it has more blocks.
 * Comparisons are exact: weighted Jaccard similarity of the shingles, at least
   ``SIMILARITY``. Components come from iterated minima.
 
@@ -222,30 +225,45 @@ def block_comparer(similarity: float):
     """Arrow function: links between the blocks of one pair of blocks."""
 
     def run(rows):
-        rows = rows.sort_by("node")
+        rows, pairs = rows.sort_by("node"), []
         node, block = rows.column("node").to_pylist(), np.array(rows.column("block").to_pylist())
         label = rows.column("label").to_pylist()
-        near = np.triu(overlaps(rows.column("body").to_pylist(), WordHashes()) >= similarity, 1)
-        if block.min() != block.max():
-            near &= block[:, None] != block[None, :]
-        pairs = [(node[i], node[j]) for i, j in np.argwhere(near) if label[i] != label[j]]
+        if len(set(label)) > 1:
+            near = np.triu(overlaps(rows.column("body").to_pylist(), WordHashes()) >= similarity, 1)
+            if block.min() != block.max():
+                near &= block[:, None] != block[None, :]
+            pairs = [(node[i], node[j]) for i, j in np.argwhere(near) if label[i] != label[j]]
         return pa.table({"hub": pa.array([p[0] for p in pairs], pa.binary()), "node": pa.array([p[1] for p in pairs], pa.binary())})
 
     return run
 
 
 def block_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (hub, node) among the nodes of each bucket of (key, node, label)."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rows = members.join(sizes, "key").select(
-        "key", "node", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int").alias("block")
+    """Links (hub, node) among the nodes of different components of each bucket; ``members`` come from ``unsettled``."""
+    of = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    rows = members.select(
+        "key", "node", "label", (F.col("label") == F.col("main.label")).alias("inside"),
+        of(F.col("n") - F.col("main.n")).alias("outer"), of(F.col("main.n")).alias("inner"),
     )
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("inside"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("inside"), F.col("outer")).otherwise(0) + dealt)
+    last = F.col("outer") + F.when(F.col("inside"), 0).otherwise(F.col("inner")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     rows = rows.select("key", "node", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     return rows.join(texts, "node").groupBy("key", "low", "high").applyInArrow(block_comparer(similarity), "hub binary, node binary")
 
 
+def unsettled(state: DataFrame) -> DataFrame:
+    """Rows (key, node, label, links) of the buckets with several components, with their ``lead`` (next hub and its
+    label), number of nodes ``n`` and largest component ``main``."""
+    order = F.struct("links", F.xxhash64("key", "node").alias("draw"), "node", "label")
+    parts = state.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("lead"))
+    buckets = parts.groupBy("key").agg(
+        F.max("lead").alias("lead"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main")
+    )
+    return state.join(buckets.where("n > main.n"), "key")
+
+
 def link(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame | None:
     """Components (node, label) of the nodes that are similar to others; ``rows`` are the sketches of ``docs``."""
     members = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
@@ -255,24 +273,19 @@ def link(docs: DataFrame, rows: DataFrame, id_column: str = "doc_id", text: str
         return None
     texts = candidate_texts(docs, rows, members.select("node").distinct(), id_column, text)
     state = members.withColumns({"links": F.lit(0).cast("bigint"), "label": F.col("node")})
-    found, hubs = None, None
+    found = None
     for _ in range(HUB_ROUNDS):
-        order = F.struct("links", F.xxhash64("key", "node").alias("draw"), "node")
-        leads = state.groupBy("key").agg(F.max(order)["node"].alias("hub"))
-        state = materialize(state.join(leads, "key").select("key", "node", "hub"), "members")
-        pairs = state.where("node != hub").select("hub", "node").distinct()
+        state = unsettled(state).select("key", "node", "label", F.col("lead.node").alias("hub"), F.col("lead.label").alias("hub_label"))
+        state = materialize(state, "members")
+        pairs = state.where("node != hub and label != hub_label").select("hub", "node").distinct()
         if found is not None:
             pairs = pairs.join(found, ["hub", "node"], "left_anti")
         fresh = compare(pairs, texts)
         found = materialize(fresh if found is None else found.unionByName(fresh), "compared")
         links = found.where(F.col("similarity") >= similarity).select("hub", "node")
         labels = labelled(links)
-        state = with_labels(state, labels)
-        new = state.where("node = hub").select("key", "label")
-        hubs = materialize(new if hubs is None else with_labels(hubs, labels).select("key", "label").unionByName(new), "hubs")
-        state = state.where("node != hub").drop("hub").join(hubs.distinct(), ["key", "label"], "left_anti")
-        hubs = hubs.withColumn("node", F.col("label"))
-    rest = materialize(state.select("key", "node", "label"), "members")
+        state = with_labels(state.where("node != hub").select("key", "node"), labels)
+    rest = materialize(unsettled(state).select("key", "node", "label", "n", "main"), "members")
     if rest.isEmpty():
         return labels.select("node", "label")
     more = materialize(block_links(rest, texts, similarity), "links").distinct()

@@ -279,6 +279,37 @@ def test_classes_equal_brute_force(spark, small, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(expected.values())) and kept.columns == docs.columns
 
 
+def test_copies_edited_independently_are_one_class(spark):
+    draw = random.Random(11)
+    base = [f"s{i}" for i in range(120)]
+    texts = [base]
+    for c in range(1000):
+        copy = list(base)
+        for at in draw.sample(range(120), 2):
+            copy[at] = f"e{c}x{at}"
+        texts.append(copy)
+    draw.shuffle(texts)
+    assert all(jaccard(shingles(base), shingles(t)) >= 0.8 for t in texts)  # so brute force has one class
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert {r["class_id"] for r in minhash.classes(docs).collect()} == {0}
+
+
+def test_nodes_outside_of_a_large_component_meet_its_nodes(spark, monkeypatch):
+    draw, rows = random.Random(12), []
+    for family in range(3):
+        base = [f"f{family}s{i}" for i in range(120)]
+        for c in range(60):
+            copy = list(base)
+            for at in draw.sample(range(120), 2 + c % 3):
+                copy[at] = f"e{family}y{c}x{at}"
+            rows.append((len(rows), " ".join(copy), "en", "s", 0))
+    docs, expected = spark.createDataFrame(rows, DOCS), components_of(rows)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    for rounds in (1, 2):
+        monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+        assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()} == expected
+
+
 def test_signatures_agree_with_the_similarity():
     draw = random.Random(9)
     a = [f"w{draw.randrange(50)}" for _ in range(400)]
