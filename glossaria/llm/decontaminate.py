@@ -7,7 +7,11 @@ number of words (the whole document if that is shorter) are compared with it:
 2. Fingerprints of items are kept in ``RADIUS + 1`` tables, one per block of
    bits. Two fingerprints that differ in at most ``RADIUS`` bits agree in one
    block at least, so the tables give all items within the radius.
-3. Candidates are verified exactly: the weighted Jaccard similarity of the
+3. Items that share a shingle with a window at its own place are candidates at
+   any distance, unless the whole document holds too few shingles of the item
+   to reach ``similarity``: words changed at an item's edge cost one shingle
+   each, so a window may be similar and yet be farther than ``RADIUS`` bits.
+4. Candidates are verified exactly: the weighted Jaccard similarity of the
    five-word shingles of window and item (weights are counts) must reach
    ``similarity``. Items of fewer than five words have one shingle of all words
    and are compared with windows of that many words.
@@ -90,25 +94,34 @@ class Index:
         self.screen[(hashes >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)] = True
         self.short = sorted({int(n) for n in counts if 0 < n < SHINGLE})
 
-    def anchors(self, words: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, int]]:
-        """Distinct (text, first word, size) of the windows aligned with a shingle of an item."""
-        first, found = np.cumsum(counts) - counts, set()
+    def anchors(self, words: np.ndarray, counts: np.ndarray, threshold: float) -> dict[tuple[int, int, int], set[int]]:
+        """(text, first word, size) of the windows aligned with a shingle of an item -> these items.
+
+        The hits of an item in a text bound the shingles that any window there shares with it from above."""
+        first, hits = np.cumsum(counts) - counts, defaultdict(list)
         for size in (SHINGLE, *self.short):
             hashes, doc, start = shingle_hashes(words, counts, size)
             near = np.flatnonzero(self.screen[(hashes >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)])
             for k in near.tolist():
                 for item, place in self.places.get(int(hashes[k]), ()):
                     d, n = int(doc[k]), int(self.sizes[item])
-                    at = min(max(int(start[k] - first[d]) - place, 0), max(0, int(counts[d]) - n))
-                    found.add((d, at, n))
-        return sorted(found)
+                    hits[d, item].append(min(max(int(start[k] - first[d]) - place, 0), max(0, int(counts[d]) - n)))
+        found = defaultdict(set)
+        for (d, item), places in hits.items():
+            n = int(self.sizes[item])
+            total = max(1, n - SHINGLE + 1) + max(1, min(n, int(counts[d])) - SHINGLE + 1)
+            if len(places) * (1 + threshold) >= threshold * total - 1e-6:
+                for at in places:
+                    found[d, at, n].add(item)
+        return found
 
     def search(self, texts: list[str], known: WordHashes, threshold: float) -> list[list[tuple]]:
         """Per text: item number, similarity, first word, number of words."""
         words, counts = hash_words(texts, WORD, known)
         first, best = np.cumsum(counts) - counts, [{} for _ in texts]
         by_size = defaultdict(list)
-        for d, at, n in self.anchors(words, counts):
+        anchored = self.anchors(words, counts, threshold)
+        for d, at, n in sorted(anchored):
             by_size[n, min(n, int(counts[d]))].append((d, at))
         for (n, span), places in by_size.items():
             for some in (places[i : i + 4096] for i in range(0, len(places), 4096)):
@@ -116,10 +129,10 @@ class Index:
                 prints = fingerprints(words[rows])
                 for (d, at), print_, row in zip(some, prints.tolist(), rows):
                     near = {i for b, v in block_values(print_) for i in self.tables.get((n, b, v), ())}
-                    near = [i for i in near if (print_ ^ int(self.prints[i])).bit_count() <= RADIUS]
+                    near = {i for i in near if (print_ ^ int(self.prints[i])).bit_count() <= RADIUS} | anchored[d, at, n]
                     if near:
                         own = Counter(shingle_hashes(words[row], np.array([span]), SHINGLE)[0].tolist())
-                        for i in near:
+                        for i in sorted(near):
                             s = similarity_of(own, self.shingles[i])
                             if s >= threshold and (s, -at) > best[d].get(i, (0.0, 0))[:2]:
                                 best[d][i] = s, -at, span

@@ -238,6 +238,25 @@ def test_decontamination_equals_brute_force(spark, corners):
     assert decontaminate.search(corners.limit(0), bench).count() == 0
 
 
+def test_changed_edges_equal_brute_force():
+    draw = random.Random(13)
+    items = [[f"i{k}w{draw.randrange(400)}" for _ in range(n)] for k, n in enumerate([15, 22, 31, 40, 49, 58] * 20)]
+    index = decontaminate.Index([(k, " ".join(item)) for k, item in enumerate(items)])
+    texts, expected = [], set()
+    for k, item in enumerate(items):
+        edge = (len(item) - 4) // 9
+        for left in range(edge + 1):
+            changed = [f"c{draw.randrange(10**6)}" for _ in range(edge)]
+            inside = changed[:left] + item[left : len(item) - edge + left] + changed[left:]
+            text = [f"o{draw.randrange(10**6)}" for _ in range(30)] + inside + [f"o{draw.randrange(10**6)}" for _ in range(30)]
+            best = max(jaccard(shingles(text[i : i + len(item)]), shingles(item)) for i in range(len(text) - len(item) + 1))
+            if best >= 0.8:
+                expected.add((len(texts), k, round(best, 9)))
+            texts.append(" ".join(text))
+    found = index.search(texts, decontaminate.WordHashes(), 0.8)
+    assert len(expected) > 100 and {(d, f[0], round(f[1], 9)) for d, own in enumerate(found) for f in own} == expected
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     draw = random.Random(8)
     for _ in range(300):
