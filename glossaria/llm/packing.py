@@ -9,7 +9,9 @@ that one in a logarithmic number of steps. Groups are independent, so nothing
 but one group is held by a task, and no key decides where a row goes.
 
 A document's tokens are those of a byte-level BPE file of the ``tokenizers``
-library plus ``end_id``. Null text is empty and gives the end token alone.
+library plus ``end_id``. They are found by ``tiktoken``, which is faster, from
+the ranks in the file; texts that spell the special token, hold 100,000 or more
+white-space characters in a row, or make ``tiktoken`` fail go to ``tokenizers``. Null text is empty and gives the end token alone.
 Repeated rows are packed one by one. A null id stays null; other columns are
 not read. Sequence ids are unique, not dense: number of the task * 2**32 +
 number in the task.
@@ -17,6 +19,7 @@ number in the task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ from glossaria.llm.common import slices
 # How the byte-level BPE splits texts, and its special token.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
+# Runs of white space that the faster library's splitter may not get through.
+LONG_RUN = re.compile(r"\s{100000}")
 
 
 def byte_values() -> dict[str, int]:
@@ -43,8 +48,8 @@ class TokenBytes:
     """Texts to token ids as little-endian unsigned 32-bit integers.
 
     The file's vocabulary is in the order of its merges, so it serves as ranks
-    for the faster library; texts that spell the special token go to the
-    tokenizer itself.
+    for the faster library; texts that spell the special token or that the
+    faster library cannot split go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -56,10 +61,17 @@ class TokenBytes:
         ranks = {bytes(values[c] for c in token): i for token, i in vocabulary.items() if token != SPECIAL}
         self.encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def ids(self, text: str) -> list[int]:
+        if SPECIAL not in text and not LONG_RUN.search(text):
+            try:
+                return self.encode(text)
+            except BaseException as error:  # a panic of the library is no Exception
+                if not isinstance(error, Exception) and type(error).__name__ != "PanicException":
+                    raise
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: str) -> bytes:
-        own = SPECIAL in text
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids if own else self.encode(text)
-        return np.array(ids, "<u4").tobytes()
+        return np.array(self.ids(text), "<u4").tobytes()
 
 
 class Tournament:

@@ -394,6 +394,19 @@ def test_packing_keeps_every_token_once(spark, corners):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_long_runs_of_white_space_are_tokenized():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, tokens = Tokenizer.from_file(path), packing.TokenBytes(path)
+    for text in ("a" + " " * 2_000_000 + "b", "a" + "\n" * 2_000_000 + "b", "x " * 50 + " " * 99_999 + "y"):
+        assert tokens(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def fail(text):
+        raise ValueError(text)
+
+    tokens.encode = fail
+    assert tokens("one two") == np.array(plain.encode("one two", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_first_fit_decreasing():
     draw = random.Random(1)
     lengths = [draw.randrange(1, 300) for _ in range(500)]
