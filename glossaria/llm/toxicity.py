@@ -5,7 +5,7 @@ a token's emission is the sum of the weights of its word and of its leading
 bytes, so unseen inflections of a stem get the weight of the stem. Only
 document labels are given: tokens of toxic training documents are labelled
 toxic where their word or stem occurs in far more toxic than clean documents,
-all others clean; the field is fitted to these labelled tokens. Marginals from
+all others clean; the field is fitted to these tokens of all training documents. Marginals from
 the forward-backward recursion are summed up per document, and a logistic
 regression on the sums gives the score.
 
@@ -39,6 +39,7 @@ BITS = 18
 STEMS = range(2, 11)
 BLOCK = 256
 CACHED_WORDS = 500_000
+CHAIN_TOKENS = 300_000
 OUTPUTS = T.StructType(
     [
         T.StructField("toxicity", T.DoubleType()),
@@ -182,7 +183,7 @@ def document_inputs(marginal: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_rows(texts: list[str], toxic: list[int], prior: float, field_rows: int = 1200, rounds: int = 60) -> ToxicityModel:
+def fit_rows(texts: list[str], toxic: list[int], prior: float, rounds: int = 60) -> ToxicityModel:
     """Fit on labelled texts; ``prior`` is the share of toxic labels before the draw."""
     model = ToxicityModel()
     rows = list(dict.fromkeys(zip(texts, toxic)))
@@ -191,7 +192,7 @@ def fit_rows(texts: list[str], toxic: list[int], prior: float, field_rows: int =
         model.document[0] = np.log((prior + 1e-9) / (1 - prior + 1e-9))
         return model
     words: dict[str, int] = {}
-    ids = [np.array([words.setdefault(w, len(words)) for w in TOKEN.findall(t)], np.int64) for t, _ in rows]
+    ids = [np.array([words.setdefault(w, len(words)) for w in TOKEN.findall(t)], np.int32) for t, _ in rows]
     found, size = array("i"), np.zeros(len(words), np.int64)
     for k, w in enumerate(words):
         own = features(w)
@@ -216,29 +217,33 @@ def fit_rows(texts: list[str], toxic: list[int], prior: float, field_rows: int =
     if len(words):
         marked = np.maximum.reduceat(lower[flat], first) > 2.0
 
-    # token labels, on a part of the sample with as many rows of either kind
-    half = field_rows // 2
-    chosen = np.concatenate([np.flatnonzero(y == 1)[:half], np.flatnonzero(y == 0)[:half]])
-    chosen = [k for k in chosen if len(ids[k])]
-    if chosen:
-        token = np.concatenate([ids[k] for k in chosen])
-        count = np.array([len(ids[k]) for k in chosen])
-        starts = np.cumsum(count) - count
-        target = (marked[token] & np.repeat(y[chosen] == 1, count)).astype(float)
-        inner = np.ones(len(token), bool)
-        inner[starts] = False
-        pair = np.zeros((2, 2))
-        np.add.at(pair, (np.roll(target, 1)[inner].astype(int), target[inner].astype(int)), 1)
-        used = np.unique(token)
-        uflat, usize = of_words(used), size[used]
-        ufirst, where = np.cumsum(usize) - usize, np.searchsorted(used, token)
+    # token labels; the field is fitted to all rows, chains of some documents at a time bound the memory
+    counts = np.array([len(i) for i in ids])
+    part = np.cumsum(counts) // CHAIN_TOKENS
+    parts = list(pairwise([*np.flatnonzero(np.diff(part, prepend=-1)), len(ids)]))
+    if len(words):
+        chains, pair = [], np.zeros((2, 2))
+        for i, j in parts:
+            count = counts[i:j]
+            token = np.concatenate(ids[i:j])
+            if not len(token):
+                continue
+            starts = (np.cumsum(count) - count)[count > 0]
+            target = marked[token] & np.repeat(y[i:j] == 1, count)
+            inner = np.ones(len(token), bool)
+            inner[starts] = False
+            np.add.at(pair, (np.roll(target, 1)[inner].astype(int), target[inner].astype(int)), 1)
+            chains.append((token, starts, target))
         w, t = np.zeros(1 << BITS), np.zeros((2, 2))
         bias, speed, tspeed, bspeed = -4.0, np.full(1 << BITS, 1e-8), np.full((2, 2), 1e-8), 1e-8
         for _ in range(rounds):
-            emission = np.add.reduceat(w[uflat], ufirst) + bias
-            marginal, sums = forward_backward(emission[where], starts, t)
-            by_word = np.bincount(where, target - marginal, len(used))
-            gradient = np.bincount(uflat, np.repeat(by_word, usize), 1 << BITS) - 0.05 * w
+            emission = np.add.reduceat(w[flat], first) + bias
+            by_word, sums = np.zeros(len(words)), np.zeros((2, 2))
+            for token, starts, target in chains:
+                marginal, own = forward_backward(emission[token], starts, t)
+                by_word += np.bincount(token, target - marginal, len(words))
+                sums += own
+            gradient = np.bincount(flat, np.repeat(by_word, size), 1 << BITS) - 0.05 * w
             speed += gradient**2
             w += 0.5 * gradient / np.sqrt(speed)
             tgrad, bgrad = pair - sums - 0.05 * t, by_word.sum()
@@ -248,14 +253,7 @@ def fit_rows(texts: list[str], toxic: list[int], prior: float, field_rows: int =
         model.weights, model.bias, model.transitions = w.astype(np.float32), float(bias), t
 
     emission = np.add.reduceat(model.weights[flat], first) if len(words) else np.zeros(0)
-    counts = np.array([len(i) for i in ids])
-    part = np.cumsum(counts) // 300_000  # chains of some documents at a time bound the memory
-    marginal = np.concatenate(
-        [
-            chain(emission[np.concatenate(ids[i:j])], counts[i:j], model)
-            for i, j in pairwise([*np.flatnonzero(np.diff(part, prepend=-1)), len(ids)])
-        ]
-    )
+    marginal = np.concatenate([chain(emission[np.concatenate(ids[i:j])], counts[i:j], model) for i, j in parts])
     share = np.array([prior, 1 - prior])
     weight = np.where(y == 1, share[0] / n1, share[1] / n0) * len(y)
     model.document = fit_logistic(document_inputs(marginal, counts), y.astype(float), weight)

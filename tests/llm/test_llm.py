@@ -118,6 +118,20 @@ def test_toxicity_on_held_out_rows_and_spans(spark):
         assert all("vile" in s for s in spans) and bool(spans) == (i % 4 == 0)
 
 
+def test_toxicity_is_fitted_on_all_rows():
+    draw, texts = random.Random(14), []
+    for i in range(1400):
+        text = [draw.choice("the of and to in a is that for it".split()) + draw.choice("xyz") for _ in range(12)]
+        if i < 700:
+            text[draw.randrange(12)] = "vile" if i < 600 else "grim"  # late rows have a word of their own
+        texts.append(" ".join(text))
+    model = toxicity.fit_rows(texts, [int(i < 700) for i in range(1400)], 0.5)
+    for word in ("vile", "grim"):
+        text = f"thex ofy {word} toz"
+        spans = toxicity.scorer(model)([text])[1].to_pylist()[0]
+        assert [text[s["start"] : s["end"]] for s in spans] == [word]
+
+
 def test_toxicity_corners(spark, corners, labels):
     model = toxicity.fit(corners, labels)
     got = toxicity.score(corners, model).collect()
