@@ -51,14 +51,17 @@ FURNITURE_WORDS = (
     "recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola "
     "tag tags teaser toc toolbar topbar widget"
 )
-COMMENT_WORDS = "comment commentlist comments discussion disqus feedback replies reply respond review reviews"
+COMMENT_WORDS = "comment commentlist comments disqus replies respond"
+# Words of comments that pages about other things have as well: no zone of comments, but furniture to the tree.
+WEAK_COMMENT_WORDS = "discussion feedback reply reviews"
 
 UNSEEN_SET, BLOCK_SET, CONTAINER_SET = set(UNSEEN.split()), set(BLOCK.split()), set(CONTAINERS.split())
 FURNITURE_SET, ARTICLE_SET = set(FURNITURE.split()), set(ARTICLE_WORDS.split())
-FURNITURE_WORD_SET, COMMENT_SET = set(FURNITURE_WORDS.split()), set(COMMENT_WORDS.split())
+FURNITURE_WORD_SET, COMMENT_SET = set(f"{FURNITURE_WORDS} {WEAK_COMMENT_WORDS}".split()), set(COMMENT_WORDS.split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{UNSEEN.replace(' ', '|')})\b[^>]*>.*?(?:</(?P=raw)\b[^>]*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
+    rf"|<(?P<raw>{UNSEEN.replace(' ', '|')})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-zA-Z][^<>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
@@ -122,9 +125,9 @@ LABELLED = (
 
 
 def zone_of(name: str, attributes: str) -> int:
-    """3 reader comments, 2 furniture, 1 article, 0 neither."""
+    """3 reader comments, 2 furniture, 1 article, 0 neither; ``body``, ``main`` and ``article`` are never comments."""
     words = {w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(m[1] or m[2] or m[3] or "")} if attributes else set()
-    if words & COMMENT_SET:
+    if words & COMMENT_SET and name not in ("body", "main", "article"):
         return 3
     if name in FURNITURE_SET:
         return 2

@@ -378,6 +378,25 @@ def test_extraction():
     assert extract(["", "<p>cut <a href='x", "<script>x"])[0].to_pylist() == ["", "cut", ""]
 
 
+def test_extraction_keeps_articles_whole():
+    extract = html_extract.extractor()
+    body = "<h1>A town</h1><p>the river rose through the night and people near the water left their houses</p>"
+    want = "A town the river rose through the night and people near the water left their houses"
+    pages = {
+        "<article><p>one <svg class=i /> two</p><p>three</p></article>": "one two three",
+        "<article><p>one <svg class='a>b' d=\"/>\"><title>no</title></svg> two</p></article>": "one two",
+        "<article><p>one <math/> two <svg><path /></svg>three</p></article>": "one two three",
+        "<article><video-card><p>one</p></video-card><object-x>two</object-x></article>": "one two",
+        f"<body class='single comment-open'><article>{body}</article></body>": want,
+        f"<body class=home><article class='review comments-on'>{body}</article></body>": want,
+        f"<div class=feedback><article>{body}</article></div>": want,
+        f"<div class=review><p>{body}</p></div>": want,
+    }
+    for page, text in pages.items():
+        assert extract([page])[0].to_pylist() == [text], page
+    assert extract([f"<article>{body}<section class=comments><article class=comment><p>nice one</p></article></section></article>"])[0].to_pylist() == [want]
+
+
 def test_extraction_corners(spark, corners):
     pages = corners.withColumnRenamed("text", "html")
     got = html_extract.extract(pages).collect()
