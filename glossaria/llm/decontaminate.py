@@ -20,9 +20,10 @@ A window without a shingle of some item is similar to none, so only windows at
 places where an item's shingle occurs, aligned with it, get a fingerprint. The
 best window per document and item is returned.
 
-Documents are never shuffled. Items are read in slices of ``SLICE_ITEMS`` rows,
-and documents pass through one index per slice, so what a task holds at once
-does not grow with the benchmark.
+Documents are never shuffled. Items are read in slices of ``SLICE_ITEMS`` rows
+and documents pass through one index per slice. The benchmark passes through
+the driver, and driver, plan and tasks hold all of it: it must fit there. No
+bound on its size is enforced.
 
 Null and empty texts match nothing, nor do items without words. Items with the
 same words match alike and are all returned. Repeated rows are searched one by
