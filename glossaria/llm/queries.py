@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossaria.llm import chat, decontaminate, html_extract, line_dedup, lm_scoring, minhash, packing, quality_classifier, quality_rules, toxicity
+from glossaria.llm import (
+    chat, complement_packing, decontaminate, html_extract, line_dedup, lm_scoring, minhash, packing, quality_classifier,
+    quality_rules, toxicity,
+)
 from glossaria.llm.common import table
 
 
@@ -83,6 +86,13 @@ def op10_line_dedup(spark, sf_dir):
     return cleaned.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op11_complement_packing(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = complement_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -94,6 +104,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_complement_packing": op11_complement_packing,
 }
 ORACLES = {
     "op6_lm_scoring": lm_scoring.ORACLE_SQL,
