@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glossaria.llm import (
-    chat, complement_packing, decontaminate, html_extract, line_dedup, lm_scoring, minhash, packing, quality_classifier,
-    quality_rules, toxicity,
+    chat, complement_packing, decontaminate, html_extract, line_dedup, lm_scoring, minhash, negatives, packing,
+    quality_classifier, quality_rules, spelling, toxicity,
 )
 from glossaria.llm.common import table
 
@@ -93,6 +93,17 @@ def op11_complement_packing(spark, sf_dir):
     return pieces.select("doc_id", "piece", "start", "length", F.crc32("tokens").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op12_spelling_variants(spark, sf_dir):
+    found = spelling.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.mine(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
@@ -105,9 +116,13 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
     "op11_complement_packing": op11_complement_packing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {
     "op6_lm_scoring": lm_scoring.ORACLE_SQL,
     "op8_chat_formatting": chat.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }
