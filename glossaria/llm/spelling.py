@@ -6,11 +6,13 @@
    counts. One edited code point changes the squared distance of two vectors by
    at most 2, and the length by at most 1. Words are blocked by length and by how
    many letters of each of ``CLASSES`` they hold; an edit moves such a count by at
-   most one, so a block meets itself and its neighbours (``STEPS``) and no other.
-   Blocks are cut into sub-blocks of about ``block_words`` words, two of which
-   meet in one cogroup: a NumPy product gives all inner products, hence squared
-   distances; pairs at more than 2 (or an impossible distance) are dropped.
-3. The pairs left are verified by comparing the words from both ends.
+   most one, so a block's words meet each other and those of adjacent blocks
+   (``STEPS``). A block's words are one group of a cogroup, cut into sub-blocks of
+   about ``block_words``; the adjacent words are the other, in parts of as many times
+   ``NEIGHBOURS``. Inside, both are ordered by the counts of ``FINE`` classes, and for
+   each pair of adjacent runs a NumPy product gives all inner products, hence squared
+   distances; pairs at more than 2 are dropped.
+3. The pairs left are verified by comparing the words place by place.
 4. Each word takes its most frequent near word as form if that is at least
    ``ratio`` times as frequent. Counts grow by that factor along the forms, so
    chains are as short as the logarithm of the largest count; the last word of a
@@ -40,8 +42,12 @@ from glossaria.sources.shared import materialize
 FIRST_ACCENT, ACCENTS = 0xC0, 64
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(FIRST_ACCENT + i) for i in range(ACCENTS))
 # Letters whose counts part the blocks; what is in none of them counts in the length alone.
-CLASSES = ("eao", "isu", "nrd", "tlc")
+CLASSES = ("eaoi", "nrstl")
+FINE = ("e", "a", "o", "i", "n", "r", "s", "t", "l", "d", "h", "c", "u", "m")
+FINE_ROWS = 8  # words of a run on average, at least; else fewer classes are taken
+NEIGHBOURS = 8
 CELLS = 1 << 22  # entries of one product
+CHECKED = 1 << 18  # pairs verified at a time
 
 
 def word_pattern(least: int) -> re.Pattern:
@@ -95,54 +101,138 @@ def word_counts(
     return counts.where(F.col("n") >= minimum)
 
 
+def letters_of(words: list[str]) -> np.ndarray:
+    """Number of each letter of all words in ``LETTERS``, one after the other."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.where(points < 128, points - ord("a"), points - FIRST_ACCENT + 26).astype(np.uint8)
+
+
 def letter_counts(words: list[str]) -> np.ndarray:
     """One row of letter counts per word."""
-    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-    letter = np.where(points < 128, points - ord("a"), points - FIRST_ACCENT + 26)
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    counts = np.bincount(row * len(LETTERS) + letter, minlength=len(words) * len(LETTERS)).reshape(-1, len(LETTERS))
+    counts = np.bincount(row * len(LETTERS) + letters_of(words), minlength=len(words) * len(LETTERS)).reshape(-1, len(LETTERS))
     # sums of products of up to 2**24 are exact in single precision
-    return counts.astype(np.float32 if counts.size == 0 or int((counts**2).sum(axis=1).max()) < 1 << 23 else np.float64)
+    return counts.astype(np.float32 if counts.size == 0 or int((counts**2).sum(axis=1).max()) < 1 << 22 else np.float64)
 
 
-def close_counts(left: np.ndarray, right: np.ndarray, most: int = 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of ``left`` and ``right`` whose squared distance, taken from the Gram matrix, is at most ``most``."""
-    norm = (right.astype(np.float64) ** 2).sum(axis=1)
-    step = max(1, CELLS // max(1, len(right)))
-    for at in range(0, len(left), step):
-        some = left[at : at + step]
-        # |x - y|^2 <= most, as x.y >= (|x|^2 + |y|^2 - most) / 2
-        bound = ((some.astype(np.float64) ** 2).sum(axis=1)[:, None] + norm[None, :] - most) / 2
-        product = some @ right.T
-        i, j = np.nonzero(product >= bound.astype(product.dtype))
-        yield i + at, j
-
-
-def one_edit(a: str, b: str) -> bool:
-    """Exactly one code point inserted, deleted or replaced."""
-    if len(a) > len(b):
-        a, b = b, a
-    if a == b or len(b) - len(a) > 1:
-        return False
-    at = 0
-    while at < len(a) and a[at] == b[at]:
-        at += 1
-    return a[at + (len(a) == len(b)) :] == b[at + 1 :]
-
-
-def steps() -> list[tuple[int, ...]]:
-    """Changes of (length, counts by class) that one edit makes, one of each opposite two, none first.
-
-    A replaced letter takes one from a class or from the rest and adds one
-    elsewhere; an inserted one adds to the length and to one class or the rest.
-    """
-    n = len(CLASSES)
-    unit = [tuple(int(i == k) for i in range(n)) for k in range(n)] + [(0,) * n]
-    swaps = {(0, *(x - y for x, y in zip(unit[p], unit[q]))) for p in range(n + 1) for q in range(p + 1, n + 1)}
-    return [(0,) * (n + 1), *sorted(swaps), *((1, *u) for u in unit)]
+def half_norms(counts: np.ndarray) -> np.ndarray:
+    return (counts * counts).sum(axis=1) / 2
 
 
-STEPS = steps()
+def close_counts(left: np.ndarray, right: np.ndarray, left_half: np.ndarray, right_half: np.ndarray, most: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``left`` and ``right`` whose squared distance, taken from the Gram matrix, is at most ``most``."""
+    # |x - y|^2 <= most, as x.y - |y|^2 / 2 >= (|x|^2 - most) / 2
+    product = left @ right.T
+    product -= right_half
+    return np.divmod(np.flatnonzero(product >= (left_half - most / 2)[:, None]), len(right))
+
+
+def swaps(classes: int) -> list[tuple[int, ...]]:
+    """Changes of the counts of classes by one replaced letter, one of each opposite two."""
+    unit = [tuple(int(i == k) for i in range(classes)) for k in range(classes)] + [(0,) * classes]
+    return sorted({tuple(x - y for x, y in zip(unit[p], unit[q])) for p in range(classes + 1) for q in range(p + 1, classes + 1)})
+
+
+def inserts(classes: int) -> list[tuple[int, ...]]:
+    """Changes of the counts by one inserted letter."""
+    return [tuple(int(i == k) for i in range(classes)) for k in range(classes)] + [(0,) * classes]
+
+
+# Changes of (length, counts by class) that one edit makes, one of each opposite two, none first.
+STEPS = [(0,) * (len(CLASSES) + 1), *((0, *s) for s in swaps(len(CLASSES))), *((1, *s) for s in inserts(len(CLASSES)))]
+
+
+class Runs:
+    """Words of one length in the order of their fine counts, which a linear hash stands for."""
+
+    FACTORS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ** 5) % (1 << 64) | 1 for i in range(len(FINE))], np.uint64)
+
+    def __init__(self, words: list[str], counts: np.ndarray, classes: int):
+        self.classes = classes
+        fine = np.zeros((len(words), classes), np.int64)
+        for k, group in enumerate(FINE[:classes]):
+            fine[:, k] = counts[:, [LETTERS.index(c) for c in group]].sum(axis=1)
+        hashed = self.hash(fine)
+        self.order = np.argsort(hashed, kind="stable")
+        self.keys, self.first = np.unique(hashed[self.order], return_index=True)
+        self.last = np.append(self.first[1:], len(words))
+        self.counts = counts[self.order]
+        self.half = half_norms(self.counts)
+
+    def hash(self, fine: np.ndarray) -> np.ndarray:
+        return (fine.astype(np.uint64) * self.FACTORS[: self.classes]).sum(axis=1, dtype=np.uint64)
+
+    def meet(self, other: Runs, changes: list[tuple[int, ...]]):
+        """Yield numbers of own words and of ``other``'s whose counts are close, for runs that differ by one of the changes."""
+        for change in changes:
+            wanted = self.keys + self.hash(np.array([change], np.int64).reshape(1, self.classes))[0]
+            at = np.minimum(np.searchsorted(other.keys, wanted), len(other.keys) - 1)
+            for k in np.flatnonzero(other.keys[at] == wanted):
+                a, b = slice(self.first[k], self.last[k]), slice(other.first[at[k]], other.last[at[k]])
+                step = max(1, CELLS // (b.stop - b.start))
+                for start in range(a.start, a.stop, step):
+                    part = slice(start, min(start + step, a.stop))
+                    i, j = close_counts(self.counts[part], other.counts[b], self.half[part], other.half[b])
+                    i += start
+                    j += b.start
+                    if other is self and not any(change):
+                        i, j = i[i < j], j[i < j]
+                    yield self.order[i], other.order[j]
+
+
+def one_edit(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which rows of letters differ by exactly one replaced letter, or one inserted into the left one."""
+    same = left == right[:, : left.shape[1]]
+    if left.shape[1] == right.shape[1]:
+        return same.sum(axis=1) == left.shape[1] - 1
+    moved = left == right[:, 1:]
+    led = np.where(same.all(axis=1), left.shape[1], np.argmin(same, axis=1))
+    followed = np.where(moved.all(axis=1), left.shape[1], np.argmin(moved[:, ::-1], axis=1))
+    return led + followed >= left.shape[1]
+
+
+def near_pairs(words: list[str], others: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words and of ``others`` (the words themselves, if None) that are one edit apart.
+
+    Words have one length; the others too, the same or one more.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if not words or (others is not None and not others):
+        return found[0]
+    counts = letter_counts(words)
+    classes = len(FINE)
+    while classes and len(words) < FINE_ROWS * len(Runs(words, counts, classes).keys):
+        classes -= 2
+    own = Runs(words, counts, classes)
+    rows = letters_of(words).reshape(len(words), -1)
+    if others is None:
+        other, other_rows, changes = own, rows, [(0,) * classes, *swaps(classes)]
+    else:
+        other, other_rows = Runs(others, letter_counts(others), classes), letters_of(others).reshape(len(others), -1)
+        both = swaps(classes)
+        changes = [(0,) * classes, *both, *(tuple(-x for x in s) for s in both)]
+        if len(others[0]) > len(words[0]):
+            changes = inserts(classes)
+    held, n = [], 0
+
+    def verified() -> None:
+        i, j = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        most = max(1, CHECKED * 16 // rows.shape[1])
+        for at in range(0, len(i), most):
+            p, q = i[at : at + most], j[at : at + most]
+            right = one_edit(rows[p], other_rows[q])
+            found.append((p[right], q[right]))
+
+    for pair in own.meet(other, changes):
+        held.append(pair)
+        n += len(pair[0])
+        if n >= CHECKED:
+            verified()
+            n = 0
+    if held:
+        verified()
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def block_key() -> Column:
@@ -151,59 +241,57 @@ def block_key() -> Column:
     return F.array(length, *classes)
 
 
-def near_words(words: DataFrame, block_words: int = 2048) -> DataFrame:
+def near_words(words: DataFrame, block_words: int = 1 << 14) -> DataFrame:
     """Pairs of words one edit apart, both ways: ``(word, n, near, near_n)``."""
     keyed = materialize(words.select("word", "n", block_key().alias("key")), "words")
-    # number of sub-blocks of each block
-    cuts = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_words)).cast("int").alias("cuts"))
-    cuts = materialize(cuts, "word-blocks")
-    own = cuts.withColumnsRenamed({"key": "own_key", "cuts": "own_cuts"})
-    placed = keyed.join(own, keyed["key"] == own["own_key"]).select(
-        "word", "n", "key", F.pmod(F.xxhash64("word"), F.col("own_cuts")).cast("int").alias("sub")
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "word-blocks")
+    shifts = F.explode(F.array(*[F.array(*[F.lit(x) for x in s]) for s in STEPS])).alias("shift")
+
+    # sub-blocks of a block, and parts of all words that its own ones meet
+    met = sizes.select("size", "key", shifts).select("size", F.zip_with("key", "shift", lambda k, x: k - x).alias("met"))
+    around = met.groupBy("met").agg(F.sum("size").alias("around"))
+    cut = lambda c, most: F.ceil(F.col(c) / F.lit(most)).cast("int")
+    cells = sizes.join(around, F.col("key") == F.col("met")).select(
+        F.col("key").alias("cell_key"), F.monotonically_increasing_id().alias("cell"),
+        cut("size", block_words).alias("subs"), cut("around", block_words * NEIGHBOURS).alias("parts"),
     )
-    shifts = F.array(*[F.array(*[F.lit(x) for x in s]) for s in STEPS])
-
-    def side(sign: int) -> DataFrame:
-        """Words with each block that theirs meets in a step; one row per sub-block there."""
-        moved = F.zip_with("key", "shift", lambda k, s: k + s * F.lit(sign))
-        stepped = placed.select("word", "n", "key", "sub", F.posexplode(shifts).alias("step", "shift"))
-        stepped = stepped.select("word", "n", "key", "sub", "step", moved.alias("met"))
-        met = cuts.withColumnsRenamed({"key": "met_key", "cuts": "met_cuts"})
-        other = F.sequence(F.lit(0), F.col("met_cuts") - 1)
-        rows = stepped.join(met, stepped["met"] == met["met_key"]).select(
-            "word", "n", "key", "sub", "step", "met", F.explode(other).alias("met_sub")
-        )
-        # within a block, sub-blocks meet once
-        one_way = F.col("sub") <= F.col("met_sub") if sign > 0 else F.col("sub") > F.col("met_sub")
-        rows = rows.where((F.col("step") > 0) | one_way)
-        first, second = (("key", "sub"), ("met", "met_sub")) if sign > 0 else (("met", "met_sub"), ("key", "sub"))
-        # fresh names: both sides of the cogroup come from one table
-        names = {"word": "word", "n": "n", "step": "step", first[0]: "block", first[1]: "sub1", second[1]: "sub2"}
-        return rows.select(*[F.col(c).alias(name) for c, name in names.items()])
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    cells = materialize(cells, "word-cells")
+    spread = lambda by: F.pmod(F.xxhash64("word"), F.col(by)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = keyed.join(cells, F.col("key") == F.col("cell_key")).select("word", "n", "cell", spread("subs").alias("sub"), every("parts").alias("part"))
+    # a word meets the blocks a step before its own, and, as its own block's neighbour, the sub-blocks before its own
+    shifted = keyed.select("word", "n", "key", shifts).select("word", "n", "key", F.zip_with("key", "shift", lambda k, x: k - x).alias("met"))
+    guests = shifted.join(cells, F.col("met") == F.col("cell_key")).select(
+        "word", "n", "cell", every("subs").alias("sub"), spread("parts").alias("part"),
+        F.when(F.col("met") == F.col("key"), spread("subs")).alias("own_sub"),
+    )
+    guests = guests.where(F.col("own_sub").isNull() | (F.col("sub") < F.col("own_sub"))).drop("own_sub")
+
+    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         a, n = left.column("word").to_pylist(), left.column("n").to_numpy()
-        within = right.num_rows == 0 and left.num_rows > 0 and left.column("step")[0].as_py() == 0
-        if within and left.column("sub1")[0].as_py() == left.column("sub2")[0].as_py():
-            b, m = a, n
-        else:
-            within, b, m = False, right.column("word").to_pylist(), right.column("n").to_numpy()
-        i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if a and b:
-            for p, q in close_counts(letter_counts(a), letter_counts(b)):
-                if within:
-                    p, q = p[p < q], q[p < q]
-                keep = np.fromiter((one_edit(a[x], b[y]) for x, y in zip(p, q)), bool, len(p))
-                i.append(p[keep])
-                j.append(q[keep])
-        i, j = np.concatenate(i), np.concatenate(j)
-        pairs = [pa.array([a[x] for x in i] + [b[y] for y in j], pa.string()), pa.array(np.concatenate([n[i], m[j]]), pa.int64())]
-        pairs += [pa.array([b[y] for y in j] + [a[x] for x in i], pa.string()), pa.array(np.concatenate([m[j], n[i]]), pa.int64())]
-        return pa.table(pairs, names=["word", "n", "near", "near_n"])
-
-    group = ["block", "step", "sub1", "sub2"]
-    left, right = side(1), side(-1)
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, "word string, n long, near string, near_n long")
+        b, m = right.column("word").to_pylist(), right.column("n").to_numpy()
+        columns = [[], [], [], []]
+
+        def add(x: list[str], xn: np.ndarray, y: list[str], yn: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> None:
+            i, j = pairs
+            first, second = [x[k] for k in i], [y[k] for k in j]
+            for column, values in zip(columns, (first + second, [*xn[i], *yn[j]], second + first, [*yn[j], *xn[i]])):
+                column += values
+
+        if a:
+            if key[2].as_py() == 0:
+                add(a, n, a, n, near_pairs(a, None))
+            size = np.array([len(w) for w in b], np.int64)
+            for length in (len(a[0]), len(a[0]) + 1):
+                at = np.flatnonzero(size == length)
+                others = [b[k] for k in at]
+                add(a, n, others, m[at], near_pairs(a, others))
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64()) * 2)], names=["word", "n", "near", "near_n"])
+
+    group = ["cell", "sub", "part"]
+    # fresh names: both sides of the cogroup come from one table
+    guests = guests.select(*[F.col(c).alias(c) for c in guests.columns])
+    return members.groupBy(*group).cogroup(guests.groupBy(*group)).applyInArrow(meet, "word string, n long, near string, near_n long")
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -221,7 +309,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 
 def variants(
-    docs: DataFrame, least: int = 7, minimum: int = 2, every: int = 31, ratio: int = 10, block_words: int = 2048,
+    docs: DataFrame, least: int = 7, minimum: int = 2, every: int = 31, ratio: int = 10, block_words: int = 1 << 14,
     id_column: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per word: word, n, n_near, form, form_n, root."""
