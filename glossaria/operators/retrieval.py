@@ -153,10 +153,13 @@ def retrieval_ranks(vectors: DataFrame, block_rows: int | None = None) -> DataFr
     return totals.select("model", "lang1", "lang2", "sentence_id", "distance", rank.alias("rank"))
 
 
-def nearest_candidates(vectors: DataFrame, k: int = 10, block_rows: int | None = None) -> DataFrame:
-    """The ``k`` nearest sentences of every other language per query, ties by candidate id.
+def nearest_candidates(
+    vectors: DataFrame, k: int = 10, block_rows: int | None = None, asked: DataFrame | None = None
+) -> DataFrame:
+    """The ``k`` nearest sentences of every language per query, ties by candidate id.
 
     A block pair sends at most ``k`` rows per query; the best of all blocks remain.
+    ``asked`` (model, language, sentence_id) limits the queries, never the candidates.
     """
     columns = ["model", "lang1", "lang2", "sentence_id", "candidate_id", "distance"]
 
@@ -179,6 +182,9 @@ def nearest_candidates(vectors: DataFrame, k: int = 10, block_rows: int | None =
         )[columns]
 
     queries, candidates = _block_pairs(vectors, block_rows)
+    if asked is not None:
+        wanted = asked.select("model", F.col("language").alias("lang1"), "sentence_id")
+        queries = queries.join(wanted, ["model", "lang1", "sentence_id"], "left_semi").select(*candidates.columns)
     parts = (
         queries.groupBy(*BLOCK_KEY)
         .cogroup(candidates.groupBy(*BLOCK_KEY))

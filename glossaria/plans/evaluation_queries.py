@@ -12,7 +12,6 @@ from glossaria.operators.romanize import augment_romanized
 from glossaria.plans import fixtures as fx
 
 LABELS = ["de", "en", "es", "fr", "unknown"]
-LID_ITERATIONS = 100
 
 
 def language_balance(spark, sf_dir):
@@ -110,71 +109,108 @@ def _identified(model, test):
     )
 
 
-def lid_word_bigram_model(spark, sf_dir):
-    data = lid.with_word_tokens(fx.text_docs(spark, sf_dir)).select("corpus", "doc_id", "language", "tokens")
+def _word_data(spark, sf_dir):
+    return lid.with_word_tokens(fx.text_docs(spark, sf_dir)).select("corpus", "doc_id", "language", "tokens")
+
+
+def _char_data(spark, sf_dir):
+    return fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
+
+
+def _subword_data(spark, sf_dir):
+    keys = ["corpus", "doc_id", "language"]
+    pieces = sw.segmented_sentences(fx.text_docs(spark, sf_dir), fx.segmenter(spark, sf_dir), keys)
+    return pieces.select(*keys, F.flatten("pieces").alias("tokens"))
+
+
+def _embedding_data(spark, sf_dir):
+    return fx.vectors(spark, sf_dir).where(F.col("model") == "full").select(
+        F.when(F.col("sentence_id") % 2 == 0, "train").otherwise("test").alias("corpus"),
+        F.col("sentence_id").alias("doc_id"), "language", "embedding",
+    )
+
+
+def _fitted(fit, data):
     train, test = _split(data)
-    return _identified(lid.lid_word_bigram_model(train, max_iter=LID_ITERATIONS), test)
+    return fit(train), test
+
+
+def lid_word_bigram_model(spark, sf_dir):
+    return _identified(*_fitted(lid.lid_word_bigram_model, _word_data(spark, sf_dir)))
 
 
 def lid_char_bigram_model(spark, sf_dir):
-    data = fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
-    train, test = _split(data)
-    return _identified(lid.lid_char_bigram_model(train, max_iter=LID_ITERATIONS), test.drop("source"))
+    return _identified(*_fitted(lid.lid_char_bigram_model, _char_data(spark, sf_dir)))
 
 
 def lid_romanized_char_model(spark, sf_dir):
-    train, test = _split(augment_romanized(fx.cyrillic(spark, sf_dir)))
-    return _identified(lid.lid_char_bigram_model(train, max_iter=LID_ITERATIONS), test)
+    return _identified(*_fitted(lid.lid_char_bigram_model, augment_romanized(fx.cyrillic(spark, sf_dir))))
 
 
 def lid_subword_bigram_model(spark, sf_dir):
-    data = sw.segmented_sentences(
-        fx.text_docs(spark, sf_dir), fx.segmenter(spark, sf_dir), ["corpus", "doc_id", "language"]
-    ).select("corpus", "doc_id", "language", F.flatten("pieces").alias("tokens"))
-    train, test = _split(data)
-    return _identified(lid.lid_subword_bigram_model(train, max_iter=LID_ITERATIONS), test)
+    return _identified(*_fitted(lid.lid_subword_bigram_model, _subword_data(spark, sf_dir)))
 
 
 def lid_embedding_model(spark, sf_dir):
-    data = fx.vectors(spark, sf_dir).where(F.col("model") == "full").select(
-        F.when(F.col("sentence_id") % 2 == 0, "train").otherwise("test").alias("corpus"),
-        F.col("sentence_id").alias("doc_id"), "language", "embedding",
-    )
-    train, test = _split(data)
-    return _identified(lid.lid_embedding_model(train, max_iter=LID_ITERATIONS), test)
+    return _identified(*_fitted(lid.lid_embedding_model, _embedding_data(spark, sf_dir)))
 
 
 def predict_proba(spark, sf_dir):
-    data = fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
-    train, test = _split(data)
-    scored = lid.lid_char_bigram_model(train, max_iter=LID_ITERATIONS).predict(test)
+    model, test = _fitted(lid.lid_char_bigram_model, _char_data(spark, sf_dir))
+    scored = model.predict(test)
     return scored.select("doc_id", F.explode("probabilities").alias("candidate", "p")).withColumn("p", F.round("p", 3))
 
 
 def lid_features(spark, sf_dir):
     """Character bigrams of the test documents as the model counts them."""
-    data = fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
-    train, test = _split(data)
+    train, test = _split(_char_data(spark, sf_dir))
     grams = char_ngrams("text", 2)
-    return lid.feature_counts(test, grams, lid.fit_vectorizer(train, grams), ["doc_id"])
+    return lid.feature_counts(test, grams, lid.vocabulary(train, grams), ["doc_id"])
 
 
-def lid_outcomes(spark, sf_dir):
-    """Per language: rows, rows whose probabilities sum to one, and whether four in five are right.
+def _proper():
+    """Whether a row's probabilities sum to one."""
+    return F.abs(F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda s, p: s + p) - 1) < 1e-6
+
+
+def _right():
+    return F.avg((F.col("prediction") == F.col("language")).cast("int"))
+
+
+def _outcomes(model, test):
+    """Per language: rows, rows with proper probabilities, and whether four in five are right.
 
     The smallest tables have eight test rows of a language, so one error there is already 0.875.
     """
-    data = fx.text_docs(spark, sf_dir).select("corpus", "doc_id", "language", "text")
-    train, test = _split(data)
-    scored = lid.lid_char_bigram_model(train, max_iter=LID_ITERATIONS).predict(test)
-    total = F.aggregate(F.map_values("probabilities"), F.lit(0.0), lambda s, p: s + p)
-    return scored.groupBy("language").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.abs(total - 1) < 1e-6).alias("n_proper"),
-        (F.avg((F.col("prediction") == F.col("language")).cast("int")) >= 0.8).alias("accurate"),
+    return model.predict(test).groupBy("language").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(_proper()).alias("n_proper"), (_right() >= 0.8).alias("accurate")
     )
 
 
+def lid_outcomes(spark, sf_dir):
+    return _outcomes(*_fitted(lid.lid_char_bigram_model, _char_data(spark, sf_dir)))
+
+
+def lid_subword_outcomes(spark, sf_dir):
+    return _outcomes(*_fitted(lid.lid_subword_bigram_model, _subword_data(spark, sf_dir)))
+
+
+def lid_word_outcomes(spark, sf_dir):
+    """Over all languages, as short documents of rare ones share few word bigrams: better than the most frequent label."""
+    model, test = _fitted(lid.lid_word_bigram_model, _word_data(spark, sf_dir))
+    by_label = test.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
+    most = by_label.agg((F.max("n") / F.sum("n")).alias("share")).scalar()
+    return model.predict(test).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(_proper()).alias("n_proper"), _right().alias("right")
+    ).select("n_rows", "n_proper", (F.col("right") > most).alias("better"))
+
+
+def lid_embedding_outcomes(spark, sf_dir):
+    """Rows alone: the labels of the given vectors have nothing to do with their directions."""
+    model, test = _fitted(lid.lid_embedding_model, _embedding_data(spark, sf_dir))
+    return model.predict(test).groupBy("language").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(_proper()).alias("n_proper"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -183,7 +219,7 @@ QUERIES = {
         error_count, error_ratio, normalize_confusion, normalize_confusion_columns, misclassification_counts,
         expand_confusion, bleu_statistics, corpus_bleu, mean_generation_length, lid_word_bigram_model,
         lid_char_bigram_model, lid_romanized_char_model, lid_subword_bigram_model, lid_embedding_model, predict_proba,
-        lid_features, lid_outcomes,
+        lid_features, lid_outcomes, lid_word_outcomes, lid_subword_outcomes, lid_embedding_outcomes,
     )
 }
 
@@ -249,9 +285,17 @@ ORACLES = {
     "lid_features": rf"""WITH {fx.DOCS_SQL}, tk AS (SELECT corpus, doc_id,
         string_split(regexp_replace(lower(text), '\s\s+', ' ', 'g'), '') AS t FROM docs),
       counts AS (SELECT corpus, doc_id, term, count(*) AS n FROM (SELECT corpus, doc_id, unnest({_char_grams()}) AS term FROM tk) GROUP BY ALL)
-      SELECT doc_id, term, n FROM counts WHERE corpus = 'test' AND term IN (SELECT term FROM counts WHERE corpus = 'train')""",
-    "lid_outcomes": f"""WITH {fx.DOCS_SQL} SELECT language, count(*) AS n_rows, count(*) AS n_proper, true AS accurate
+      SELECT doc_id, term, n FROM (SELECT *, bool_or(corpus = 'train') OVER (PARTITION BY term) AS known FROM counts)
+      WHERE corpus = 'test' AND known""",
+    **dict.fromkeys(
+        ("lid_outcomes", "lid_subword_outcomes"),
+        f"""WITH {fx.DOCS_SQL} SELECT language, count(*) AS n_rows, count(*) AS n_proper, true AS accurate
       FROM docs WHERE corpus = 'test' GROUP BY language""",
+    ),
+    "lid_word_outcomes": f"""WITH {fx.DOCS_SQL} SELECT count(*) AS n_rows, count(*) AS n_proper, true AS better
+      FROM docs WHERE corpus = 'test'""",
+    "lid_embedding_outcomes": f"""WITH {fx.VECTORS_SQL} SELECT language, count(*) AS n_rows, count(*) AS n_proper
+      FROM vectors WHERE model = 'full' AND sentence_id % 2 = 1 GROUP BY language""",
     "language_balance": f"""WITH {fx.DOCS_SQL} SELECT corpus, language, count(*) AS n,
       round(count(*) / sum(count(*)) OVER (PARTITION BY corpus), 6) AS share FROM docs GROUP BY corpus, language""",
     "confusion_matrix": f"WITH {_SQUARE} SELECT * FROM square",

@@ -93,12 +93,15 @@ NAME_SQL = """name_table AS (
          min(doc_id) AS position FROM documents GROUP BY lang, source)"""
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as sentences: label = language; the second model is the first half."""
+def vectors(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Embeddings as sentences: label = language; the second model is the first half.
+
+    Sentences are numbered within their language, or keep the table's id.
+    """
     base = table(spark, sf_dir, "embeddings").select(
         F.col("label").cast("string").alias("language"), "vec_id", "embedding"
     )
-    placed = dense_positions(base, ["language"], "vec_id")
+    placed = dense_positions(base, ["language"], "vec_id") if numbered else base.withColumn("sentence_id", F.col("vec_id"))
     models = F.explode(
         F.array(
             F.struct(F.lit("full").alias("model"), F.col("embedding").alias("embedding")),
@@ -123,6 +126,8 @@ ranks AS (SELECT q.model, q.lang1, q.lang2, q.sentence_id, q.d AS distance,
   FROM dists q JOIN dists c USING (model, lang1, lang2, sentence_id)
   WHERE q.candidate_id = q.sentence_id GROUP BY ALL)"""
 
+VECTORS_BY_ID_SQL = VECTORS_SQL.replace("row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1", "vec_id")
+
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary predictions per language: quality against two guesses."""

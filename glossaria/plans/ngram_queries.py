@@ -175,11 +175,11 @@ _ST = f"{fx.DOCS_SQL}, {tokens_cte(S)}"
 _BIGRAMS = f"""{_WT}, flat AS (SELECT corpus, language, doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS step FROM tk),
 paired AS (SELECT corpus, token || ' ' || lead(token) OVER (PARTITION BY corpus ORDER BY language, doc_id, step) AS bigram FROM flat),
 bigrams AS (SELECT corpus, bigram, count(*) AS n FROM paired WHERE bigram IS NOT NULL GROUP BY ALL),
-overlap AS (SELECT bigram, x.n AS n_train, y.n AS n_test FROM (SELECT * FROM bigrams WHERE corpus = 'train') x
-  JOIN (SELECT * FROM bigrams WHERE corpus = 'test') y USING (bigram))"""
+overlap AS (SELECT bigram, max(n) FILTER (WHERE corpus = 'train') AS n_train, max(n) FILTER (WHERE corpus = 'test') AS n_test
+  FROM bigrams GROUP BY bigram HAVING count(*) = 2)"""
 _TOKENS = f"""{_WT}, counts AS (SELECT corpus, token, count(*) AS n FROM (SELECT corpus, unnest(t) AS token FROM tk) GROUP BY ALL),
-overlap AS (SELECT token, x.n AS n_train, y.n AS n_test FROM (SELECT * FROM counts WHERE corpus = 'train') x
-  JOIN (SELECT * FROM counts WHERE corpus = 'test') y USING (token))"""
+overlap AS (SELECT token, max(n) FILTER (WHERE corpus = 'train') AS n_train, max(n) FILTER (WHERE corpus = 'test') AS n_test
+  FROM counts GROUP BY token HAVING count(*) = 2)"""
 _UP_TO_2 = f"list_concat(t, {grams(2)})"
 _UP_TO_3 = f"list_concat(list_concat(t, {grams(2)}), {grams(3)})"
 _VOCAB = f"""{_WT}, counts AS (SELECT corpus, language, ngram, count(*) AS n
@@ -207,8 +207,8 @@ ORACLES = {
     "ngram_counts": f"""WITH {_ST} SELECT language, doc_id, ngram, count(*) AS n
       FROM (SELECT language, doc_id, unnest({_UP_TO_3}) AS ngram FROM tk) GROUP BY ALL""",
     "fit_vocabulary": f"WITH {_VOCAB} SELECT DISTINCT ngram FROM counts WHERE corpus = 'train'",
-    "apply_vocabulary": f"""WITH {_VOCAB} SELECT language, ngram, n FROM counts
-      WHERE corpus = 'test' AND ngram IN (SELECT ngram FROM counts WHERE corpus = 'train')""",
+    "apply_vocabulary": f"""WITH {_VOCAB} SELECT language, ngram, n
+      FROM (SELECT *, bool_or(corpus = 'train') OVER (PARTITION BY ngram) AS known FROM counts) WHERE corpus = 'test' AND known""",
     "token_counts": f"WITH {_WT} SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM tk) GROUP BY 1",
     "unique_tokens": f"WITH {_WT} SELECT DISTINCT corpus, token FROM (SELECT corpus, unnest(t) AS token FROM tk)",
     "bigram_counts": f"WITH {_BIGRAMS} SELECT * FROM bigrams",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossaria.operators import combine, distance, evaluate, pairs, retrieval
+from glossaria.operators import clusters, combine, common_draws, distance, evaluate, pairs, retrieval
 from glossaria.operators.ngrams import divergence_matrix
 from glossaria.plans import fixtures as fx
 from glossaria.plans.ngram_queries import _DIVERGENCE, _cells
@@ -15,6 +15,7 @@ from glossaria.sources.corpora import language_scripts
 from glossaria.sources.shared import materialize
 
 ANCHOR = "fr"
+INDEX_PROBES = 8
 
 
 def align_to_target(spark, sf_dir):
@@ -56,6 +57,20 @@ def negative_pairs(spark, sf_dir):
     return _hashed(pairs.negative_pairs(data, _pair_table(data), ANCHOR, pairs.draws_like(data, ANCHOR)))
 
 
+def _anchor_rows(data):
+    return data.where(F.col("language") == ANCHOR).count()
+
+
+def drawn_positive_pairs(spark, sf_dir):
+    data = _narrow(spark, sf_dir)
+    return _hashed(common_draws.drawn_positive_pairs(data, _pair_table(data), _anchor_rows(data)))
+
+
+def drawn_negative_pairs(spark, sf_dir):
+    data = _narrow(spark, sf_dir)
+    return _hashed(common_draws.drawn_negative_pairs(data, _pair_table(data), _anchor_rows(data)))
+
+
 def sentence_pairs_dataset(spark, sf_dir):
     base = materialize(fx.corpus(spark, sf_dir).select("corpus", "language", "sentence_id", "text"), "corpus")
     parts = []
@@ -137,6 +152,28 @@ def nearest_candidates(spark, sf_dir):
     return retrieval.nearest_candidates(fx.vectors(spark, sf_dir), 5)
 
 
+def pruned_ranks(spark, sf_dir):
+    return clusters.ranks(fx.vectors(spark, sf_dir)).drop("compared")
+
+
+def _asked(vectors):
+    return vectors.where(F.col("sentence_id") % 50 == 0).select("model", "language", "sentence_id")
+
+
+def indexed_nearest(spark, sf_dir):
+    """Every fiftieth vector against all, by inverted lists and the bounds of what they leave out."""
+    vectors = fx.vectors(spark, sf_dir, numbered=False)
+    return clusters.nearest(clusters.build(vectors), _asked(vectors), 5)
+
+
+def index_recall(spark, sf_dir):
+    """What the nearest lists alone find of the rows that comparing all vectors finds."""
+    vectors = fx.vectors(spark, sf_dir, numbered=False)
+    found = clusters.nearest(clusters.build(vectors), _asked(vectors), 5, INDEX_PROBES, exact=False)
+    truth = retrieval.nearest_candidates(vectors, 5, asked=_asked(vectors))
+    return clusters.recall(found, truth).select("model", "n_rows", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def similarity_search_summary(spark, sf_dir):
     return retrieval.similarity_search_summary(retrieval_ranks(spark, sf_dir))
 
@@ -153,10 +190,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         align_to_target, equal_length_languages, positive_pairs, positive_pairs_drawn, negative_pairs,
-        sentence_pairs_dataset, pair_same_language_label, pair_same_script_label, pair_related_label,
+        drawn_positive_pairs, drawn_negative_pairs, sentence_pairs_dataset, pair_same_language_label, pair_same_script_label, pair_related_label,
         join_metrics_before_after, name_language_pairs, classification_distance, classification_distance_exact,
         distance_matrix, mean_distance, nearest_farthest_languages, cosine_distances, retrieval_ranks, nearest_candidates,
-        similarity_search_summary, mrr_pairwise, retrieval_sweep,
+        pruned_ranks, indexed_nearest, index_recall, similarity_search_summary, mrr_pairwise, retrieval_sweep,
     )
 }
 
@@ -186,6 +223,15 @@ neg{tag} AS (SELECT {columns}, 'no' AS label FROM (SELECT draw_id, least(a, b) A
 
 _PAIRS = f"{fx.CORPUS_SQL}, {_pairs_sql("corpus WHERE corpus = 'train'", '1')}, {_pairs_sql("corpus WHERE corpus = 'test'", '2')}"
 _WHOLE_PAIRS = f"{fx.WHOLE_SQL}, {_pairs_sql('whole', '0')}"
+_DRAW_KEY = "draw_id || ':' || language1 || ':' || language2"
+_COMMON = f"""{fx.WHOLE_SQL}, common AS (
+  SELECT x.language AS language1, y.language AS language2, x.sentence_id, md5(x.text) AS t1, md5(y.text) AS t2,
+    row_number() OVER (PARTITION BY x.language, y.language ORDER BY x.sentence_id) - 1 AS rank
+  FROM whole x JOIN whole y ON x.sentence_id = y.sentence_id AND x.language <> y.language),
+draws AS (SELECT language1, language2, total, draw_id FROM (SELECT language1, language2, count(*) AS total FROM common GROUP BY ALL),
+  (SELECT unnest(range((SELECT count(*) FROM whole WHERE language = '{ANCHOR}'))) AS draw_id)),
+ranks AS (SELECT *, {draw_sql("positive", "total", _DRAW_KEY)} AS r, {draw_sql("negative.a", "total", _DRAW_KEY)} AS a,
+  {draw_sql("negative.b", "(total - 1)", _DRAW_KEY)} AS b FROM draws)"""
 _LANG_PAIRS = f"""{fx.WHOLE_SQL}, lp AS (SELECT a.sentence_id, a.language AS language1, b.language AS language2
   FROM whole a JOIN whole b USING (sentence_id))"""
 _ERRORS = f"""{fx.PREDICTIONS_SQL}, errors AS (SELECT phase, language_pair, count(*) FILTER (WHERE label <> prediction) AS errors
@@ -199,6 +245,14 @@ ORACLES = {
       SELECT * FROM s WHERE n_rows = (SELECT n_rows FROM s WHERE language = 'train_src0') AND language <> 'train_src0'""",
     "positive_pairs": f"WITH {_WHOLE_PAIRS} SELECT * FROM pos0",
     "positive_pairs_drawn": f"WITH {_WHOLE_PAIRS} SELECT * FROM drawn0",
+    "drawn_positive_pairs": f"""WITH {_COMMON} SELECT draw_id, language1, language2, sentence_id AS index1, sentence_id AS index2,
+        t1 AS sentence1, t2 AS sentence2, 'yes' AS label
+      FROM ranks JOIN common c USING (language1, language2) WHERE c.rank = r""",
+    "drawn_negative_pairs": f"""WITH {_COMMON}, chosen AS (
+        SELECT draw_id, language1, language2, least(a, b + CASE WHEN b >= a THEN 1 ELSE 0 END) AS low,
+          greatest(a, b + CASE WHEN b >= a THEN 1 ELSE 0 END) AS high FROM ranks)
+      SELECT draw_id, language1, language2, x.sentence_id AS index1, y.sentence_id AS index2, x.t1 AS sentence1, y.t2 AS sentence2, 'no' AS label
+      FROM chosen JOIN common x USING (language1, language2) JOIN common y USING (language1, language2) WHERE x.rank = low AND y.rank = high""",
     "negative_pairs": f"WITH {_WHOLE_PAIRS} SELECT * FROM neg0",
     "sentence_pairs_dataset": f"""WITH {_PAIRS} SELECT *, 'train' AS split FROM pos1 UNION ALL SELECT *, 'train' FROM neg1
       UNION ALL SELECT *, 'test' FROM pos2 UNION ALL SELECT *, 'test' FROM neg2""",
@@ -233,6 +287,14 @@ ORACLES = {
     "nearest_candidates": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, sentence_id, candidate_id, d AS distance,
       row_number() OVER (PARTITION BY model, lang1, lang2, sentence_id ORDER BY d, candidate_id) AS position FROM dists
       QUALIFY position <= 5""",
+    "pruned_ranks": f"WITH {fx.VECTORS_SQL} SELECT * FROM ranks",
+    "indexed_nearest": f"""WITH {fx.VECTORS_BY_ID_SQL} SELECT model, lang1, lang2, sentence_id, candidate_id, d AS distance,
+      row_number() OVER (PARTITION BY model, lang1, lang2, sentence_id ORDER BY d, candidate_id) AS position FROM dists
+      WHERE sentence_id % 50 = 0 QUALIFY position <= 5""",
+    "index_recall": f"""WITH {fx.VECTORS_BY_ID_SQL}, best AS (SELECT model, row_number() OVER (
+        PARTITION BY model, lang1, lang2, sentence_id ORDER BY d, candidate_id) AS position FROM dists
+      WHERE sentence_id % 50 = 0 QUALIFY position <= 5)
+      SELECT model, count(*) AS n_rows, true AS enough FROM best GROUP BY model""",
     "similarity_search_summary": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, count(*) AS n_queries, round(avg(rank), 6) AS avg_rank,
       round(stddev_samp(rank), 6) AS std_rank, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ALL""",
     "mrr_pairwise": f"""WITH {fx.VECTORS_SQL} SELECT model, lang1, lang2, round(avg(1 / rank), 6) AS mrr FROM ranks GROUP BY ALL""",

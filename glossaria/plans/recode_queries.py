@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from glossaria.functions.text import clean_word as clean
 from glossaria.functions.text import space_tokens, word_tokens
-from glossaria.operators import combine, ids, pairs, recode
+from glossaria.operators import batches, combine, ids, pairs, recode
 from glossaria.operators.ngrams import count_terms
 from glossaria.plans import fixtures as fx
 from glossaria.plans.source_queries import _SCRIPTS_SQL
@@ -167,6 +167,33 @@ def language_pairs_grid(spark, sf_dir):
     return combine.language_pairs_grid(_variety_table(spark, sf_dir))
 
 
+def _measured(columns):
+    """A user function as the batches call it: lists in, lists out."""
+    words = [[w for w in text.split(" ") if w] for text in columns["text"]]
+    return {"n_words": [len(w) for w in words], "longest": [max(map(len, w), default=0) for w in words]}
+
+
+def mapped_batches(spark, sf_dir):
+    data = fx.docs(spark, sf_dir).select("doc_id", "language", "text")
+    return batches.map_batches(data, _measured, "n_words long, longest long", 256, ["text"]).drop("text")
+
+
+def _lines(columns):
+    rows = [(k, i, len(x)) for k, text in zip(columns["doc_id"], columns["text"]) for i, x in enumerate(text.split("\n"))]
+    return dict(zip(("doc_id", "line", "n_chars"), map(list, zip(*rows))))
+
+
+def batched_lines(spark, sf_dir):
+    data = fx.docs(spark, sf_dir).select("doc_id", "text")
+    return batches.map_batches(data, _lines, "doc_id long, line long, n_chars long", 100, keep=False)
+
+
+def filtered_batches(spark, sf_dir):
+    data = fx.docs(spark, sf_dir).select("doc_id", "language", "text")
+    more = lambda columns: [t.count("e") > t.count("n") for t in columns["text"]]
+    return batches.filter_batches(data, more, 256, ["text"]).drop("text")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -175,7 +202,7 @@ QUERIES = {
         argmax_prediction, add_sentence_id, add_global_sentence_id, random_rows, random_row_per_language,
         apply_pipeline, concat_datasets, common_languages, missing_languages, language_coverage,
         restrict_to_common, select_train_test, split_by_label, language_pairs_ordered, language_pairs_from_one,
-        language_pairs_unordered, language_pairs_grid,
+        language_pairs_unordered, language_pairs_grid, mapped_batches, batched_lines, filtered_batches,
     )
 }
 
@@ -191,6 +218,13 @@ TOKENS_SQL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 
 ORACLES = {
     "filter_language": "SELECT doc_id, lang AS language, n_chars FROM documents WHERE lang = 'fr'",
+    "mapped_batches": """SELECT doc_id, lang AS language, len(w) AS n_words, coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS longest
+      FROM (SELECT doc_id, lang, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents)""",
+    "batched_lines": """SELECT doc_id, i - 1 AS line, length(lines[i]) AS n_chars
+      FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""",
+    "filtered_batches": """SELECT doc_id, lang AS language FROM documents
+      WHERE length(replace(text, 'e', '')) < length(replace(text, 'n', ''))""",
     "sql_filter": f"WITH {fx.DOCS_SQL} SELECT doc_id, language, corpus FROM docs WHERE language = 'de'",
     "rename_if_missing": "SELECT doc_id, lang AS language, source, n_chars FROM documents",
     "add_column": f"SELECT doc_id, len({TOKENS_SQL}) AS n_words FROM documents",

@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 from conftest import SF
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-SLOW = {"lid_word_bigram_model", "lid_romanized_char_model", "lid_subword_bigram_model"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def test_query_equals_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
