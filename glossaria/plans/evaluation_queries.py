@@ -191,13 +191,11 @@ def lid_outcomes(spark, sf_dir):
     return _outcomes(*_fitted(lid.lid_char_bigram_model, _char_data(spark, sf_dir)))
 
 
-def lid_subword_outcomes(spark, sf_dir):
-    return _outcomes(*_fitted(lid.lid_subword_bigram_model, _subword_data(spark, sf_dir)))
-
+def _overall(model, test):
+    """Over all languages: rows, rows with proper probabilities, and whether the model beats the most frequent label.
 
-def lid_word_outcomes(spark, sf_dir):
-    """Over all languages, as short documents of rare ones share few word bigrams: better than the most frequent label."""
-    model, test = _fitted(lid.lid_word_bigram_model, _word_data(spark, sf_dir))
+    Short documents of rare languages share few word or subword bigrams in the smallest tables.
+    """
     by_label = test.groupBy("language").agg(F.count(F.lit(1)).alias("n"))
     most = by_label.agg((F.max("n") / F.sum("n")).alias("share")).scalar()
     return model.predict(test).agg(
@@ -205,6 +203,14 @@ def lid_word_outcomes(spark, sf_dir):
     ).select("n_rows", "n_proper", (F.col("right") > most).alias("better"))
 
 
+def lid_subword_outcomes(spark, sf_dir):
+    return _overall(*_fitted(lid.lid_subword_bigram_model, _subword_data(spark, sf_dir)))
+
+
+def lid_word_outcomes(spark, sf_dir):
+    return _overall(*_fitted(lid.lid_word_bigram_model, _word_data(spark, sf_dir)))
+
+
 def lid_embedding_outcomes(spark, sf_dir):
     """Rows alone: the labels of the given vectors have nothing to do with their directions."""
     model, test = _fitted(lid.lid_embedding_model, _embedding_data(spark, sf_dir))
@@ -287,13 +293,12 @@ ORACLES = {
       counts AS (SELECT corpus, doc_id, term, count(*) AS n FROM (SELECT corpus, doc_id, unnest({_char_grams()}) AS term FROM tk) GROUP BY ALL)
       SELECT doc_id, term, n FROM (SELECT *, bool_or(corpus = 'train') OVER (PARTITION BY term) AS known FROM counts)
       WHERE corpus = 'test' AND known""",
-    **dict.fromkeys(
-        ("lid_outcomes", "lid_subword_outcomes"),
-        f"""WITH {fx.DOCS_SQL} SELECT language, count(*) AS n_rows, count(*) AS n_proper, true AS accurate
+    "lid_outcomes": f"""WITH {fx.DOCS_SQL} SELECT language, count(*) AS n_rows, count(*) AS n_proper, true AS accurate
       FROM docs WHERE corpus = 'test' GROUP BY language""",
+    **dict.fromkeys(
+        ("lid_word_outcomes", "lid_subword_outcomes"),
+        f"WITH {fx.DOCS_SQL} SELECT count(*) AS n_rows, count(*) AS n_proper, true AS better FROM docs WHERE corpus = 'test'",
     ),
-    "lid_word_outcomes": f"""WITH {fx.DOCS_SQL} SELECT count(*) AS n_rows, count(*) AS n_proper, true AS better
-      FROM docs WHERE corpus = 'test'""",
     "lid_embedding_outcomes": f"""WITH {fx.VECTORS_SQL} SELECT language, count(*) AS n_rows, count(*) AS n_proper
       FROM vectors WHERE model = 'full' AND sentence_id % 2 = 1 GROUP BY language""",
     "language_balance": f"""WITH {fx.DOCS_SQL} SELECT corpus, language, count(*) AS n,
