@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 from glossaria.llm.common import map_texts
 
 # HTML element names by their role, and words used in class, id and role attributes.
-UNSEEN = "script style noscript template svg math iframe object video audio canvas title"
+RAW = "script style iframe title"
+UNSEEN = "noscript template svg math object video audio canvas"
 BLOCK = (
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li link main menu meta nav ol "
@@ -42,11 +44,12 @@ CONTAINERS = (
     "article aside body button dialog div fieldset footer form header label main menu nav ol option search section select "
     "table td textarea ul"
 )
-FURNITURE = "aside button dialog fieldset footer form label menu nav option search select textarea"
+FURNITURE = "aside button footer label menu nav option search select textarea"
+WRAPPING_FURNITURE = "dialog fieldset form"  # also put around whole pages
 ARTICLE_WORDS = "article articlebody content entry maincontent main post story"
 FURNITURE_WORDS = (
     "ad ads advert advertisement alert author banner bio breadcrumb breadcrumbs byline captcha consent contentinfo cookie "
-    "cookies copyright cta dialog disclaimer footer form gdpr header legal links login menu menubar meta modal nav navbar "
+    "cookies copyright cta dialog disclaimer footer form gdpr legal links login menu menubar meta modal nav navbar "
     "navigation newsletter notice notification outbrain overlay pager pagination popup privacy promo promoted promotion "
     "recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola "
     "tag tags teaser toc toolbar topbar widget"
@@ -54,19 +57,18 @@ FURNITURE_WORDS = (
 COMMENT_WORDS = "comment commentlist comments disqus replies respond"
 # Words of comments that pages about other things have as well: no zone of comments, but furniture to the tree.
 WEAK_COMMENT_WORDS = "discussion feedback reply reviews"
+# Class names with these words tell about a page ("comments-open", "has-sidebar"), they do not name a part of it.
+STATE_WORDS = "closed has is no off on open with without"
+PAGE_WORDS = "page site"  # beside words of comments: a page that has comments
 
-UNSEEN_SET, BLOCK_SET, CONTAINER_SET = set(UNSEEN.split()), set(BLOCK.split()), set(CONTAINERS.split())
-FURNITURE_SET, ARTICLE_SET = set(FURNITURE.split()), set(ARTICLE_WORDS.split())
+RAW_SET, UNSEEN_SET, BLOCK_SET, CONTAINER_SET = (set(x.split()) for x in (RAW, UNSEEN, BLOCK, CONTAINERS))
+FURNITURE_SET, WRAPPING_SET, ARTICLE_SET = (set(x.split()) for x in (FURNITURE, WRAPPING_FURNITURE, ARTICLE_WORDS))
 FURNITURE_WORD_SET, COMMENT_SET = set(f"{FURNITURE_WORDS} {WEAK_COMMENT_WORDS}".split()), set(COMMENT_WORDS.split())
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?:svg|math)(?=[\s/>])(?:[^<>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"
-    rf"|<(?P<raw>{UNSEEN.replace(' ', '|')})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?[a-zA-Z][^<>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
-)
-NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+STATE_SET, PAGE_SET = set(STATE_WORDS.split()), set(PAGE_WORDS.split())
+NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+TAG_STOP = re.compile(r"[<>\"']")
+RAW_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.IGNORECASE) for n in RAW_SET | UNSEEN_SET}
+NAMED = re.compile(r"(?<![\w-])(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 FEATURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading", "item",
@@ -121,81 +123,200 @@ LABELLED = (
     "</p><div class=newsletter-signup><p>-do you like this then read our letter every morning</p></div><p>+the third part of "
     "the text follows after the box and goes on for a while</p><div class=share-links><a href=/s>-share this</a></div>"
     "</article><div class=related><h4>-read also</h4><p>-how a small town saved its old library from the rain</p></div>",
+    "<div class=page-wrap><div class=site-header><p>-news of the coast</p></div><div class='col has-sidebar'><div class=entry-content>"
+    "<h1>+salt</h1><p>+salt was carried over the hills on mules until the railway came through the pass and put an end to it</p>"
+    "<ol><li>+mules</li><li>+carts</li></ol><p>+no trace is left</p></div><aside class=sidebar><div class=widget-content><p>-join the "
+    "walk of our readers on the first sunday of the month and bring good shoes and some bread</p></div><div class=widget><p>-map"
+    "</p></div></aside></div><footer><div class=footer-content><p>-printed in the old customs house by the harbour since the year "
+    "of the great storm</p></div></footer></div>",
+    "<form id=all><div class=main-menu><ul><li><a href=/1>-start</a></li><li><a href=/2>-all letters</a></li></ul></div><div><h1>+the "
+    "clock</h1><p>+the clock of the tower has stood still since the winter when the keeper left and nobody learned how to wind it"
+    "</p><p>+it shows ten past four</p><p>+children say that it waits</p></div><div class='modal-content notice'><p>-you have read "
+    "three of five free pieces this month so please think about a subscription</p></div></form>",
+    "<article class='post comments-open'><header class=entry-header><h1>+a house by the sea</h1></header><div class=post-content><p>+"
+    "the house stood empty for years before two sisters bought it and mended the roof</p><table><tr><td>+roof</td><td>+two months"
+    "</td></tr></table><figure><figcaption>+the house in spring</figcaption></figure></div><div class=sponsored-content><p>-a new "
+    "paint keeps salt and wind from your walls for twenty years or you get your money back</p></div><footer class=post-meta><p>-by "
+    "our own writer</p></footer></article><section id=comments><h2>-what readers say</h2><ol class=commentlist><li><div "
+    "class=comment-content><p>-we lived next door and saw them carry every tile up by hand that summer</p></div></li></ol></section>",
 )
 
 
-def zone_of(name: str, attributes: str) -> int:
-    """3 reader comments, 2 furniture, 1 article, 0 neither; ``body``, ``main`` and ``article`` are never comments."""
-    words = {w.lower() for m in NAMED.finditer(attributes) for w in WORD.findall(m[1] or m[2] or m[3] or "")} if attributes else set()
-    if words & COMMENT_SET and name not in ("body", "main", "article"):
-        return 3
+# Kinds of containers. A wrapping one is furniture unless most of the page is in it.
+PLAIN, ARTICLE_TAG, ARTICLE_NAME, HEADER, FURNITURE_TAG, WRAPPING, COMMENTS = range(7)
+
+
+def kind_of(name: str, attributes: str) -> int:
+    """What a container is by its element name, else by the names in its attributes.
+
+    In one name, words of furniture outweigh those of articles (``sponsored-content``);
+    ``body``, ``main`` and ``article`` are never comments.
+    """
+    comments = furniture = article = header = False
+    for m in NAMED.finditer(attributes) if attributes else ():
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = {w.lower() for w in WORD.findall(token)}
+            if words & STATE_SET:
+                article = article or bool(words & ARTICLE_SET)
+            elif words & COMMENT_SET:
+                comments = comments or not words & PAGE_SET
+            elif words & FURNITURE_WORD_SET:
+                furniture = True
+            elif words & ARTICLE_SET:
+                article = True
+            header = header or "header" in words
+    if comments and name not in ("body", "main", "article"):
+        return COMMENTS
     if name in FURNITURE_SET:
-        return 2
+        return FURNITURE_TAG
     if name in ("article", "main"):
-        return 1
-    if words & ARTICLE_SET:
-        return 1
-    if name != "body" and words & FURNITURE_WORD_SET:
-        return 2
-    return 2 if name == "header" else 0
-
-
-def place(stack: list[tuple[str, int]]) -> tuple[int, int]:
-    """Whether the innermost zone is an article, and whether it is furniture."""
-    article = False
-    for name, zone in stack:
-        if zone == 3:
-            return 0, 1
-        article = article or zone == 1
-    for name, zone in reversed(stack):
-        if zone == 1:
-            return 1, 0
-        if zone == 2 and not (article and name == "header"):
-            return 0, 1
-    return int(article), 0
+        return ARTICLE_TAG
+    if name in WRAPPING_SET or (furniture and name != "body"):
+        return WRAPPING
+    if article:
+        return ARTICLE_NAME
+    return HEADER if header or name == "header" else PLAIN
+
+
+def markup(page: str):
+    """Yield (text before, element name, whether it ends, attributes) for each tag; the name is empty for other markup.
+
+    One pass: every step goes on behind what it has read. A tag that another one
+    or the end of the page breaks off is no text and no element.
+    """
+    at, n, lost = 0, len(page), set()
+    while at < n:
+        start = page.find("<", at)
+        # a "<" that begins no markup is text
+        while start >= 0 and not (page[start + 1 : start + 2].isalpha() and page[start + 1] < "\x80" or page[start + 1 : start + 2] in ("/", "!", "?")):
+            start = page.find("<", start + 1)
+        if start < 0:
+            break
+        text = page[at:start]
+        if page[start + 1] in "!?" or (page[start + 1] == "/" and not NAME.match(page, start + 2)):
+            close = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(close, start + (4 if close == "-->" else 2))
+            at = n if end < 0 else end + len(close)
+            yield text, "", False, ""
+            continue
+        ends = page[start + 1] == "/"
+        found = NAME.match(page, start + 1 + ends)
+        name, end = found[0].lower(), found.end()
+        while True:
+            stop = TAG_STOP.search(page, end)
+            if stop is None or stop[0] in "<>":
+                break
+            end, mark, before = stop.end(), stop[0], stop.start() - 1
+            while page[before].isspace():
+                before -= 1
+            if page[before] == "=" and mark not in lost:  # a quote opens a value there alone, if it is closed again
+                close = page.find(mark, end)
+                if close < 0:
+                    lost.add(mark)
+                else:
+                    end = close + 1
+        at = n if stop is None else stop.start() + (stop[0] == ">")
+        if stop is None or stop[0] == "<":
+            yield text, "", False, ""
+            continue
+        attributes = page[found.end() : stop.start()]
+        if not ends and (name in RAW_SET or (name in UNSEEN_SET and not attributes.endswith("/"))) and name not in lost:
+            close = RAW_END[name].search(page, at)
+            if close:
+                at = close.end()
+            elif name in RAW_SET:
+                at = n
+            else:
+                lost.add(name)
+            yield text, "", False, ""
+            continue
+        yield text, name, ends, attributes
+    yield page[at:] if at < n else "", "", False, ""
+
+
+class Container:
+    __slots__ = ("name", "kind", "parent", "words", "articles", "titles", "state")
+
+    def __init__(self, name: str, kind: int, parent: Container | None):
+        self.name, self.kind, self.parent = name, kind, parent
+        self.words = self.articles = self.titles = self.state = 0
+
+
+NEITHER, ARTICLE, PAGE_FURNITURE, READER_COMMENTS, HEAD = range(5)
+
+
+def settle(containers: list[Container]) -> None:
+    """State of every container: inside an article, furniture or comments. Parents come first in the list."""
+    for c in containers:
+        c.articles += c.kind in (ARTICLE_TAG, ARTICLE_NAME)
+    for c in reversed(containers):
+        if c.parent:
+            c.parent.words += c.words
+            c.parent.articles += c.articles
+            c.parent.titles += c.titles
+    root = containers[0]
+    for c in containers[1:]:
+        above, most = c.parent.state, 2 * c.words > root.words
+        # around most words and all articles: a wrapper of the page, whatever its name
+        wraps = most and c.articles == root.articles
+        if above == READER_COMMENTS or (c.kind == COMMENTS and not c.titles):
+            c.state = READER_COMMENTS
+        elif c.name == "main" or (most and c.kind in (ARTICLE_TAG, ARTICLE_NAME)):
+            c.state = ARTICLE
+        elif above == PAGE_FURNITURE or c.kind == FURNITURE_TAG or (c.kind == WRAPPING and not wraps):
+            c.state = PAGE_FURNITURE
+        elif c.kind in (ARTICLE_TAG, ARTICLE_NAME):
+            c.state = ARTICLE
+        elif c.kind == HEADER and above == NEITHER:
+            c.state = HEAD
+        else:
+            c.state = above
 
 
 def blocks(page: str) -> list[tuple[str, int, tuple[int, int], str]]:
-    """Text, words inside links, place and element of each flat block."""
-    out, parts, linked, stack = [], [], [], []
-    in_link, element, at, where = False, "", 0, (0, 0)
-
-    def add(text: str) -> None:
-        if text:
-            parts.append(text)
-            if in_link:
-                linked.append(text)
+    """Text, words inside links, place (article, furniture) and element of each flat block."""
+    out, parts, linked = [], [], []
+    here = Container("", PLAIN, None)
+    containers, opened = [here], Counter()
+    in_link, element = False, ""
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, len(html.unescape(" ".join(linked)).split()), where, element))
+                out.append((text, len(html.unescape(" ".join(linked)).split()), here, element))
+                here.words += text.count(" ") + 1
             parts.clear()
             linked.clear()
 
-    for m in MARKUP.finditer(page):
-        add(page[at : m.start()])
-        at, name = m.end(), m["name"]
-        if not name:
-            continue
-        name = name.lower()
+    for text, name, ends, attributes in markup(page):
+        if text:
+            parts.append(text)
+            if in_link:
+                linked.append(text)
         if name == "a":
-            in_link = not m["end"]
+            in_link = not ends
         elif name in BLOCK_SET:
             close()
             in_link = False
             if name in CONTAINER_SET:
-                if not m["end"]:
-                    stack.append((name, zone_of(name, m["attributes"])))
-                elif any(name == x for x, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
-                where = place(stack)
-            element = "" if m["end"] else name
-    add(page[at:])
+                if not ends:
+                    here = Container(name, kind_of(name, attributes), here)
+                    containers.append(here)
+                    opened[name] += 1
+                elif opened[name]:
+                    while True:
+                        closed, here = here, here.parent
+                        opened[closed.name] -= 1
+                        if closed.name == name:
+                            break
+            elif name == "h1" and not ends:
+                here.titles += 1
+            element = "" if ends else name
     close()
-    return out
+    settle(containers)
+    place = {NEITHER: (0, 0), ARTICLE: (1, 0)}
+    return [(text, n, place.get(c.state, (0, 1)), tag) for text, n, c, tag in out]
 
 
 def measure(found: list[tuple[str, int, tuple[int, int], str]]) -> np.ndarray:
