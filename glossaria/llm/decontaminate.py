@@ -1,29 +1,28 @@
 """Benchmark items inside documents, by SimHash windows and multi-index Hamming blocks.
 
-Texts are sequences of lower-case words. For every item, windows of the item's
-number of words (the whole document if that is shorter) are compared with it:
-
-1. A window gets a 64-bit SimHash of its words, each weighted by its count.
-2. Fingerprints of items are kept in ``RADIUS + 1`` tables, one per block of
-   bits. Two fingerprints that differ in at most ``RADIUS`` bits agree in one
-   block at least, so the tables give all items within the radius.
-3. Items that share a shingle with a window at its own place are candidates at
-   any distance, unless the whole document holds too few shingles of the item
-   to reach ``similarity``: words changed at an item's edge cost one shingle
-   each, so a window may be similar and yet be farther than ``RADIUS`` bits.
-4. Candidates are verified exactly: the weighted Jaccard similarity of the
-   five-word shingles of window and item (weights are counts) must reach
-   ``similarity``. Items of fewer than five words have one shingle of all words
-   and are compared with windows of that many words.
-
-A window without a shingle of some item is similar to none, so only windows at
-places where an item's shingle occurs, aligned with it, get a fingerprint. The
-best window per document and item is returned.
-
-Documents are never shuffled. Items are read in slices of ``SLICE_ITEMS`` rows
-and documents pass through one index per slice. The benchmark passes through
-the driver, and driver, plan and tasks hold all of it: it must fit there. No
-bound on its size is enforced.
+Texts are sequences of lower-case words. An item is found where a window of its
+number of words (the whole document, if that is shorter) has a weighted Jaccard
+similarity of five-word shingles of at least ``similarity`` with it (weights are
+counts; a text of fewer than five words has one shingle of all its words).
+
+1. Windows. A similar window may differ from the item at its edges, and in as many
+   places inside as the lost shingles allow. What lies between the edges is cut into
+   one more part than there may be such places, so one part at least is whole in
+   every similar window (``parts_of``). Windows as long as the parts, of which there
+   are few lengths, get a 64-bit SimHash at every word of every document: each word
+   counts as often as it occurs.
+2. Blocks. A fingerprint has ``BLOCKS`` blocks of bits. The index lists for each block
+   all values that differ from a part's in at most ``FLIPS`` bits, so two fingerprints
+   that differ in at most ``RADIUS`` bits meet in one block at least. Index and windows
+   are tables, joined by (length, block, value). So that not every window of the corpus
+   is sent to that join, tasks hold a screen of the index: bit arrays of bounded size
+   (``SCREEN_BITS``, whatever the benchmark's size) that drop most windows of which no
+   block is listed, and none that is.
+3. Check. For pairs within the radius, all windows of the item's length around the
+   part are compared exactly, and the best one per document and item is returned.
+
+Neither documents nor benchmark pass through the driver; it sees the lengths of
+windows and the screen. Items with the same words are one in the index.
 
 Null and empty texts match nothing, nor do items without words. Items with the
 same words match alike and are all returned. Repeated rows are searched one by
@@ -33,8 +32,9 @@ one. Other columns pass through; a column named ``leaks`` is replaced.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from itertools import islice
+from collections import Counter
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,122 +42,253 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossaria.llm.common import WordHashes, hash_words, map_texts, mix, shingle_hashes
+from glossaria.llm.common import WordHashes, hash_words, mix, shingle_hashes, slices
+from glossaria.sources.shared import materialize
 
 WORD = re.compile(r"[^\W_]+")
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 12
-SLICE_ITEMS = 20_000
-SCREEN_BITS = 22
-EDGES = np.linspace(0, 64, RADIUS + 2).astype(int)
-
-
-def fingerprints(windows: np.ndarray) -> np.ndarray:
-    """SimHash of each row of word hashes; a repeated word counts each time."""
-    out = np.zeros(len(windows), np.uint64)
-    mixed = mix(windows)
-    for bit in range(64):
-        ones = ((mixed >> np.uint64(bit)) & np.uint64(1)).sum(axis=1)
-        out |= (2 * ones > windows.shape[1]).astype(np.uint64) << np.uint64(bit)
-    return out
-
-
-def block_values(fingerprint: int) -> list[tuple[int, int]]:
-    """(block, value of its bits) of a fingerprint."""
-    return [(b, (fingerprint >> int(lo)) & ((1 << int(hi - lo)) - 1)) for b, (lo, hi) in enumerate(zip(EDGES, EDGES[1:]))]
-
-
-def similarity_of(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard similarity of two counts."""
-    both = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
-
-
-class Index:
-    """Tables of one slice of the benchmark."""
-
-    def __init__(self, items: list[tuple[object, str]]):
-        words, counts = hash_words([t for _, t in items], WORD, WordHashes())
-        self.ids, self.sizes = [i for i, _ in items], counts
-        first = np.cumsum(counts) - counts
-        self.places, self.shingles = defaultdict(list), [Counter() for _ in items]
-        self.tables = defaultdict(list)
-        self.prints = np.zeros(len(items), np.uint64)
-        hashes, item, start = shingle_hashes(words, counts, SHINGLE)
-        for h, i, s in zip(hashes.tolist(), item.tolist(), start.tolist()):
-            self.places[h].append((i, s - int(first[i])))
-            self.shingles[i][h] += 1
-        for i, n in enumerate(counts):
-            if n:
-                self.prints[i] = fingerprints(words[first[i] : first[i] + n][None, :])[0]
-                for block, value in block_values(int(self.prints[i])):
-                    self.tables[int(n), block, value].append(i)
-        self.screen = np.zeros(1 << SCREEN_BITS, bool)
-        self.screen[(hashes >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)] = True
-        self.short = sorted({int(n) for n in counts if 0 < n < SHINGLE})
-
-    def anchors(self, words: np.ndarray, counts: np.ndarray, threshold: float) -> dict[tuple[int, int, int], set[int]]:
-        """(text, first word, size) of the windows aligned with a shingle of an item -> these items.
-
-        The hits of an item in a text bound the shingles that any window there shares with it from above."""
-        first, hits = np.cumsum(counts) - counts, defaultdict(list)
-        for size in (SHINGLE, *self.short):
-            hashes, doc, start = shingle_hashes(words, counts, size)
-            near = np.flatnonzero(self.screen[(hashes >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)])
-            for k in near.tolist():
-                for item, place in self.places.get(int(hashes[k]), ()):
-                    d, n = int(doc[k]), int(self.sizes[item])
-                    hits[d, item].append(min(max(int(start[k] - first[d]) - place, 0), max(0, int(counts[d]) - n)))
-        found = defaultdict(set)
-        for (d, item), places in hits.items():
-            n = int(self.sizes[item])
-            total = max(1, n - SHINGLE + 1) + max(1, min(n, int(counts[d])) - SHINGLE + 1)
-            if len(places) * (1 + threshold) >= threshold * total - 1e-6:
-                for at in places:
-                    found[d, at, n].add(item)
-        return found
-
-    def search(self, texts: list[str], known: WordHashes, threshold: float) -> list[list[tuple]]:
-        """Per text: item number, similarity, first word, number of words."""
-        words, counts = hash_words(texts, WORD, known)
-        first, best = np.cumsum(counts) - counts, [{} for _ in texts]
-        by_size = defaultdict(list)
-        anchored = self.anchors(words, counts, threshold)
-        for d, at, n in sorted(anchored):
-            by_size[n, min(n, int(counts[d]))].append((d, at))
-        for (n, span), places in by_size.items():
-            for some in (places[i : i + 4096] for i in range(0, len(places), 4096)):
-                rows = np.array([first[d] + at for d, at in some])[:, None] + np.arange(span)
-                prints = fingerprints(words[rows])
-                for (d, at), print_, row in zip(some, prints.tolist(), rows):
-                    near = {i for b, v in block_values(print_) for i in self.tables.get((n, b, v), ())}
-                    near = {i for i in near if (print_ ^ int(self.prints[i])).bit_count() <= RADIUS} | anchored[d, at, n]
-                    if near:
-                        own = Counter(shingle_hashes(words[row], np.array([span]), SHINGLE)[0].tolist())
-                        for i in sorted(near):
-                            s = similarity_of(own, self.shingles[i])
-                            if s >= threshold and (s, -at) > best[d].get(i, (0.0, 0))[:2]:
-                                best[d][i] = s, -at, span
-        return [[(i, s, -at, span) for i, (s, at, span) in sorted(b.items())] for b in best]
-
-
-def searcher(items: list[tuple[object, str]], kind: pa.DataType, threshold: float):
-    """Function from texts to their leaks."""
-    index, known = Index(items), WordHashes()
-    entry = pa.struct([("item_id", kind), ("similarity", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
-
-    def leaks(texts: list[str]):
-        out = []
-        for text, found in zip(texts, index.search(texts, known, threshold)):
-            spans = [m.span() for m in WORD.finditer(text)] if found else []
-            out.append(
-                [
-                    {"item_id": index.ids[i], "similarity": s, "start": spans[at][0], "end": spans[at + n - 1][1]}
-                    for i, s, at, n in found
-                ]
-            )
-        return (pa.array(out, pa.list_(entry)),)
-
-    return leaks
+SHINGLE, SIMILARITY = 5, 0.8
+BLOCKS, FLIPS = 2, 2
+BLOCK_BITS = 64 // BLOCKS
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+SCREENS, SCREEN_BITS, SCREEN_SHARE = 3, 26, 64  # bit arrays of at most 2**26 bits, one in 64 set if that is enough
+BITMAP = 1 << 15  # bits of one row of a screen
+CHUNK = 1 << 15  # words whose windows are computed at a time
+MASK = np.uint64((1 << BLOCK_BITS) - 1)
+FACTORS = mix(np.arange(1, SCREENS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def length_below(n: int) -> int:
+    """The longest window length up to ``n``: all small numbers, then steps of about a sixth."""
+    length = 8
+    while length <= n:
+        best, length = length, length + max(1, round(length / 6))
+    return n if n < 8 else best
+
+
+def parts_of(n: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """(first word, length) of the parts of an item of ``n`` words, one of which each similar window holds whole.
+
+    A window that lost ``k`` words at an edge, or a document that ends there, has
+    lost as many shingles, so ``k <= (1 - similarity) * shingles``. A change inside
+    costs four shingles at least, and as many new ones that count against it.
+    """
+    if n < SHINGLE:
+        return [(0, n)] if n else []
+    shingles = n - SHINGLE + 1
+    edge = int((1 - similarity) * shingles + 1e-9)
+    core = n - 2 * edge
+    places = int(shingles * (1 - similarity) / ((SHINGLE - 1) * (1 + similarity)) + 1e-9)
+    own = core // min(places + 1, core)
+    length = length_below(own)
+    return [(edge + at * own + (own - length) // 2, length) for at in range(min(places + 1, core))]
+
+
+def window_fingerprints(words: np.ndarray, length: int, sums: np.ndarray | None = None) -> np.ndarray:
+    """SimHash of every window of ``length`` words; a bit is set if more than half of the words have it."""
+    sums = bit_sums(words) if sums is None else sums
+    ones = (sums[length:] - sums[:-length]) > np.uint16(length // 2)
+    return np.packbits(ones, axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def bit_sums(words: np.ndarray) -> np.ndarray:
+    """Running sums of the bits of the words' hashes, modulo 2**16: windows are far shorter."""
+    bits = np.unpackbits(mix(words).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.zeros((len(words) + 1, 64), np.uint16)
+    np.cumsum(bits, axis=0, dtype=np.uint16, out=sums[1:])
+    return sums
+
+
+def block_values(prints: np.ndarray) -> list[np.ndarray]:
+    """The value of each block of the fingerprints."""
+    return [(prints >> np.uint64(b * BLOCK_BITS)) & MASK for b in range(BLOCKS)]
+
+
+FLIPPED = np.array(
+    [sum(1 << bit for bit in bits) for n in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), n)], np.uint64
+)
+
+
+def screen_places(length: int, block: int, values: np.ndarray, bits: int, screen: int) -> np.ndarray:
+    """The place of each value in a screen."""
+    salt = np.uint64(((length * BLOCKS + block) * SCREENS + screen + 1) << BLOCK_BITS)
+    return ((values ^ salt) * FACTORS[screen]) >> np.uint64(64 - bits)
+
+
+def shingles_of(words: np.ndarray) -> np.ndarray:
+    """Shingle hashes of one sequence of words, in order."""
+    return shingle_hashes(words, np.array([len(words)]), SHINGLE)[0]
+
+
+def best_window(words: np.ndarray, item: np.ndarray, part: int, length: int) -> tuple[float, int, int]:
+    """Similarity, first word and number of words of the window most similar to the item, with the part in it.
+
+    ``words`` surround the part, which begins at word ``part``; they end where the
+    document does. Of equally similar windows it is the first.
+    """
+    wanted, n = Counter(shingles_of(item).tolist()), len(item)
+    span, total = min(n, len(words)), sum(wanted.values())
+    first, last = max(0, part + length - span), min(part, len(words) - span)
+    if span < SHINGLE:
+        shared = [sum((Counter(shingles_of(words[at : at + span]).tolist()) & wanted).values()) for at in range(first, last + 1)]
+        size = 1
+    else:
+        hashes, size = shingles_of(words).tolist(), span - SHINGLE + 1
+        counts, both, shared = Counter(hashes[first : first + size]), 0, []
+        both = sum((counts & wanted).values())
+        shared.append(both)
+        for at in range(first, last):
+            gone, new = hashes[at], hashes[at + size]
+            both -= counts[gone] <= wanted[gone]
+            counts[gone] -= 1
+            both += counts[new] < wanted[new]
+            counts[new] += 1
+            shared.append(both)
+    most = max(shared)
+    return most / (size + total - most), first + shared.index(most), span
+
+
+def read_items(benchmark: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """``(id, words)``: hashes of the items' words; items without words are left out."""
+    schema = T.StructType([T.StructField("id", benchmark.schema[item_id].dataType), T.StructField("words", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for some in slices(batch, "text"):
+                words, counts = hash_words([t or "" for t in some.column("text").to_pylist()], WORD, known)
+                ends = np.cumsum(counts)
+                rows = [words[e - n : e].tobytes() for e, n in zip(ends, counts)]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(rows, pa.binary())], names=schema.names)
+
+    rows = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"))
+    return rows.mapInArrow(run, schema).where(F.length("words") > 0)
+
+
+INDEX = "item long, size int, length int, part int, print long, block int, value long, places array<long>"
+
+
+def index_of(items: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """One row per item, part, block and value within ``FLIPS`` bits, with the value's places in the screens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in INDEX.split(", ")]
+        for batch in batches:
+            for key, packed in zip(batch.column("item").to_pylist(), batch.column("words").to_pylist()):
+                words = np.frombuffer(packed, np.uint64)
+                for part, length in parts_of(len(words), similarity):
+                    own = window_fingerprints(words[part : part + length], length)
+                    for block, value in enumerate(block_values(own)):
+                        values = FLIPPED ^ value[0]
+                        places = np.stack([screen_places(length, block, values, bits, k) for k in range(SCREENS)], axis=1).astype(np.int64)
+                        n = len(values)
+                        columns = [pa.array(np.full(n, x, t)) for x, t in ((key, "i8"), (len(words), "i4"), (length, "i4"), (part, "i4"))]
+                        columns += [pa.array(np.full(n, own.view(np.int64)[0])), pa.array(np.full(n, block, "i4")), pa.array(values.astype(np.int64))]
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, places.size + 1, SCREENS), pa.int32()), pa.array(places.ravel())))
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return items.mapInArrow(run, INDEX)
+
+
+def read_screens(index: DataFrame, bits: int) -> list[np.ndarray]:
+    """The screens as bytes; at most ``SCREENS * 2**SCREEN_BITS`` bits reach the driver."""
+    place = F.posexplode("places").alias("screen", "place")
+    rows = index.select(place).select("screen", F.expr(f"place DIV {BITMAP}").alias("row"), (F.col("place") % BITMAP).alias("bit"))
+    screens = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(SCREENS)]
+    for r in rows.groupBy("screen", "row").agg(F.bitmap_construct_agg("bit").alias("bitmap")).collect():
+        own = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+        at = r["row"] * BITMAP // 8
+        part = screens[r["screen"]][at : at + len(own)]
+        part |= own[: len(part)]
+    return screens
+
+
+WINDOWS = "key long, length int, print long, part int, first int, words binary, starts binary, ends binary"
+
+
+def windows_of(keyed: DataFrame, text: str, longest: dict[int, int], screens: list[np.ndarray], bits: int) -> DataFrame:
+    """Windows that pass the screens, with the words around them and these words' offsets.
+
+    ``longest`` has the largest item for each length of a window. ``part`` is the
+    window's place among the words, ``first`` the first word's place in the document.
+    """
+
+    def passing(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, first words and fingerprints of the windows."""
+        reach = max(longest)
+        for start in range(0, len(words), CHUNK):
+            some = words[start : start + CHUNK + reach - 1]
+            sums = bit_sums(some)
+            for length in longest:
+                n = min(CHUNK, len(some) - length + 1)
+                if n <= 0:
+                    continue
+                whole = np.flatnonzero(doc[start : start + n] == doc[start + length - 1 : start + length - 1 + n])
+                prints = window_fingerprints(some[: n + length - 1], length, sums[: n + length])[whole]
+                kept = []
+                for block, values in enumerate(block_values(prints)):
+                    at = np.arange(len(prints))
+                    for screen in range(SCREENS):
+                        place = screen_places(length, block, values[at], bits, screen)
+                        at = at[(screens[screen][place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                    kept.append(at)
+                kept = np.unique(np.concatenate(kept))
+                yield length, whole[kept] + start, prints[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, names = WordHashes(), [c.split()[0] for c in WINDOWS.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        for batch in batches:
+            for some in slices(batch, "text"):
+                keys, texts = some.column("key").to_pylist(), [t or "" for t in some.column("text").to_pylist()]
+                words, counts = hash_words(texts, WORD, known)
+                if not len(words):
+                    continue
+                doc, ends = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts)
+                rows, spans, seen = [], {}, set()
+                for length, places, prints in passing(words, doc):
+                    for at, print_ in zip(places.tolist(), prints.view(np.int64).tolist()):
+                        d = int(doc[at])
+                        if length < SHINGLE:  # such windows match as a whole, the first one will do
+                            if (d, length, print_) in seen:
+                                continue
+                            seen.add((d, length, print_))
+                        begin = int(ends[d] - counts[d])
+                        lo, hi = max(begin, at + length - longest[length]), min(int(ends[d]), at + longest[length])
+                        if d not in spans:
+                            spans[d] = np.array([m.span() for m in WORD.finditer(texts[d])], np.int32)
+                        own = spans[d][lo - begin : hi - begin]
+                        starts, stops = np.ascontiguousarray(own[:, 0]).tobytes(), np.ascontiguousarray(own[:, 1]).tobytes()
+                        rows.append((keys[d], length, print_, at - lo, lo - begin, words[lo:hi].tobytes(), starts, stops))
+                        if len(rows) == 4096:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    return keyed.select("key", F.col(text).alias("text")).mapInArrow(run, WINDOWS)
+
+
+FOUND = "key long, item long, similarity double, first int, start int, end int"
+
+
+def checked(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The most similar window of each pair of a window and an item, if it is similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+        for batch in batches:
+            rows, columns = [], {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            for k in range(batch.num_rows):
+                words, item = (np.frombuffer(columns[c][k], np.uint64) for c in ("words", "item_words"))
+                s, at, span = best_window(words, item, columns["part"][k], columns["length"][k])
+                if s >= similarity:
+                    starts, ends = (np.frombuffer(columns[c][k], np.int32) for c in ("starts", "ends"))
+                    first = columns["first"][k] + at
+                    rows.append((columns["key"][k], columns["item"][k], s, first, int(starts[at]), int(ends[at + span - 1])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
+
+    return pairs.mapInArrow(run, FOUND)
 
 
 def search(
@@ -169,15 +300,46 @@ def search(
     similarity: float = SIMILARITY,
 ) -> DataFrame:
     """Append ``leaks``: array of (item_id, similarity, start, end), offsets in characters."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = benchmark.schema[item_id].dataType
-    entry = T.StructType().add("item_id", id_type).add("similarity", T.DoubleType()).add("start", T.IntegerType()).add("end", T.IntegerType())
-    kind, rows, names = to_arrow_type(id_type), benchmark.select(item_id, item_text).toLocalIterator(), []
-    docs = docs.drop("leaks")
-    while items := [(r[0], r[1] or "") for r in islice(rows, SLICE_ITEMS)]:
-        names.append(f"__leaks_{len(names)}")
-        make = (lambda own: lambda: searcher(own, kind, similarity))(items)
-        docs = map_texts(docs, text, T.StructType().add(names[-1], T.ArrayType(entry)), make)
-    none = F.array().cast(T.ArrayType(entry))
-    return docs.withColumn("leaks", F.concat(none, *names)).drop(*names)
+    entry = T.StructType().add("item_id", benchmark.schema[item_id].dataType).add("similarity", T.DoubleType())
+    entry = entry.add("start", T.IntegerType()).add("end", T.IntegerType())
+    docs, none = docs.drop("leaks"), F.array().cast(T.ArrayType(entry))
+    ids = materialize(read_items(benchmark, item_id, item_text), "items")
+    items = materialize(ids.select("words").distinct().withColumn("item", F.monotonically_increasing_id()), "item-words")
+    size = items.groupBy((F.length("words") / 8).cast("int").alias("n")).count().collect()  # one row per length of an item
+    parts = [(n, c, part) for n, c in size for part in parts_of(n, similarity)]
+    if not parts:
+        return docs.withColumn("leaks", none)
+    longest = {}
+    for n, _, (_, length) in parts:
+        longest[length] = max(n, longest.get(length, 0))
+    entries = sum(c for _, c, _ in parts) * BLOCKS * len(FLIPPED)
+    bits = min(SCREEN_BITS, max(15, (entries * SCREEN_SHARE - 1).bit_length()))
+    index = materialize(index_of(items, similarity, bits), "window-index")
+    screens = read_screens(index, bits)
+
+    renamed = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    keyed = docs.withColumnsRenamed(renamed).withColumn("key", F.monotonically_increasing_id())
+    keyed = materialize(keyed, "documents")
+    windows = materialize(windows_of(keyed, renamed[text], longest, screens, bits), "windows")
+    low = (1 << BLOCK_BITS) - 1
+    block = lambda b: F.shiftrightunsigned("print", b * BLOCK_BITS).bitwiseAND(F.lit(low))
+    values = F.posexplode(F.array(*[block(b) for b in range(BLOCKS)])).alias("block", "value")
+    listed = index.select("item", F.col("length").alias("of"), F.col("print").alias("own"), F.col("block").alias("of_block"), F.col("value").alias("of_value"))
+    same = (F.col("length") == F.col("of")) & (F.col("block") == F.col("of_block")) & (F.col("value") == F.col("of_value"))
+    met = windows.select("*", values).join(listed, same)
+    # of the blocks that two fingerprints meet in, the first counts
+    apart = F.col("print").bitwiseXOR(F.col("own"))
+    met = met.where(F.bit_count(apart) <= RADIUS)
+    for b in range(BLOCKS - 1):
+        before = F.bit_count(F.shiftrightunsigned(apart, b * BLOCK_BITS).bitwiseAND(F.lit(low))) <= FLIPS
+        met = met.where((F.col("block") <= b) | ~before)
+    wanted = items.select(F.col("item").alias("number"), F.col("words").alias("item_words"))
+    pairs = met.join(wanted, F.col("item") == F.col("number"))
+    found = checked(pairs.select("key", "length", "part", "first", "words", "starts", "ends", "item", "item_words"), similarity)
+    order = F.struct("similarity", (-F.col("first")).alias("first"))
+    best = found.groupBy("key", "item").agg(F.max_by(F.struct("similarity", "start", "end"), order).alias("best"))
+    named = best.join(items, "item").join(ids, "words").select("key", F.struct(F.col("id").alias("item_id"), "best.similarity", "best.start", "best.end").alias("leak"))
+    leaks = named.groupBy(F.col("key").alias("of")).agg(F.sort_array(F.collect_list("leak")).alias("leaks"))
+    back = {v: k for k, v in renamed.items()}
+    joined = keyed.join(materialize(leaks, "leaks"), F.col("key") == F.col("of"), "left")
+    return joined.select(*[F.col(c).alias(back[c]) for c in renamed.values()], F.coalesce("leaks", none).alias("leaks"))

@@ -47,8 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossaria.llm.common import WordHashes, hash_words, map_texts, mix, poly, shingle_hashes
-from glossaria.llm.decontaminate import similarity_of
+from glossaria.llm.common import WordHashes, hash_words, map_texts, mix, poly, shingle_hashes, similarity_of
 from glossaria.sources.shared import materialize
 
 WORD = re.compile(r"[^\W_]+")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -252,33 +253,98 @@ def test_decontamination_equals_brute_force(spark, corners):
     assert decontaminate.search(corners.limit(0), bench).count() == 0
 
 
-def test_changed_edges_equal_brute_force():
-    draw = random.Random(13)
-    items = [[f"i{k}w{draw.randrange(400)}" for _ in range(n)] for k, n in enumerate([15, 22, 31, 40, 49, 58] * 20)]
-    index = decontaminate.Index([(k, " ".join(item)) for k, item in enumerate(items)])
-    texts, expected = [], set()
-    for k, item in enumerate(items):
-        edge = (len(item) - 4) // 9
-        for left in range(edge + 1):
-            changed = [f"c{draw.randrange(10**6)}" for _ in range(edge)]
-            inside = changed[:left] + item[left : len(item) - edge + left] + changed[left:]
-            text = [f"o{draw.randrange(10**6)}" for _ in range(30)] + inside + [f"o{draw.randrange(10**6)}" for _ in range(30)]
-            best = max(jaccard(shingles(text[i : i + len(item)]), shingles(item)) for i in range(len(text) - len(item) + 1))
-            if best >= 0.8:
-                expected.add((len(texts), k, round(best, 9)))
-            texts.append(" ".join(text))
-    found = index.search(texts, decontaminate.WordHashes(), 0.8)
-    assert len(expected) > 100 and {(d, f[0], round(f[1], 9)) for d, own in enumerate(found) for f in own} == expected
+def best_windows(texts, items, least=0.8):
+    """(text, item, similarity) by comparing every window of an item's length, or the whole text if it is shorter."""
+    expected = set()
+    for d, text in enumerate(texts):
+        w = words(text)
+        for k, item in enumerate(items):
+            own = words(item)
+            n = min(len(own), len(w))
+            best = max((jaccard(shingles(w[i : i + n]), shingles(own)) for i in range(len(w) - n + 1)), default=0) if n else 0
+            if best >= least:
+                expected.add((d, k, round(best, 9)))
+    return expected
 
 
-def test_blocks_find_every_fingerprint_within_the_radius():
-    draw = random.Random(8)
+def found_leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontaminate.search(docs, bench).select("doc_id", "text", F.inline("leaks")).collect()
+    for r in rows:
+        inside = words(r["text"][r["start"] : r["end"]])
+        assert round(jaccard(shingles(inside), shingles(words(items[r["item_id"]]))), 9) == round(r["similarity"], 9)
+    return {(r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in rows}
+
+
+def test_changed_items_equal_brute_force(spark):
+    """Changed edges, one word changed, left out or put in inside, cut documents, halves swapped, repeated words."""
+    draw = random.Random(13)
+    new = lambda: f"c{draw.randrange(10**6)}"
+    items = [[f"i{k}w{draw.randrange(400)}" for _ in range(n)] for k, n in enumerate([5, 8, 9, 15, 22, 31, 40, 47, 49, 58, 75, 120])]
+    items += [["a", "b"] * 12, ["x"], ["one", "two", "three"], [f"r{i % 5}" for i in range(60)]]
+    texts = []
+    for item in items:
+        n, edge = len(item), (len(item) - 4) // 9
+        changed = [list(item)]
+        changed += [[new() for _ in range(left)] + item[left : n - edge + left] + [new() for _ in range(edge - left)] for left in range(edge + 1)] if edge > 0 else []
+        for at in {n // 7, n // 3, n // 2, 4 * n // 5}:
+            changed += [item[:at] + [new()] + item[at + 1 :], item[:at] + item[at + 1 :], item[:at] + [new()] + item[at:], item[at:] + item[:at]]
+        for inside in changed:
+            around = [[f"o{draw.randrange(10**6)}" for _ in range(draw.choice([3, 40]))] for _ in range(2)]
+            texts.append(" ".join(around[0] + inside + around[1]))
+        texts += [" ".join(item[cut:]) for cut in range(1, n // 4)] + [" ".join(item[: n - cut]) for cut in range(1, n // 4)]
+    texts += ["", " . ", "x x x", "a b a b a b a b a b a b a b a b", " ".join(new() for _ in range(500))]
+    joined = [" ".join(i) for i in items]
+    expected = best_windows(texts, joined)
+    found = found_leaks(spark, texts, joined)
+    assert found <= expected and len(expected) > 150
+    assert len(found) == len(expected), sorted(expected - found)
+
+
+def test_nothing_is_found_without_the_blocks(spark, monkeypatch):
+    items = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(5)]
+    texts = [f"before {item} after" for item in items]
+    assert len(found_leaks(spark, texts, items)) == 5
+    whole = decontaminate.index_of
+    monkeypatch.setattr(decontaminate, "index_of", lambda *a: whole(*a).where("block < 0"))
+    assert found_leaks(spark, texts, items) == set()
+
+
+def test_items_of_one_opening_and_copies_of_items(spark):
+    opening = [f"o{i}" for i in range(12)]
+    items = [" ".join(opening + [f"k{k}w{i}" for i in range(10)]) for k in range(40)] + ["same words in this item here"] * 3
+    texts = [" ".join(opening), "x " + items[7] + " y", items[40].upper(), None]
+    assert found_leaks(spark, texts, items) == {(1, 7, 1.0), (2, 40, 1.0), (2, 41, 1.0), (2, 42, 1.0)}
+
+
+def test_parts_lie_inside_of_their_items():
+    for n in range(0, 400):
+        parts = decontaminate.parts_of(n)
+        assert bool(parts) == (n > 0)
+        ends = 0
+        for first, length in parts:
+            assert first >= ends and length >= 1
+            ends = first + length
+        assert ends <= n
+
+
+def test_window_fingerprints_equal_counting_bits():
+    draw = np.random.default_rng(3)
+    hashes = draw.integers(0, 2**63, 200, np.uint64)
+    for length in (1, 2, 7, 64, 200):
+        found = decontaminate.window_fingerprints(hashes, length)
+        mixed = [int(x) for x in decontaminate.mix(hashes)]
+        expected = [sum((2 * sum(x >> b & 1 for x in mixed[i : i + length]) > length) << b for b in range(64)) for i in range(201 - length)]
+        assert found.tolist() == expected
+
+
+def test_blocks_list_every_fingerprint_within_the_radius():
+    draw, mask = random.Random(8), (1 << decontaminate.BLOCK_BITS) - 1
+    flips = set(decontaminate.FLIPPED.tolist())
     for _ in range(300):
-        a = draw.getrandbits(64)
-        b = a
-        for bit in draw.sample(range(64), decontaminate.RADIUS):
-            b ^= 1 << bit
-        assert set(decontaminate.block_values(a)) & set(decontaminate.block_values(b))
+        apart = sum(1 << bit for bit in draw.sample(range(64), decontaminate.RADIUS))
+        assert any((apart >> b * decontaminate.BLOCK_BITS) & mask in flips for b in range(decontaminate.BLOCKS))
 
 
 # near-duplicates
@@ -484,11 +550,13 @@ def test_fold_and_round_trip(spark):
     events = spark.createDataFrame(log, "conv_id long, seq long, message long, kind string, role string, text string")
     folded = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.fold(events).collect()}
     assert folded == {1: [("user", hard), ("assistant", hard), ("user", "newer")], 2: [("", "")], None: [("assistant", "é😀")]}
-    shown = chat.render(chat.fold(events)).withColumns({"turns": chat.parse(F.col("formatted")), "spans": chat.loss_spans(F.col("parts"))})
+    shown = chat.render(chat.fold(events))
+    back = chat.parse(shown).collect()
     for r in shown.collect():
-        assert [tuple(t) for t in r["turns"]] == folded[r["conv_id"]]
+        said = sorted((t["at"], t["role"], t["text"]) for t in back if t["conv_id"] == r["conv_id"])
+        assert [t[1:] for t in said] == folded[r["conv_id"]]
         trained = [t for who, t in folded[r["conv_id"]] if who == "assistant"]
-        cut = [r["formatted"][s["start"] : s["end"]] for s in r["spans"]]
+        cut = [r["formatted"][s["start"] : s["end"]] for s in r["loss"]]
         assert [re.sub(r"\\(\\?)", r"\1", c) for c in cut] == trained
     got = {r["conv_id"]: r for r in chat.digest(chat.render(chat.fold(events))).collect()}
     said = "".join(f"{who}\n{t}\n" for who, t in folded[1])
@@ -496,6 +564,58 @@ def test_fold_and_round_trip(spark):
     assert chat.digest(chat.render(chat.fold(events.limit(0)))).count() == 0
 
 
+def plain_fold(log):
+    """Events of one conversation, one after the other."""
+    messages, order = {}, []
+    for seq, message, kind, role, text in sorted(log, key=lambda e: (e[0], e[1], e[2])):
+        if message not in messages:
+            messages[message] = [None, ""]
+            order.append(message)
+        if kind == "regenerate":
+            order = order[: order.index(message) + 1]
+            messages = {m: messages[m] for m in order}
+        own = messages[message]
+        own[0] = own[0] if own[0] is not None else role
+        own[1] = own[1] + (text or "") if kind == "delta" else (text or "")
+    return [(messages[m][0] or "", messages[m][1]) for m in order]
+
+
+def test_chat_random_logs_equal_a_plain_fold(spark):
+    draw, logs = random.Random(9), {}
+    for conv in range(60):
+        log, live, begun = [], [], 0
+        for seq in sorted(draw.sample(range(200), draw.randrange(1, 40))):
+            if not live or draw.random() < 0.3:
+                message, begun, kind = begun, begun + 1, draw.choice(["message", "delta", "edit", "regenerate"])
+                live.append(message)
+            else:  # a discarded message gets no more events
+                message, kind = draw.choice(live), draw.choice(["delta", "delta", "delta", "edit", "regenerate"])
+                if kind == "regenerate":
+                    live = live[: live.index(message) + 1]
+            log.append((seq, message, kind, draw.choice(["user", "assistant", None]), draw.choice(["a", "[b]", "<|end|>", "\\", None, ""])))
+        logs[conv] = log
+    rows = [(c, *e) for c, log in logs.items() for e in log]
+    draw.shuffle(rows)
+    events = spark.createDataFrame(rows, "conv_id long, seq long, message long, kind string, role string, text string")
+    folded = chat.fold(events)
+    got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in folded.collect()}
+    assert got == {c: plain_fold(log) for c, log in logs.items()}
+    for r in chat.digest(chat.render(folded)).collect():
+        said = "".join(f"{who}\n{t}\n" for who, t in got[r["conv_id"]])
+        trained = "".join(t for who, t in got[r["conv_id"]] if who == "assistant")
+        assert r["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest() and r["n_turns"] == len(got[r["conv_id"]])
+        assert r["loss_sha256"] == hashlib.sha256(trained.encode()).hexdigest() and r["loss_chars"] == len(trained)
+
+
+def test_chat_long_logs_take_linear_time(spark):
+    events = spark.range(1, 80_000).selectExpr(
+        "1L AS conv_id", "id AS seq", "id % 7 AS message", "if(id < 8, 'message', 'delta') AS kind", "'assistant' AS role", "'x' AS text"
+    )
+    began = time.time()
+    got = chat.digest(chat.render(chat.fold(events))).first()
+    assert got["loss_chars"] == 79_999 and time.time() - began < 25
+
+
 def test_chat_repeated_rows(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", None)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("x"))
@@ -511,7 +631,7 @@ def test_line_dedup_ratio(spark, corners):
     rows += [(100 + i, "Menu\nown " + str(i), "en", None, 0) for i in range(3)] + [(200 + i, "same page\nMenu", "en", "copies", 0) for i in range(50)]
     got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
     assert got[0]["text"] == "line 0\nrare" and got[9]["text"] == "line 9" and got[9]["n_dropped"] == 2
-    assert got[100]["text"] == "Menu\nown 0" and got[200]["text"] == "same page\nMenu" and len(got) == len(rows)
+    assert got[100]["text"] == "own 0" and got[200]["text"] == "same page\nMenu" and len(got) == len(rows)
     own = line_dedup.drop_boilerplate(corners).collect()
     assert len(own) == corners.count() and [r["text"] for r in own if r["doc_id"] == 0] == [None]
     assert line_dedup.drop_boilerplate(corners.limit(0)).count() == 0
