@@ -29,8 +29,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossaria.llm.common import let
-
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 TRAINED = "assistant"
 
@@ -58,7 +56,8 @@ def fold(events: DataFrame) -> DataFrame:
     """One row per conversation: ``conv_id`` and ``turns``, an array of (role, text)."""
     log = Window.partitionBy("conv_id")
     in_order = log.orderBy("seq", "message", "kind", "role", "text")
-    later = log.orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, as a frame that only grows is computed once
+    later = log.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("conv_id", "message")
     text, kind = F.coalesce("text", F.lit("")), F.col("kind")
     rows = events.select("conv_id", "seq", "message", "kind", "role", "text").withColumn("at", F.row_number().over(in_order))
@@ -79,61 +78,58 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(conversations: DataFrame) -> DataFrame:
-    """Add ``formatted`` and ``parts``, its pieces in order with the flag ``loss``; joined they are ``formatted``."""
-    part = lambda text, loss: F.struct(text.alias("text"), F.lit(loss).alias("loss") if isinstance(loss, bool) else loss.alias("loss"))
-    pieces = F.transform(
-        "turns",
-        lambda t: F.array(
-            part(F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)), False),
-            part(escape(t["text"]), t["role"] == TRAINED),
-            part(F.lit(END), False),
-        ),
+    """``conv_id``, ``formatted`` and ``loss``: the (start, end) of each text under the loss mask, in code points of it."""
+    head = F.concat(F.lit(TURN), escape(F.col("turn.role")), F.lit(TEXT)).alias("head")
+    rows = conversations.select("conv_id", F.posexplode_outer("turns").alias("at", "turn"))
+    rows = rows.select("conv_id", "at", head, escape(F.col("turn.text")).alias("body"), (F.col("turn.role") == TRAINED).alias("trained"))
+    earlier = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    size = (F.length("head") + F.length("body") + F.lit(len(END))).cast("long")
+    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(earlier), F.lit(0)) + F.length("head"))
+    piece = F.struct("at", F.concat("head", "body", F.lit(END)).alias("shown"))
+    span = F.struct("start", (F.col("start") + F.length("body")).alias("end"))
+    whole = rows.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("head").isNotNull(), piece))).alias("pieces"),
+        F.sort_array(F.collect_list(F.when(F.col("trained"), span))).alias("loss"),
     )
-    rows = conversations.select("conv_id", F.flatten(pieces).alias("parts"))
-    return rows.withColumn("formatted", F.array_join(F.transform("parts", lambda x: x["text"]), ""))
-
-
-def loss_spans(parts: Column) -> Column:
-    """Array of (start, end), in code points of ``formatted``, of the text under the loss mask."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def add(state: Column, p: Column) -> Column:
-        end = state["at"] + F.length(p["text"])
-        more = F.when(p["loss"], F.array(F.struct(state["at"].alias("start"), end.alias("end")))).otherwise(empty)
-        return F.struct(end.alias("at"), F.concat(state["spans"], more).alias("spans"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda s: s["spans"])
-
-
-def parse(formatted: Column) -> Column:
-    """The (role, text) turns of a rendered conversation."""
-    bodies = F.filter(F.split(formatted, r"<\|end\|>"), lambda x: x != "")
-
-    def turn(x: Column) -> Column:
-        return let(
-            F.split(x, r"<\|text\|>"),
-            lambda s: F.struct(
-                unescape(F.substring(F.get(s, F.lit(0)), F.lit(len(TURN) + 1), F.length(F.get(s, F.lit(0))))).alias("role"),
-                unescape(F.get(s, F.lit(1))).alias("text"),
-            ),
-        )
-
-    return F.transform(bodies, turn)
+    return whole.select("conv_id", F.array_join(F.transform("pieces", lambda x: x["shown"]), "").alias("formatted"), "loss")
+
+
+def parse(rendered: DataFrame) -> DataFrame:
+    """The turns of ``formatted`` in order, one row each: ``conv_id``, ``at``, ``role``, ``text`` and ``trained``.
+
+    A text is trained on if the spans of the loss mask name just its place.
+    """
+    turns = F.filter(F.split("formatted", r"<\|end\|>"), lambda x: x != "")
+    rows = rendered.select("conv_id", F.posexplode(turns).alias("at", "turn"))
+    earlier = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum((F.length("turn") + F.lit(len(END))).cast("long")).over(earlier), F.lit(0)).alias("before")
+    rows = rows.select("conv_id", "at", F.length("turn").alias("size"), F.split("turn", r"<\|text\|>").alias("halves"), before)
+    head, body = F.get("halves", F.lit(0)), F.get("halves", F.lit(1))
+    rows = rows.select(
+        "conv_id", "at", unescape(F.substring(head, F.lit(len(TURN) + 1), F.length(head))).alias("role"), unescape(body).alias("text"),
+        (F.col("before") + F.col("size") - F.length(body)).alias("start"), (F.col("before") + F.col("size")).alias("end"),
+    )
+    mask = rendered.select(F.col("conv_id").alias("of"), F.inline("loss").alias("loss_start", "loss_end"))
+    same = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("start") == F.col("loss_start")) & (F.col("end") == F.col("loss_end"))
+    return rows.join(mask, same, "left").select("conv_id", "at", "role", "text", F.col("loss_start").isNotNull().alias("trained"))
 
 
 def digest(rendered: DataFrame) -> DataFrame:
     """Counts and digests per conversation, read back from ``formatted`` and the loss mask."""
-    rows = rendered.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), "parts")
-    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    trained = F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: unescape(p["text"]))
-    rows = rows.select("conv_id", "formatted", F.size("turns").alias("n"), F.array_join(said, "").alias("said"), F.array_join(trained, "").alias("trained"))
-    return rows.select(
+    joined = lambda x: F.array_join(F.transform(F.sort_array(F.collect_list(x)), lambda y: y["said"]), "")
+    said = F.struct("at", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("said"))
+    trained = F.when(F.col("trained"), F.struct("at", F.col("text").alias("said")))
+    rows = parse(rendered).groupBy(F.col("conv_id").alias("of")).agg(F.count(F.lit(1)).alias("n"), joined(said).alias("said"), joined(trained).alias("trained"))
+    sizes = rendered.select("conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    both = sizes.join(rows, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    return both.select(
         "conv_id",
-        F.col("n").cast("bigint").alias("n_turns"),
-        F.sha2("said", 256).alias("turns_sha256"),
-        F.length("trained").cast("bigint").alias("loss_chars"),
-        F.sha2("trained", 256).alias("loss_sha256"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_turns"),
+        F.sha2(text("said"), 256).alias("turns_sha256"),
+        F.coalesce(F.length("trained"), F.lit(0)).cast("bigint").alias("loss_chars"),
+        F.sha2(text("trained"), 256).alias("loss_sha256"),
+        "formatted_chars",
     )
 
 
