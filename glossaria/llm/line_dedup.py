@@ -1,9 +1,10 @@
 """Boilerplate lines by their frequency within a site.
 
 For every host the pages that contain a line are counted and divided by the
-host's pages; lines above ``ratio`` that at least ``min_pages`` pages contain
-are dropped from all pages of the host. Pages with identical text are one page
-here, so a page that was copied many times does not turn into boilerplate.
+host's pages; lines above ``ratio`` are dropped from all pages of the host. A
+line on one page alone repeats nothing and stays, whatever the ratio is. Pages
+with identical text are one page here, so a page that was copied many times does
+not turn into boilerplate.
 Lines are compared without the spaces around them; blank lines stay.
 
 Only hashes of lines are shuffled. The lines to drop are at most
@@ -35,22 +36,20 @@ def line_hashes(text: str) -> Column:
     return F.array_distinct(F.transform(full, lambda x: F.xxhash64(x)))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05) -> DataFrame:
     """Columns ``host`` and ``lines``: hashes of the boilerplate lines of each host that has any."""
     page = docs.select(F.col(host).alias("host"), F.xxhash64(text, F.reverse(text)).alias("page"), line_hashes(text).alias("hashes"))
     total = page.where(F.col("hashes").isNotNull()).select("host", "page").distinct()
     total = total.groupBy(F.col("host").alias("of_host")).agg(F.count(F.lit(1)).alias("pages"))
     seen = page.select("host", "page", F.explode("hashes").alias("line")).distinct()
-    seen = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    seen = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     over = seen.join(total, F.col("host").eqNullSafe(F.col("of_host"))).where(F.col("n") > F.lit(ratio) * F.col("pages"))
     return over.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def drop_boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5
-) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05) -> DataFrame:
     """All rows with the boilerplate lines taken out of ``text``, and ``n_lines``, ``n_dropped``."""
-    table = materialize(boilerplate(docs, host, text, ratio, min_pages), "boilerplate")
+    table = materialize(boilerplate(docs, host, text, ratio), "boilerplate")
     table = table.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     docs = docs.drop("n_lines", "n_dropped", "__host", "__lines", "__cut")
     columns = [F.col("__cut.text").alias(text) if c == text else F.col(c) for c in docs.columns]
@@ -83,7 +82,7 @@ line as (
   where line <> '' group by source, line),
 drops as (
   select line.source, line.line from line join total on line.source is not distinct from total.source
-  where n >= 5 and n > cast(0.05 as double) * pages),
+  where n > 1 and n > cast(0.05 as double) * pages),
 numbered as (
   select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
 marked as (
