@@ -1,7 +1,8 @@
 """Packing of tokenized documents into sequences of fixed length.
 
-Rows are dealt at random over the tasks, and each task cuts its rows into
-groups of about ``group_tokens`` tokens. In a group a document of more tokens
+Rows are dealt over tasks of about ``task_bytes`` of text by a hash of ``seed``, id,
+text and place in the table, so the groups are random, and the same again for the
+same table. Each task cuts its rows into groups of about ``group_tokens`` tokens. In a group a document of more tokens
 than a sequence gives full sequences and a rest; rests and shorter documents
 are placed by first-fit decreasing: longest first, each into the first sequence
 with room for it. A tournament tree over the free room of the sequences finds
@@ -26,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossaria.llm.common import slices
@@ -34,7 +36,8 @@ from glossaria.llm.common import slices
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 # Runs of white space that the faster library's splitter may not get through.
-LONG_RUN = re.compile(r"\s{100000}")
+# Looked for at their beginnings alone, so the search is linear.
+LONG_RUN = re.compile(r"(?<!\s)\s{100000}")
 
 
 def byte_values() -> dict[str, int]:
@@ -129,6 +132,8 @@ def pack(
     group_tokens: int = 4_000_000,
     id_column: str = "doc_id",
     text: str = "text",
+    seed: int = 0,
+    task_bytes: int = 1 << 24,
 ) -> DataFrame:
     """One row per piece: id, start, length, ``tokens`` (little-endian), doc_tokens, sequence_id, offset."""
     schema = T.StructType([docs.schema[id_column]])
@@ -137,7 +142,8 @@ def pack(
     schema.add("tokens", T.BinaryType())
     for name in ("doc_tokens", "sequence_id", "offset"):
         schema.add(name, T.LongType())
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
+    tasks = max(1, -(-size // task_bytes))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,4 +181,5 @@ def pack(
         if group:
             yield from flush()
 
-    return docs.select(id_column, text).repartition(tasks).mapInArrow(run, schema)
+    dealt = F.xxhash64(F.lit(seed), id_column, text, F.monotonically_increasing_id())
+    return docs.select(id_column, text).repartition(tasks, dealt).mapInArrow(run, schema)
