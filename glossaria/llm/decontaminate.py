@@ -9,8 +9,8 @@ counts; a text of fewer than five words has one shingle of all its words).
    places inside as the lost shingles allow. What lies between the edges is cut into
    one more part than there may be such places, so one part at least is whole in
    every similar window (``parts_of``). Windows as long as the parts, of which there
-   are few lengths, get a 64-bit SimHash at every word of every document: each word
-   counts as often as it occurs.
+   are few lengths, get a 64-bit SimHash at every word of every document, of the runs
+   of ``RUN`` words in them: each counts as often as it occurs.
 2. Blocks. A fingerprint has ``BLOCKS`` blocks of bits. The index lists for each block
    all values that differ from a part's in at most ``FLIPS`` bits, so two fingerprints
    that differ in at most ``RADIUS`` bits meet in one block at least. Index and windows
@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glossaria.llm.common import WordHashes, hash_words, mix, shingle_hashes, slices
+from glossaria.llm.common import WordHashes, hash_words, mix, poly, shingle_hashes, slices
 from glossaria.sources.shared import materialize
 
 WORD = re.compile(r"[^\W_]+")
@@ -52,16 +52,17 @@ BLOCK_BITS = 64 // BLOCKS
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 SCREENS, SCREEN_BITS, SCREEN_SHARE = 3, 26, 64  # bit arrays of at most 2**26 bits, one in 64 set if that is enough
 BITMAP = 1 << 15  # bits of one row of a screen
-CHUNK = 1 << 15  # words whose windows are computed at a time
+CHUNK = 1 << 13  # words whose windows are computed at a time
+RUN = 3  # words of a feature; single words would make the windows of a language alike
 MASK = np.uint64((1 << BLOCK_BITS) - 1)
 FACTORS = mix(np.arange(1, SCREENS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def length_below(n: int) -> int:
-    """The longest window length up to ``n``: all small numbers, then steps of about a sixth."""
+    """The longest window length up to ``n``: all small numbers, then steps of a third."""
     length = 8
     while length <= n:
-        best, length = length, length + max(1, round(length / 6))
+        best, length = length, length + length // 3
     return n if n < 8 else best
 
 
@@ -83,21 +84,37 @@ def parts_of(n: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     return [(edge + at * own + (own - length) // 2, length) for at in range(min(places + 1, core))]
 
 
-def window_fingerprints(words: np.ndarray, length: int, sums: np.ndarray | None = None) -> np.ndarray:
-    """SimHash of every window of ``length`` words; a bit is set if more than half of the words have it."""
-    sums = bit_sums(words) if sums is None else sums
-    ones = (sums[length:] - sums[:-length]) > np.uint16(length // 2)
-    return np.packbits(ones, axis=1).view(">u8")[:, 0].astype(np.uint64)
+def run_of(length: int) -> int:
+    """Words of a feature in windows of a length."""
+    return min(RUN, length)
+
 
+def features(words: np.ndarray, run: int) -> np.ndarray:
+    """Hashes of the runs of ``run`` words that begin at each word but the last ones."""
+    n = max(0, len(words) - run + 1)
+    return mix(poly([words[k : k + n] for k in range(run)]))
 
-def bit_sums(words: np.ndarray) -> np.ndarray:
-    """Running sums of the bits of the words' hashes, modulo 2**16: windows are far shorter."""
-    bits = np.unpackbits(mix(words).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(words) + 1, 64), np.uint16)
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=sums[1:])
+
+def bit_sums(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Running sums of the hashes' bits, cut to as many bits as tell the sums of windows of up to ``length`` apart."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    sums = np.zeros((len(hashes) + 1, 64), np.uint8 if length < 256 else np.uint32)
+    np.cumsum(bits, axis=0, dtype=sums.dtype, out=sums[1:])
     return sums
 
 
+def fingerprints(sums: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of every ``n`` features in a row; a bit is set if more than half of them have it."""
+    ones = (sums[n:] - sums[:-n]) > sums.dtype.type(n // 2)
+    return np.packbits(ones, axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def window_fingerprints(words: np.ndarray, length: int) -> np.ndarray:
+    """SimHash of every window of ``length`` words."""
+    run = run_of(length)
+    return fingerprints(bit_sums(features(words, run), length), length - run + 1)
+
+
 def block_values(prints: np.ndarray) -> list[np.ndarray]:
     """The value of each block of the fingerprints."""
     return [(prints >> np.uint64(b * BLOCK_BITS)) & MASK for b in range(BLOCKS)]
@@ -202,7 +219,7 @@ def read_screens(index: DataFrame, bits: int) -> list[np.ndarray]:
     return screens
 
 
-WINDOWS = "key long, length int, print long, part int, first int, words binary, starts binary, ends binary"
+WINDOWS = "key long, length int, print long, passed int, part int, first int, words binary, starts binary, ends binary"
 
 
 def windows_of(keyed: DataFrame, text: str, longest: dict[int, int], screens: list[np.ndarray], bits: int) -> DataFrame:
@@ -212,31 +229,32 @@ def windows_of(keyed: DataFrame, text: str, longest: dict[int, int], screens: li
     window's place among the words, ``first`` the first word's place in the document.
     """
 
-    def passing(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Length, first words and fingerprints of the windows."""
+    def passing(words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Length, first words, fingerprints and passed blocks (as bits) of the windows."""
         reach = max(longest)
+        runs = sorted({run_of(length) for length in longest})
         for start in range(0, len(words), CHUNK):
             some = words[start : start + CHUNK + reach - 1]
-            sums = bit_sums(some)
+            sums = {run: bit_sums(features(some, run), reach) for run in runs}
             for length in longest:
-                n = min(CHUNK, len(some) - length + 1)
+                n, run = min(CHUNK, len(some) - length + 1), run_of(length)
                 if n <= 0:
                     continue
                 whole = np.flatnonzero(doc[start : start + n] == doc[start + length - 1 : start + length - 1 + n])
-                prints = window_fingerprints(some[: n + length - 1], length, sums[: n + length])[whole]
-                kept = []
+                prints = fingerprints(sums[run][: n + length - run + 1], length - run + 1)[whole]
+                passed = np.zeros(len(prints), np.int32)
                 for block, values in enumerate(block_values(prints)):
                     at = np.arange(len(prints))
                     for screen in range(SCREENS):
                         place = screen_places(length, block, values[at], bits, screen)
                         at = at[(screens[screen][place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
-                    kept.append(at)
-                kept = np.unique(np.concatenate(kept))
-                yield length, whole[kept] + start, prints[kept]
+                    passed[at] |= 1 << block
+                kept = np.flatnonzero(passed)
+                yield length, whole[kept] + start, prints[kept], passed[kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names = WordHashes(), [c.split()[0] for c in WINDOWS.split(", ")]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             for some in slices(batch, "text"):
                 keys, texts = some.column("key").to_pylist(), [t or "" for t in some.column("text").to_pylist()]
@@ -245,8 +263,8 @@ def windows_of(keyed: DataFrame, text: str, longest: dict[int, int], screens: li
                     continue
                 doc, ends = np.repeat(np.arange(len(texts)), counts), np.cumsum(counts)
                 rows, spans, seen = [], {}, set()
-                for length, places, prints in passing(words, doc):
-                    for at, print_ in zip(places.tolist(), prints.view(np.int64).tolist()):
+                for length, places, prints, passed in passing(words, doc):
+                    for at, print_, blocks in zip(places.tolist(), prints.view(np.int64).tolist(), passed.tolist()):
                         d = int(doc[at])
                         if length < SHINGLE:  # such windows match as a whole, the first one will do
                             if (d, length, print_) in seen:
@@ -258,7 +276,7 @@ def windows_of(keyed: DataFrame, text: str, longest: dict[int, int], screens: li
                             spans[d] = np.array([m.span() for m in WORD.finditer(texts[d])], np.int32)
                         own = spans[d][lo - begin : hi - begin]
                         starts, stops = np.ascontiguousarray(own[:, 0]).tobytes(), np.ascontiguousarray(own[:, 1]).tobytes()
-                        rows.append((keys[d], length, print_, at - lo, lo - begin, words[lo:hi].tobytes(), starts, stops))
+                        rows.append((keys[d], length, print_, blocks, at - lo, lo - begin, words[lo:hi].tobytes(), starts, stops))
                         if len(rows) == 4096:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                             rows = []
@@ -326,7 +344,8 @@ def search(
     values = F.posexplode(F.array(*[block(b) for b in range(BLOCKS)])).alias("block", "value")
     listed = index.select("item", F.col("length").alias("of"), F.col("print").alias("own"), F.col("block").alias("of_block"), F.col("value").alias("of_value"))
     same = (F.col("length") == F.col("of")) & (F.col("block") == F.col("of_block")) & (F.col("value") == F.col("of_value"))
-    met = windows.select("*", values).join(listed, same)
+    listing = F.expr("shiftright(passed, block) & 1 = 1")
+    met = windows.select("*", values).where(listing).join(listed, same)
     # of the blocks that two fingerprints meet in, the first counts
     apart = F.col("print").bitwiseXOR(F.col("own"))
     met = met.where(F.bit_count(apart) <= RADIUS)

@@ -331,12 +331,15 @@ def test_parts_lie_inside_of_their_items():
 
 def test_window_fingerprints_equal_counting_bits():
     draw = np.random.default_rng(3)
-    hashes = draw.integers(0, 2**63, 200, np.uint64)
-    for length in (1, 2, 7, 64, 200):
-        found = decontaminate.window_fingerprints(hashes, length)
-        mixed = [int(x) for x in decontaminate.mix(hashes)]
-        expected = [sum((2 * sum(x >> b & 1 for x in mixed[i : i + length]) > length) << b for b in range(64)) for i in range(201 - length)]
-        assert found.tolist() == expected
+    words = draw.integers(0, 2**63, 700, np.uint64)
+    for length in (1, 2, 3, 8, 64, 300, 700):
+        run = min(decontaminate.RUN, length)
+        runs = [int(x) for x in decontaminate.features(words, run)]
+        n = length - run + 1
+        for i in (0, 1, (701 - length) // 2, 700 - length):
+            if i <= 700 - length:
+                expected = sum((2 * sum(x >> b & 1 for x in runs[i : i + n]) > n) << b for b in range(64))
+                assert int(decontaminate.window_fingerprints(words, length)[i]) == expected
 
 
 def test_blocks_list_every_fingerprint_within_the_radius():
