@@ -110,11 +110,16 @@ def dimension(df: DataFrame) -> DataFrame:
     return materialize(df, "dimension")
 
 
+CO_LOCATED_BYTES = 1 << 24  # of the rows of a partition before the explode
+
+
 def co_locate(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows by ``keys`` ahead of an explode and groupings that contain them.
 
     The number of partitions is stated, because adaptive execution would merge
-    partitions by their size before the explode.
+    partitions by their size before the explode. It follows from the size that
+    Spark estimates for the rows, and is at least the session's.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(max(least, min(size // CO_LOCATED_BYTES, 1 << 20)), *keys)

@@ -36,6 +36,26 @@ def unique_tokens(df: DataFrame, tokens: Column, groups: Sequence[str] = ()) ->
     return term_rows(df, tokens, groups, "token").distinct()
 
 
+SKETCH_BITS = 12  # a sketch has 2**12 registers
+
+
+def term_sketches(df: DataFrame, terms: Column, groups: Sequence[str], bits: int = SKETCH_BITS) -> DataFrame:
+    """``(groups, sketch)``: what is needed to estimate the number of distinct terms, a few KB per group.
+
+    Sketches of parts of a corpus can be kept and merged, unlike distinct counts.
+    """
+    return term_rows(df, terms, groups).groupBy(*groups).agg(F.hll_sketch_agg("term", bits).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``(groups, sketch, estimate)``: sketches of a group united, with the number of distinct terms.
+
+    The relative standard error is about 1.04 / sqrt(2**bits): 1.6 % for 12 bits.
+    """
+    united = sketches.groupBy(*groups).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return united.withColumn("estimate", F.hll_sketch_estimate("sketch"))
+
+
 def ngram_counts(
     df: DataFrame, low: int, high: int, keys: Sequence[str] = ("language", "sentence_id"), tokens: str = "tokens"
 ) -> DataFrame:

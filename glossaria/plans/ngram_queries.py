@@ -9,6 +9,7 @@ from glossaria.operators import ngrams as ng
 from glossaria.operators.ids import co_locate, scalar
 from glossaria.operators.morphology import top_per_key
 from glossaria.plans import fixtures as fx
+from glossaria.sources.shared import materialize
 
 
 def _word_docs(spark, sf_dir):
@@ -128,7 +129,7 @@ def divergence_matrix(spark, sf_dir):
 
 
 def normalized_divergence(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
+    cells = materialize(_cells(spark, sf_dir), "cells")
     n = scalar(fx.whole(spark, sf_dir).select("sentence_id"), F.max("sentence_id") + 1)
     return ng.normalized_divergence(ng.divergence_matrix(cells), cells, n)
 
@@ -141,6 +142,15 @@ def closer_than(spark, sf_dir):
     return ng.closer_than(_divergence(spark, sf_dir))
 
 
+def distinct_token_sketches(spark, sf_dir):
+    """Distinct tokens per language, exact and by merging sketches of the two corpora; right within three standard errors."""
+    docs = materialize(_word_docs(spark, sf_dir), "tokens")
+    merged = ng.merged_sketches(ng.term_sketches(docs, F.col("tokens"), ["corpus", "language"]), ["language"])
+    exact = ng.unique_tokens(docs, F.col("tokens"), ["language"]).groupBy("language").agg(F.count(F.lit(1)).alias("n_exact"))
+    near = F.abs(F.col("estimate") / F.col("n_exact") - 1) <= 3 * 1.04 / 2 ** (ng.SKETCH_BITS / 2)
+    return merged.join(exact, "language").select("language", "n_exact", near.alias("near"))
+
+
 def top_tokens_per_language(spark, sf_dir):
     counts = ng.token_counts(_word_docs(spark, sf_dir), F.col("tokens"), ["language"])
     return top_per_key(counts, "language", "token", 20)
@@ -153,6 +163,7 @@ QUERIES = {
         apply_vocabulary, token_counts, unique_tokens, bigram_counts, bigram_counts_within, vocabulary_overlap,
         vocabulary_overlap_bigrams, vocabulary_overlap_join, overlap_difference, overlap_probability_difference,
         divergence_matrix, normalized_divergence, divergence_by_language, closer_than, top_tokens_per_language,
+        distinct_token_sketches,
     )
 }
 
@@ -210,6 +221,8 @@ ORACLES = {
     "apply_vocabulary": f"""WITH {_VOCAB} SELECT language, ngram, n
       FROM (SELECT *, bool_or(corpus = 'train') OVER (PARTITION BY ngram) AS known FROM counts) WHERE corpus = 'test' AND known""",
     "token_counts": f"WITH {_WT} SELECT token, count(*) AS n FROM (SELECT unnest(t) AS token FROM tk) GROUP BY 1",
+    "distinct_token_sketches": f"""WITH {_WT} SELECT language, count(DISTINCT token) AS n_exact, true AS near
+      FROM (SELECT language, unnest(t) AS token FROM tk) GROUP BY language""",
     "unique_tokens": f"WITH {_WT} SELECT DISTINCT corpus, token FROM (SELECT corpus, unnest(t) AS token FROM tk)",
     "bigram_counts": f"WITH {_BIGRAMS} SELECT * FROM bigrams",
     "bigram_counts_within": f"""WITH {_WT} SELECT corpus, bigram, count(*) AS n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from glossaria.operators import clusters, combine, common_draws, distance, evaluate, pairs, retrieval
@@ -11,7 +13,7 @@ from glossaria.plans.ngram_queries import _DIVERGENCE, _cells
 from glossaria.plans.recode_queries import _ALIGNED_SQL
 from glossaria.plans.source_queries import _SCRIPTS_SQL, LANGUAGE_NAMES_SQL
 from glossaria.sources import names
-from glossaria.sources.corpora import language_scripts
+from glossaria.sources.corpora import language_scripts, save_by_position
 from glossaria.sources.shared import materialize
 
 ANCHOR = "fr"
@@ -25,6 +27,16 @@ def align_to_target(spark, sf_dir):
     )
 
 
+def aligned_by_bucket(spark, sf_dir):
+    """The same alignment from a table that is stored by sentence position, without a shuffle."""
+    name = f"corpus_{uuid.uuid4().hex}"
+    save_by_position(fx.whole(spark, sf_dir), name, 8)
+    aligned = pairs.align_to_target(spark.table(name), ANCHOR)
+    return aligned.select(
+        "sentence_id", "source_language", "target_language", F.md5("source").alias("source"), F.md5("target").alias("target")
+    )
+
+
 def equal_length_languages(spark, sf_dir):
     kept = fx.docs(spark, sf_dir).select(F.concat_ws("_", "corpus", "source").alias("language"))
     return combine.equal_length_languages(kept, "train_src0", drop_target=True)
@@ -189,7 +201,7 @@ def retrieval_sweep(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        align_to_target, equal_length_languages, positive_pairs, positive_pairs_drawn, negative_pairs,
+        align_to_target, aligned_by_bucket, equal_length_languages, positive_pairs, positive_pairs_drawn, negative_pairs,
         drawn_positive_pairs, drawn_negative_pairs, sentence_pairs_dataset, pair_same_language_label, pair_same_script_label, pair_related_label,
         join_metrics_before_after, name_language_pairs, classification_distance, classification_distance_exact,
         distance_matrix, mean_distance, nearest_farthest_languages, cosine_distances, retrieval_ranks, nearest_candidates,
@@ -241,6 +253,8 @@ _EDGES = f"{fx.PATHS_SQL}, both_ways AS (SELECT * FROM edges UNION ALL SELECT la
 ORACLES = {
     "align_to_target": f"""WITH {_ALIGNED_SQL} SELECT sentence_id, source_language, target_language, md5(source) AS source,
       md5(target) AS target FROM aligned""",
+    "aligned_by_bucket": f"""WITH {_ALIGNED_SQL} SELECT sentence_id, source_language, target_language, md5(source) AS source,
+      md5(target) AS target FROM aligned""",
     "equal_length_languages": f"""WITH {fx.DOCS_SQL}, s AS (SELECT corpus || '_' || source AS language, count(*) AS n_rows FROM docs GROUP BY 1)
       SELECT * FROM s WHERE n_rows = (SELECT n_rows FROM s WHERE language = 'train_src0') AND language <> 'train_src0'""",
     "positive_pairs": f"WITH {_WHOLE_PAIRS} SELECT * FROM pos0",

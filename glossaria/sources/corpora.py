@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from glossaria.functions.text import strip_whitespace
 from glossaria.operators.ids import dimension
-from glossaria.sources.shared import materialize
+from glossaria.sources.shared import materialize, shared_path
 
 # File layouts as (glob, pattern of the language in the path).
 LAYOUTS = {
@@ -103,6 +103,18 @@ def load_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
+def save_by_position(df: DataFrame, table: str, buckets: int, position: str = "sentence_id") -> None:
+    """A table in ``buckets`` files by sentence position, sorted by it.
+
+    Joins and groupings of such tables by position need no shuffle: the translations
+    of a sentence are in the files of one bucket. Its files are below the shared
+    folder; the table's name is the session catalog's.
+    """
+    path = shared_path(df.sparkSession, "corpus")
+    spread = df.repartition(buckets, position)  # one file per bucket
+    spread.write.option("path", path).bucketBy(buckets, position).sortBy(position).saveAsTable(table, format="parquet")
+
+
 def language_scripts(codes: DataFrame, separator: str = "_") -> DataFrame:
     """``fin_Latn``-style codes -> language with its sorted scripts."""
     parts = codes.select(

@@ -318,3 +318,22 @@ def test_no_join_on_hot_keys(spark, vectors, corpus):
     assert "Join" not in ranks
     plan = ids.add_global_sentence_id(corpus)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_sketches_merge_and_stay_within_their_error(spark):
+    df = spark.range(60_000).selectExpr(
+        "if(id % 2 = 0, 'x', 'y') AS language", "id % 3 AS corpus", "array(concat('t', id % 20000), concat('u', id % 7)) AS tokens"
+    )
+    parts = ngrams.term_sketches(df, F.col("tokens"), ["corpus", "language"])
+    merged = {r["language"]: r["estimate"] for r in ngrams.merged_sketches(parts, ["language"]).collect()}
+    whole = {r["language"]: r["n"] for r in ngrams.unique_tokens(df, F.col("tokens"), ["language"]).groupBy("language").agg(F.count("*").alias("n")).collect()}
+    direct = {r["language"]: r["n"] for r in ngrams.term_sketches(df, F.col("tokens"), ["language"]).select("language", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+    assert merged.keys() == whole.keys() == {"x", "y"}
+    for language, n in whole.items():
+        assert abs(merged[language] / n - 1) < 0.05 and abs(direct[language] / n - 1) < 0.05
+
+
+def test_co_located_partitions_grow_with_the_rows(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id", "repeat('x', 100) AS text")
+    monkeypatch.setattr(ids, "CO_LOCATED_BYTES", 1 << 9)
+    assert ids.co_locate(df, "id").rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))

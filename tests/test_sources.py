@@ -121,3 +121,23 @@ def test_line_numbers_over_files_of_a_language(spark, tmp_path):
     assert len(list((tmp_path / "corpus" / "language=x").glob("*.txt"))) > 1
     got = corpora.read_parallel_corpus(spark, str(tmp_path / "corpus"), "folders").collect()
     assert sorted((r.language, r.sentence_id, r.text) for r in got) == sorted(data)
+
+
+def test_corpora_stored_by_position_join_without_exchange(spark, rows):
+    from glossaria.operators import pairs
+
+    data = [(lang, i, f"{lang}{i}") for lang in "abc" for i in range(200)]
+    corpus = spark.createDataFrame(data, "language string, sentence_id long, text string")
+    corpora.save_by_position(corpus, "stored_by_position", 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        aligned = pairs.align_to_target(spark.table("stored_by_position"), "a")
+        counts = spark.table("stored_by_position").groupBy("sentence_id").count()
+        for df in (aligned, counts):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in pairs.align_to_target(corpus, "a")._jdf.queryExecution().executedPlan().toString()
+        assert rows(aligned) == rows(pairs.align_to_target(corpus, "a"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE stored_by_position")
