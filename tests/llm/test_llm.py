@@ -72,7 +72,9 @@ def small(spark):
 def test_every_sql_gives_the_same_rows(spark):
     con = connect(SF)
     for name, sql in queries.ORACLES.items():
-        assert compare(queries.QUERIES[name](spark, SF).toPandas(), con.execute(sql).df()) == "", name
+        found = queries.QUERIES[name](spark, SF).toPandas()
+        nullable = {c: "Int64" for c in ("form_n",) if c in found}  # whole numbers with nulls
+        assert compare(found.astype(nullable), con.execute(sql).df()) == "", name
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
@@ -633,7 +635,7 @@ def test_line_dedup_ratio(spark, corners):
     rows = [(i, f"Menu \nline {i}\n" + ("rare" if i < 4 else "x"), "en", "big", 0) for i in range(40)]
     rows += [(100 + i, "Menu\nown " + str(i), "en", None, 0) for i in range(3)] + [(200 + i, "same page\nMenu", "en", "copies", 0) for i in range(50)]
     got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got[0]["text"] == "line 0\nrare" and got[9]["text"] == "line 9" and got[9]["n_dropped"] == 2
+    assert got[0]["text"] == "line 0" and got[9]["text"] == "line 9" and got[9]["n_dropped"] == 2
     assert got[100]["text"] == "own 0" and got[200]["text"] == "same page\nMenu" and len(got) == len(rows)
     own = line_dedup.drop_boilerplate(corners).collect()
     assert len(own) == corners.count() and [r["text"] for r in own if r["doc_id"] == 0] == [None]
@@ -654,7 +656,7 @@ def test_pipeline_equals_its_stages_in_plain_python(spark):
     for i in kept:
         pages.setdefault(rows[i]["source"], set()).add(rows[i]["text"])
     seen = Counter((s, line) for s, texts in pages.items() for t in texts for line in {x.strip(" ") for x in t.split("\n")} if line)
-    drop = {(s, line) for (s, line), n in seen.items() if n >= 5 and n > 0.05 * len(pages[s])}
+    drop = {(s, line) for (s, line), n in seen.items() if n > 1 and n > 0.05 * len(pages[s])}
     text = {i: "\n".join(x for x in rows[i]["text"].split("\n") if (rows[i]["source"], x.strip(" ")) not in drop) for i in kept}
     classes = components_of([(i, text[i]) for i in kept])
     kept = sorted(set(classes.values()))
