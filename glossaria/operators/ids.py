@@ -121,5 +121,5 @@ def co_locate(df: DataFrame, *keys: str) -> DataFrame:
     Spark estimates for the rows, and is at least the session's.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(max(least, min(size // CO_LOCATED_BYTES, 1 << 20)), *keys)
