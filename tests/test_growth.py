@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from glossaria.operators import ids
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from glossaria.operators import ids, subwords
 
 
 def test_co_located_partitions_of_a_join_follow_its_tables(spark, monkeypatch):
@@ -14,3 +17,41 @@ def test_co_located_partitions_of_a_join_follow_its_tables(spark, monkeypatch):
     for df in (a.join(b, "id"), listed):
         assert ids.co_locate(df, "id").rdd.getNumPartitions() == session
     assert ids.co_locate(spark.range(100_000), "id").rdd.getNumPartitions() == 800_000 >> 14
+
+
+def test_sentences_are_segmented_in_slices_of_bounded_size():
+    words = pa.array([["a"] * 3, None, [], ["b"] * 9, ["c"], ["d"] * 4], pa.list_(pa.string()))
+    slices = list(subwords.word_slices(words, 5))
+    assert [s.to_pylist() for s in slices] == [[["a"] * 3, None, []], [["b"] * 9], [["c"], ["d"] * 4]]
+
+
+def test_pieces_of_null_empty_and_sliced_sentences(spark, monkeypatch, rows):
+    vocabulary = spark.createDataFrame([("ab",), ("##c",), ("d",)], "piece string")
+    segmenter = subwords.Segmenter.from_table(vocabulary)
+    df = spark.createDataFrame([(1, ["ab", "abc"]), (2, None), (3, []), (4, ["d", "x", "abc"])], "id int, words array<string>").coalesce(1)
+    monkeypatch.setattr(subwords, "SENTENCE_WORDS", 2)
+    monkeypatch.setattr(subwords, "KNOWN_WORDS", 1)
+    found = rows(df.select("id", segmenter.sentence_pieces(F.col("words"))))
+    assert found == [(1, [["ab"], ["ab", "##c"]]), (2, None), (3, []), (4, [["d"], ["[UNK]"], ["ab", "##c"]])]
+
+
+def test_merged_segmentations_are_not_collected(spark, rows):
+    """A repeated key's rows are merged; nothing but texts is shuffled for it."""
+    segmenter = subwords.Segmenter.from_table(spark.createDataFrame([("a",), ("##a",), ("b",)], "piece string"))
+    df = spark.createDataFrame([(1, "aa b aa"), (1, "b"), (None, "b c")], "id long, text string")
+    merged = subwords.word_segmentations(df, segmenter, ["id"], merge_repeats=True)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert rows(merged) == [(1, "aa", ["a", "##a"] * 2), (1, "b", ["b", "b"]), (None, "b", ["b"]), (None, "c", ["[UNK]"])]
+    assert "collect_list" not in plan and plan.count("Exchange") == 1
+
+
+def test_index_and_posting_lists_shuffle_texts_alone(spark, rows):
+    df = spark.createDataFrame([(1, "x", "a b a"), (5, "x", "a"), (5, "x", "a"), (None, "x", "b")], "id long, language string, text string")
+    for size, exchanged in ((None, 2), (4, 1)):
+        index = subwords.word_sentence_index(df, "id", size)
+        assert rows(index.select("word", "id", "n")) == [("a", 1, 2), ("a", 5, 2), ("b", 1, 1), ("b", None, 1)]
+        lists = subwords.posting_lists(index, "id", 4)
+        assert rows(lists.selectExpr("word", "part", "postings.id", "postings.n")) == [
+            ("a", 0, [1], [2]), ("a", 1, [5], [2]), ("b", 0, [1], [1]), ("b", None, [None], [1])
+        ]
+        assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange") == exchanged
