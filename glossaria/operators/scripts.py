@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import strip_whitespace
+from glossaria.operators.ids import co_locate
 
 BLOCK, SCRIPT = "block", "script"
 _CLASSES = {BLOCK: "java.lang.Character$UnicodeBlock", SCRIPT: "java.lang.Character$UnicodeScript"}
@@ -65,12 +66,14 @@ def char_profile(
 
     ASCII characters fall into one block and two scripts, so they are counted by
     length; other text is cut into runs of one block or script. Only runs are
-    exploded, and partially aggregated before the shuffle. ``first_pos`` orders
+    exploded, after the texts are hashed by their keys, so these counts and later
+    groupings by the keys find their rows in place. ``first_pos`` orders
     the names of a text by first appearance: (number of earlier runs, ASCII
     first, offset). With ``keep_empty`` a text without characters keeps a row
     without name.
     """
-    prepared = df.select(*keys, prepare_text(F.col(text), **options).alias("__text"))
+    placed = co_locate(df.select(*keys, text), *keys)
+    prepared = placed.select(*keys, prepare_text(F.col(text), **options).alias("__text"))
     body, runs = F.col("__text"), F.lit(_RUNS[kind])
     entries = [_ascii_entry(body, chars, member, runs) for chars, member in _ASCII_CLASSES[kind]]
     others = F.transform(
