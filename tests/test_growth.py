@@ -5,7 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from glossaria.operators import ids, subwords
+from glossaria.operators import ids, scripts, subwords
+from glossaria.plans import ngram_queries
+
+from conftest import SF
 
 
 def test_co_located_partitions_of_a_join_follow_its_tables(spark, monkeypatch):
@@ -55,3 +58,24 @@ def test_index_and_posting_lists_shuffle_texts_alone(spark, rows):
             ("a", 0, [1], [2]), ("a", 1, [5], [2]), ("b", 0, [1], [1]), ("b", None, [None], [1])
         ]
         assert lists._jdf.queryExecution().executedPlan().toString().count("Exchange") == exchanged
+
+
+def test_profiles_shuffle_texts_alone(spark, rows):
+    df = spark.createDataFrame([(1, "ab ж"), (1, "жж"), (None, "a"), (3, "")], "id long, text string")
+    found = scripts.dominant(df, ["id"], scripts.SCRIPT)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert rows(found) == [(1, "Cyrillic"), (3, ""), (None, "Latin")]
+
+
+def test_normalized_divergence_stores_no_cells(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(ngram_queries, "materialize", lambda df, name: stored.append(name) or df)
+    ngram_queries.normalized_divergence(spark, SF)
+    assert stored == []
+
+
+def test_null_texts_have_special_tokens_alone(spark, rows):
+    segmenter = subwords.Segmenter.from_table(spark.createDataFrame([("a",)], "piece string"))
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
+    assert rows(subwords.unk_fraction(df, segmenter, ["id"])) == [(1, 0.0), (2, 0.0)]
+    assert rows(subwords.tokenize_corpus(df, segmenter, ["id"]).where("id = 2").select("position", "token")) == [(0, "[CLS]"), (1, "[SEP]")]
