@@ -66,3 +66,19 @@ def test_no_vectors(spark):
     df = vectors(spark).limit(0)
     assert clusters.ranks(df).count() == 0
     assert clusters.nearest(clusters.build(df), df.select("model", "language", "sentence_id"), 3).count() == 0
+
+
+@pytest.mark.parametrize("k, n", [(1, 1), (5, 3), (5, 79), (5, 80), (5, 1000), (70, 1000)])
+def test_nearest_of_a_block_without_sorting_all(monkeypatch, k, n):
+    draw = np.random.default_rng(5)
+    near = np.round(draw.uniform(-1, 1, (30, n)), 2)  # many ties
+    near += draw.uniform(-1, 1, near.shape) * 1e-10  # that rounding brings back
+    near[3], near[4, ::2], near[5, : n // 2] = 1 + 1e-15, np.nan, np.nan
+    rounded, counted = np.round, []
+    monkeypatch.setattr(retrieval.np, "round", lambda x, digits: counted.append(x.size) or rounded(x, digits))
+    place, d = retrieval._nearest(near, k)
+    monkeypatch.undo()
+    all_d = np.round(np.clip(1.0 - near, 0.0, 2.0), retrieval.DIGITS)
+    best = np.argsort(all_d, axis=1, kind="stable")[:, :k]
+    assert np.array_equal(place, best) and np.array_equal(d, np.take_along_axis(all_d, best, axis=1), equal_nan=True)
+    assert n < 1000 or k > 5 or sum(counted) < near.size / 3
