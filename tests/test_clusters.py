@@ -82,3 +82,17 @@ def test_nearest_of_a_block_without_sorting_all(monkeypatch, k, n):
     best = np.argsort(all_d, axis=1, kind="stable")[:, :k]
     assert np.array_equal(place, best) and np.array_equal(d, np.take_along_axis(all_d, best, axis=1), equal_nan=True)
     assert n < 1000 or k > 5 or sum(counted) < near.size / 3
+
+
+@pytest.mark.parametrize("bundle_bytes", [1 << 25, 800])
+def test_vectors_are_sent_once_to_a_bundle_of_blocks(spark, rows, monkeypatch, bundle_bytes):
+    monkeypatch.setattr(clusters, "BUNDLE_BYTES", bundle_bytes)
+    df = vectors(spark, noise=1.0).where("sentence_id < 100")  # no clusters: the bounds settle little
+    index = clusters.build(df, 12, 5)
+    targets = clusters._targets(index.members)
+    opened = clusters.block_pairs(index, targets).where(F.col("state") == clusters.OPEN).select(*clusters.PAIR)
+    counts = clusters._counted(index, targets, opened)
+    blocks = index.blocks.count()
+    per_query = counts.groupBy("model", "lang1", "lang2", "sentence_id").count().agg(F.max("count")).head()[0]
+    assert blocks > 60 and (per_query == 1 if bundle_bytes > 800 else 1 < per_query <= 8)
+    assert rows(clusters.ranks(df, 12, 5).drop("compared")) == rows(retrieval.retrieval_ranks(df))
