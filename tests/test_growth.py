@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from glossaria.operators import ids, scripts, subwords
+from glossaria.functions.text import explode_terms, ngram_range, word_tokens
+from glossaria.operators import ids, ngrams, scripts, subwords
 from glossaria.plans import ngram_queries
 
 from conftest import SF
@@ -79,3 +80,24 @@ def test_null_texts_have_special_tokens_alone(spark, rows):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, text string")
     assert rows(subwords.unk_fraction(df, segmenter, ["id"])) == [(1, 0.0), (2, 0.0)]
     assert rows(subwords.tokenize_corpus(df, segmenter, ["id"]).where("id = 2").select("position", "token")) == [(0, "[CLS]"), (1, "[SEP]")]
+
+
+ODD_TOKENS = [(1, ["a", "b", "a", "b"]), (1, ["a", "b"]), (None, ["x"]), (2, []), (3, None), (4, ["a", None, "b c", ""])]
+
+
+def test_ngram_rows_equal_exploded_arrays(spark, rows):
+    """Repeated and null keys, null and empty lists, null tokens: the rows that exploding the array gives, without lambdas."""
+    df = spark.createDataFrame(ODD_TOKENS, "id long, tokens array<string>")
+    for low, high in ((1, 1), (1, 3), (2, 2), (2, 3)):
+        found = ngrams.ngram_rows(df, "tokens", low, high, ["id"])
+        assert rows(found) == rows(df.select("id", explode_terms(ngram_range("tokens", low, high)).alias("ngram")))
+        assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ngrams_are_counted_without_carrying_or_repeating_tokens(spark):
+    texts = ngram_queries.fx.text_docs(spark, SF).select("doc_id", word_tokens("text").alias("tokens"))
+    for counts in (ngrams.ngram_counts(texts, 1, 3, ["doc_id"]), ngrams.bigram_counts(texts, [], "doc_id", "doc_id", cross_border=False)):
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and plan.count("regexp_extract_all") == 1
+        generates = [line for line in plan.splitlines() if "Generate posexplode" in line]
+        assert len(generates) == 1 and "tokens#" not in generates[0].rpartition("))")[2]  # what each row carries
