@@ -101,3 +101,13 @@ def test_ngrams_are_counted_without_carrying_or_repeating_tokens(spark):
         assert "lambda" not in plan and plan.count("regexp_extract_all") == 1
         generates = [line for line in plan.splitlines() if "Generate posexplode" in line]
         assert len(generates) == 1 and "tokens#" not in generates[0].rpartition("))")[2]  # what each row carries
+
+
+def test_large_tables_are_dealt_out_before_bigrams(spark, monkeypatch, rows):
+    monkeypatch.setattr(ids, "DEALT_BYTES", 1 << 12)
+    df = spark.range(10_000, numPartitions=2).selectExpr("id", "array('a', string(id % 3)) AS tokens")
+    assert ids.dealt(df.select("id")).rdd.getNumPartitions() == 80_000 >> 12
+    assert ids.dealt(spark.range(10)).rdd.getNumPartitions() == spark.range(10).rdd.getNumPartitions()
+    counts = ngrams.bigram_counts(df, [], "id", "id", cross_border=False)
+    assert "RoundRobinPartitioning" in counts._jdf.queryExecution().executedPlan().toString()
+    assert rows(counts) == [("a 0", 3334), ("a 1", 3333), ("a 2", 3333)]
