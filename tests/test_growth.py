@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossaria.functions.text import explode_terms, ngram_range, word_tokens
 from glossaria.operators import ids, ngrams, scripts, subwords
-from glossaria.plans import ngram_queries
+from glossaria.plans import ngram_queries, subword_queries
 
 from conftest import SF
 
@@ -111,3 +111,12 @@ def test_large_tables_are_dealt_out_before_bigrams(spark, monkeypatch, rows):
     counts = ngrams.bigram_counts(df, [], "id", "id", cross_border=False)
     assert "RoundRobinPartitioning" in counts._jdf.queryExecution().executedPlan().toString()
     assert rows(counts) == [("a 0", 3334), ("a 1", 3333), ("a 2", 3333)]
+
+
+def test_unknown_shares_are_given_for_every_language(spark, tmp_path, rows):
+    """All languages come out, highest first; there were once 18 at most."""
+    docs = [(i, "ab ab x" if i % 2 else "ab", f"l{i // 2:02d}", f"src{i % 10}", 4) for i in range(60)] + [(60, None, None, "src10", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = subword_queries.unk_by_language(spark, str(tmp_path)).collect()
+    assert {r["language"] for r in found} == {None, *(f"l{i:02d}" for i in range(30))}
+    assert [r["mean_unk_fraction"] for r in found] == sorted((r["mean_unk_fraction"] for r in found), reverse=True)
