@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glossaria.functions.text import explode_terms, ngram_range, word_tokens
-from glossaria.operators import ids, ngrams, scripts, subwords
+from glossaria.operators import ids, ngrams, retrieval, scripts, subwords
 from glossaria.plans import ngram_queries, subword_queries
 
 from conftest import SF
@@ -120,3 +121,33 @@ def test_unknown_shares_are_given_for_every_language(spark, tmp_path, rows):
     found = subword_queries.unk_by_language(spark, str(tmp_path)).collect()
     assert {r["language"] for r in found} == {None, *(f"l{i:02d}" for i in range(30))}
     assert [r["mean_unk_fraction"] for r in found] == sorted((r["mean_unk_fraction"] for r in found), reverse=True)
+
+
+def test_ranks_shuffle_vectors_once(spark, tmp_path, rows):
+    """Small blocks make many pairs; the vectors are not copied for them, and ranks stay those of all pairs, repeated and null keys included."""
+    draw = np.random.default_rng(5)
+    data = [("m", lang, i, draw.normal(size=4).round(1).tolist()) for lang in ("a", "b", None) for i in range(30)]
+    data += [("m", "a", 3, data[40][3]), ("m", "b", None, [1.0, 0.0, 0.0, 0.0]), ("m", "a", None, [0.5, 1.0, 0.0, 0.0]), ("n", "a", 1, None)]
+    vectors = spark.createDataFrame(data, "model string, language string, sentence_id long, embedding array<double>")
+    ranks = retrieval.retrieval_ranks(vectors, block_rows=4)
+    plan = ranks._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    expected = {}
+    units = [(lang, i, np.array(v) / (np.linalg.norm(v) or 1)) for _, lang, i, v in data if v is not None]
+
+    def away(a, b):
+        return round(min(max(1 - float(a @ b), 0), 2), 9)
+
+    for lang1, i, u in units:
+        for lang2, j, v in units:
+            if i == j:
+                others = [away(u, x) for l, k, x in units if l == lang2 and (k != i or k is None)]
+                target = away(u, v)
+                found = expected.setdefault(("m", lang1, lang2, i), [target, 0, 0])
+                found[0] = max(found[0], target)
+                found[1] += sum(d < target for d in others)
+                found[2] += sum(d == target for d in others)
+    expected = {k: (d, closer + (tied + 2) / 2) for k, (d, closer, tied) in expected.items() if k[3] is not None}
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in ranks.collect()}
+    assert {k: v for k, v in got.items() if k[3] is not None} == expected
+    assert {k[:3] for k in got if k[3] is None} == {("m", a, b) for a in "ab" for b in "ab"}
